@@ -31,6 +31,8 @@ def ship(spark: SparkSession) -> None:
         for path in sorted(top.rglob("*.py")):
             z.write(path, path.relative_to(top.parent).as_posix())
     sc.addPyFile(archive)
+    # whole texts and sets make large rows: fewer of them in a batch keep a Python worker's memory bounded
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     sc._marginalia_shipped = True
 
 

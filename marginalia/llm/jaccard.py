@@ -95,6 +95,10 @@ def signatures(g: np.ndarray, bands: Bands) -> np.ndarray:
         if b == band + 1 and len(g) * 100 < bands.percent * bands.edges[b]:
             continue  # too small for any set of the next band
         k = bands.differing(b)
+        if k == 0:  # equal sets only: the whole domain is one partition
+            with np.errstate(over="ignore"):
+                out.append(C.mix64(C.mix64(np.array([mixed.sum()])) ^ C.mix64(np.array([b << 32], np.uint64))))
+            continue
         n1 = -(-(k + 1) // (K2 + 1))
         part = (g % np.uint64(n1 * N2)).astype(np.int64)
         low = np.bincount(part, (mixed & np.uint64(0xFFFFFFFF)).astype(np.float64), n1 * N2).astype(np.uint64)
@@ -304,3 +308,31 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(C.table(spark, sf_dir, "documents"))
+
+
+def _sql(n: int = SIZE, percent: int = PERCENT) -> str:
+    """DuckDB SQL of the query: all sets, all intersections, all reachable ids."""
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+    return f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, {words} AS ws FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + {n - 1}], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {n - 1}, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+), s AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT u, v FROM p JOIN s x ON x.doc_id = u JOIN s y ON y.doc_id = v WHERE 100 * c >= {percent} * (x.n + y.n - c)
+), r AS (
+  SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u
+), m AS (
+  SELECT u, min(v) AS least FROM r GROUP BY u
+)
+SELECT w.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, CAST(least(w.doc_id, coalesce(m.least, w.doc_id)) AS BIGINT) AS component_id
+FROM w LEFT JOIN s USING (doc_id) LEFT JOIN m ON m.u = w.doc_id
+"""
+
+
+OP10_SQL = _sql()
