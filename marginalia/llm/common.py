@@ -12,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,21 +118,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """bytes -> 64-bit hash, remembered up to a bound and then begun anew."""
+    """bytes -> 64-bit hash; when full, the words met since the last time stay within reach."""
 
-    limit = 500_000
+    limit = 300_000
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+    def __init__(self) -> None:
+        self.older: dict[bytes, int] = {}
 
+    def __missing__(self, word: bytes) -> int:
+        h = self.older.get(word)
+        if h is None:
+            h = xxhash.xxh64_intdigest(word)
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        self[word] = h
         return h
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), U64, len(words))
-
 
 # --------------------------------------------------------------------------- Arrow plumbing
 

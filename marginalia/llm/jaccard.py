@@ -11,10 +11,11 @@ do, and two linked sets agree on n2 - k2 partitions of that group: each subset o
 that size is one signature, a hash of the grams it holds.  Each set signs in its own
 band and the next, so linked sets share a signature.
 
-Verification.  Sharing a signature only makes two classes *candidates*.  Connected
-candidates form clusters; a cluster is cut into blocks of bounded numbers of grams,
-and each pair of blocks counts all intersections of its classes by matrix products,
-keeps what truly links, and gives back a spanning forest: never all pairs.
+Verification.  Sharing a signature only makes two sets *candidates*.  Connected
+candidates of one band form a cluster; a cluster is cut into blocks of bounded
+numbers of grams, and each pair of blocks counts the intersections of its sets, keeps
+what truly links, and gives back a spanning forest: never all pairs.  Grams travel as
+40 bits of their hash, which tell the grams of two documents apart.
 
 Empty and null texts have no grams and link with nothing; a text of fewer words than
 n is one gram.  Repeated rows and equal texts fall into one class.
@@ -22,8 +23,7 @@ n is one gram.  Repeated rows and equal texts fall into one class.
 
 from __future__ import annotations
 
-import math
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,21 +36,53 @@ from .components import components, least_of
 SIZE, PERCENT = 4, 85
 N2, K2 = 3, 1
 #: Grams of all classes of a block, and classes of a block, at most on average.
-BLOCK_GRAMS, BLOCK_CLASSES = 200_000, 384
+BLOCK_GRAMS, BLOCK_CLASSES = 600_000, 768
+#: Grams worked on at once.
+AT_ONCE = 400_000
+
+
+def gram_sets(texts: list[str], n: int, hashes: C.WordHashes) -> list[np.ndarray]:
+    """Sorted distinct 40-bit hashes of each text's word n-grams; A-Z in lower case, words split at ASCII space."""
+    words = [t.encode().lower().split() for t in texts]
+    lens = np.array([len(w) for w in words])
+    total = int(lens.sum())
+    h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.uint64, total)
+    ends = np.cumsum(lens)
+    whole = _windows(h, n) if total >= n else np.empty(0, np.uint64)
+    out = []
+    for size, end in zip(lens.tolist(), ends.tolist(), strict=True):
+        g = whole[end - size : end - n + 1] if size >= n else _windows(h[end - size : end], size) if size else h[:0]
+        g = np.sort(g)
+        out.append(g[np.concatenate(([True], g[1:] != g[:-1]))] if len(g) else g)
+    return out
 
 
-def grams(text: str, n: int, hashes: C.WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word n-grams; A-Z in lower case, words split at ASCII space."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = hashes.of(words)
-    n = min(n, len(h))
+def _windows(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all windows of n words."""
+    top = len(h) - n + 1
     with np.errstate(over="ignore"):
-        out = h[: len(h) - n + 1].copy()
+        out = h[:top]
         for i in range(1, n):
-            out = C.mix64(out) + h[i : len(h) - n + 1 + i]
-        return np.unique(C.mix64(out + np.uint64(n)))
+            out = C.mix64(out) + h[i : top + i]
+        return C.mix64(out + np.uint64(n)) >> np.uint64(24)
+
+
+def grams(text: str, n: int, hashes: C.WordHashes) -> np.ndarray:
+    return gram_sets([text], n, hashes)[0]
+
+
+def blocks_of(batches, column: str = "text"):
+    """(batch, first row, texts) in blocks of bounded length."""
+    for batch in batches:
+        texts = C.texts_of(batch.column(column))
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= 6 * AT_ONCE):
+                size += len(texts[end])
+                end += 1
+            yield batch, at, texts[at:end]
+            at = end
 
 
 def class_of(g: np.ndarray) -> int:
@@ -83,74 +115,123 @@ class Bands:
         return (100 - self.percent) * 2 * top // (100 + self.percent)
 
 
-_SUBSETS = list(combinations(range(N2), N2 - K2))
+def node_of(names: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """One name for a class in a band."""
+    with np.errstate(over="ignore"):
+        return (C.mix64(names.astype(np.int64).view(np.uint64) + (bands.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)).view(np.int64)
 
 
-def signatures(g: np.ndarray, bands: Bands) -> np.ndarray:
-    """PartEnum signatures of one set, for its own band and the one above."""
-    band = bands.of(len(g))
-    mixed, out = C.mix64(g), []
-    for b in (band, band + 1):
-        # linked sets of bands b-1 and b, or both of band b, meet in band b
-        if b == band + 1 and len(g) * 100 < bands.percent * bands.edges[b]:
-            continue  # too small for any set of the next band
-        k = bands.differing(b)
-        if k == 0:  # equal sets only: the whole domain is one partition
-            with np.errstate(over="ignore"):
-                out.append(C.mix64(C.mix64(np.array([mixed.sum()])) ^ C.mix64(np.array([b << 32], np.uint64))))
-            continue
-        n1 = -(-(k + 1) // (K2 + 1))
-        part = (g % np.uint64(n1 * N2)).astype(np.int64)
-        low = np.bincount(part, (mixed & np.uint64(0xFFFFFFFF)).astype(np.float64), n1 * N2).astype(np.uint64)
-        high = np.bincount(part, (mixed >> np.uint64(32)).astype(np.float64), n1 * N2).astype(np.uint64)
-        with np.errstate(over="ignore"):
-            sums = (low + (high << np.uint64(32))).reshape(n1, N2)
-            group = (np.arange(n1, dtype=np.uint64) + np.uint64(b << 32)) * np.uint64(len(_SUBSETS) + 1)
-            out += [C.mix64(C.mix64(sums[:, s].sum(axis=1) + np.uint64(0)) ^ C.mix64(group + np.uint64(i))) for i, s in enumerate(map(list, _SUBSETS))]
-    return np.concatenate(out).view(np.int64)
+_SUBSETS = list(combinations(range(N2), N2 - K2))
+
 
+def signatures(sets: list[np.ndarray], names: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """PartEnum signatures of sets, each for its own band and the one above, and the nodes they belong to.
 
-def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, class, sigs): a class signs once in each task, so that a group of copies of
-    any size adds one row of signatures a task."""
+    Linked sets of one band meet there; those of neighbouring bands meet in the upper one.
+    """
+    size = np.array([len(s) for s in sets])
+    g = np.concatenate(sets)
+    mixed = C.mix64(g)
+    low, high = (mixed & np.uint64(0xFFFFFFFF)).astype(np.float64), (mixed >> np.uint64(32)).astype(np.float64)
+    of = np.repeat(np.arange(len(sets)), size)
+    own = np.array([bands.of(n) for n in size.tolist()])
+    sigs, nodes = [], []
+    for band in (own, own + 1):
+        k = np.array([bands.differing(b) for b in band.tolist()])
+        node = node_of(names, band)
+        n1 = np.where(k > 0, -(-(k + 1) // (K2 + 1)), 1)  # k = 0: only equal sets link, and their whole is the signature
+        parts = n1 * N2
+        base = np.cumsum(parts) - parts
+        part = (g % parts[of].astype(np.uint64)).astype(np.int64) + base[of]
+        with np.errstate(over="ignore"):
+            sums = (np.bincount(part, low, parts.sum()).astype(np.uint64) + (np.bincount(part, high, parts.sum()).astype(np.uint64) << np.uint64(32))).reshape(-1, N2)
+            doc = np.repeat(np.arange(len(sets)), n1)
+            group = np.arange(len(doc)) - (np.cumsum(n1) - n1)[doc]
+            tag = ((band[doc].astype(np.uint64) << np.uint64(32)) + group.astype(np.uint64)) * np.uint64(len(_SUBSETS) + 1)
+            some = k[doc] > 0
+            for i, s in enumerate(_SUBSETS):
+                sigs.append(C.mix64(C.mix64(sums[some][:, list(s)].sum(axis=1)) ^ C.mix64(tag[some] + np.uint64(i))))
+                nodes.append(node[doc[some]])
+            sigs.append(C.mix64(C.mix64(sums[~some].sum(axis=1)) ^ C.mix64(tag[~some] + np.uint64(len(_SUBSETS)))))
+            nodes.append(node[doc[~some]])
+    return np.concatenate(sigs), np.concatenate(nodes)
+
+
+def signed(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """(bucket, keys, nodes): signatures dealt into buckets as packed numbers.
+
+    A key is 48 bits of a signature and the place of its node in ``nodes`` (16 bits).  Before anything
+    is shuffled, a class signs once in each task, and of the nodes of one batch that share a signature
+    only the least goes on; the others come as finished links (keys null, nodes u0 v0 u1 v1 ...).
+    """
 
     def run(batches):
-        hashes, bands, signed = C.WordHashes(), Bands(percent), set()
-        for batch in batches:
-            size, name, sigs = [], [], []
-            for t in C.texts_of(batch.column("text")):
-                g = grams(t, n, hashes)
+        hashes, bands, done = C.WordHashes(), Bands(percent), set()
+        for _, _, texts in blocks_of(batches):
+            sets, names = [], []
+            for g in gram_sets(texts, n, hashes):
                 c = class_of(g)
-                size.append(len(g)), name.append(c)
-                if c < 0 or c in signed:
-                    sigs.append(None)
-                else:
-                    if len(signed) < 1 << 20:
-                        signed.add(c)
-                    sigs.append(signatures(g, bands))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(name, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "class", "sigs"])
-
-    return C.map_arrow(C.docs_of(docs), run, "doc_id long, n_shingles long, class long, sigs array<long>")
+                if c >= 0 and c not in done:
+                    if len(done) < 1 << 20:
+                        done.add(c)
+                    sets.append(g), names.append(c)
+            if not sets:
+                continue
+            for at in range(0, len(sets), 20_000):  # 16 bits number the nodes
+                sig, node = signatures(sets[at : at + 20_000], np.array(names[at : at + 20_000]), bands)
+                sig >>= np.uint64(16)
+                order = np.lexsort((node, sig))
+                sig, node = sig[order], node[order]
+                first = np.concatenate(([True], sig[1:] != sig[:-1]))
+                least = node[np.flatnonzero(first)[np.cumsum(first) - 1]]
+                rest = ~first & (least != node)
+                bucket, keys, packed = [], [], []
+                if rest.any():
+                    uv = np.unique(np.stack([node[rest], least[rest]], 1), axis=0)
+                    bucket.append(int(uv[0, 0] % buckets)), keys.append(None), packed.append(uv.astype("<i8").tobytes())
+                sig, node = sig[first], node[first]
+                b = (sig % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(b, kind="stable")
+                b, sig, node = b[order], sig[order], node[order]
+                for lo, hi in zip(*C.runs(b), strict=True):
+                    names_here, place = np.unique(node[lo:hi], return_inverse=True)
+                    bucket.append(int(b[lo])), keys.append(((sig[lo:hi] << np.uint64(16)) | place.astype(np.uint64)).astype("<u8").tobytes()), packed.append(names_here.astype("<i8").tobytes())
+                yield pa.record_batch([pa.array(bucket, pa.int64()), C.binary_column(keys), C.binary_column(packed)], names=["bucket", "keys", "nodes"])
+
+    return C.map_arrow(docs.select("text"), run, "bucket long, keys binary, nodes binary")
 
 
 def _stars(batches):
-    """Links of the classes that share a signature to the least of them, from rows sorted by signature."""
-    for t in C.sorted_runs(batches, "sig"):
-        sig, c = t["sig"].to_numpy(), t["class"].to_numpy()
-        start, end = C.runs(sig)
-        low = np.minimum.reduceat(c, start) if len(start) else c
-        low = np.repeat(low, end - start)
-        keep = low != c
-        if keep.any():
-            uv = np.unique(np.stack([c[keep], low[keep]], 1), axis=0)
-            yield pa.record_batch([pa.array(uv[:, 0]), pa.array(uv[:, 1])], names=["u", "v"])
-
-
-def clusters(described_docs: DataFrame) -> DataFrame:
-    """(node, component): classes connected by shared signatures."""
-    rows = described_docs.where("sigs is not null").select(F.explode("sigs").alias("sig"), "class")
-    parts = C.shuffle_partitions(rows.sparkSession)
-    along = rows.repartition(parts, "sig").sortWithinPartitions("sig")
+    """Links of the nodes that share a signature to the least of them, bucket by bucket."""
+    for t in C.sorted_runs(batches, "bucket"):
+        bucket = t["bucket"].to_numpy()
+        for lo, hi in zip(*C.runs(bucket), strict=True):
+            sig, node, links = [], [], []
+            for keys, names in zip(t["keys"][int(lo) : int(hi)].to_pylist(), t["nodes"][int(lo) : int(hi)].to_pylist(), strict=True):
+                names = np.frombuffer(names, "<i8")
+                if keys is None:
+                    links.append(names.reshape(-1, 2))
+                else:
+                    k = np.frombuffer(keys, "<u8")
+                    sig.append(k >> np.uint64(16)), node.append(names[(k & np.uint64(0xFFFF)).astype(np.int64)])
+            if sig:
+                sig, node = np.concatenate(sig), np.concatenate(node)
+                order = np.lexsort((node, sig))
+                sig, node = sig[order], node[order]
+                first = np.concatenate(([True], sig[1:] != sig[:-1]))
+                least = node[np.flatnonzero(first)[np.cumsum(first) - 1]]
+                keep = least != node
+                if keep.any():
+                    links.append(np.stack([node[keep], least[keep]], 1))
+            if links:
+                uv = np.unique(np.concatenate(links), axis=0)
+                yield pa.record_batch([pa.array(uv[:, 0]), pa.array(uv[:, 1])], names=["u", "v"])
+
+
+def clusters(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, component): classes in a band, connected by shared signatures."""
+    parts = C.shuffle_partitions(docs.sparkSession)
+    along = signed(docs, n, percent, 4 * parts).repartition(parts, "bucket").sortWithinPartitions("bucket")
     return components(C.map_arrow(along, _stars, "u long, v long"))
 
 
@@ -178,33 +259,52 @@ def class_filter(names: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def sets_of(docs: DataFrame, n: int, wanted: np.ndarray) -> DataFrame:
-    """(class, n, grams as packed uint64) once a task for each class that passes the filter."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+def _packed(g: np.ndarray) -> bytes:
+    """Sorted 40-bit hashes as their upper bytes, which compress well, and their lower 32 bits."""
+    return (g >> np.uint64(32)).astype("u1").tobytes() + g.astype("<u4").tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    n = len(b) // 5
+    return (np.frombuffer(b, "u1", n).astype(np.uint64) << np.uint64(32)) | np.frombuffer(b, "<u4", n, n)
+
+
+def described(docs: DataFrame, n: int, percent: int, wanted: np.ndarray) -> DataFrame:
+    """(doc_id, n_shingles, class, nodes, grams): nodes and grams only where one of the class's nodes
+    passes the filter, and once a task for each class."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)  # of fixed size
 
     def run(batches):
-        hashes, given = C.WordHashes(), set()
-        bits = shared.value
-        for batch in batches:
-            name, size, packed = [], [], []
-            for t in C.texts_of(batch.column("text")):
-                g = grams(t, n, hashes)
-                c = class_of(g)
-                if c < 0 or c in given:
+        hashes, given, bands, bits = C.WordHashes(), set(), Bands(percent), shared.value
+        for batch, at, texts in blocks_of(batches):
+            sets = gram_sets(texts, n, hashes)
+            names = [class_of(g) for g in sets]
+            size = np.array([len(g) for g in sets])
+            own = np.array([bands.of(int(x)) for x in size])
+            nodes = np.stack([node_of(np.array(names), own + i) for i in (0, 1)], 1)
+            hit = np.zeros(nodes.shape, bool)
+            where = _positions(nodes.ravel()).reshape(2, -1)
+            hit.ravel()[:] = ((bits[where >> 6] >> (where & 63).astype(np.uint64)) & np.uint64(1)).all(axis=0)
+            of, packed = [], []
+            for g, c, ns, ok in zip(sets, names, nodes, hit, strict=True):
+                if c < 0 or c in given or not ok.any():
+                    of.append(None), packed.append(None)
                     continue
-                at = _positions(np.array([c]))
-                if all(bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)):
-                    if len(given) < 1 << 20:
-                        given.add(c)
-                    name.append(c), size.append(len(g)), packed.append(g.tobytes())
-            yield pa.record_batch([pa.array(name, pa.int64()), pa.array(size, pa.int64()), C.binary_column(packed)], names=["class", "n", "grams"])
+                if len(given) < 1 << 20:
+                    given.add(c)
+                of.append(ns[ok]), packed.append(_packed(g))
+            ids = batch.column("doc_id").slice(at, len(texts))
+            yield pa.record_batch([ids, pa.array(size, pa.int64()), pa.array(names, pa.int64()), pa.array(of, pa.list_(pa.int64())), C.binary_column(packed)], names=["doc_id", "n_shingles", "class", "nodes", "grams"])
 
-    return C.map_arrow(docs.select("text"), run, "class long, n long, grams binary")
+    return C.map_arrow(C.docs_of(docs), run, "doc_id long, n_shingles long, class long, nodes array<long>, grams binary")
 
 
-def intersections(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """Sizes of the intersections of all sets in a with all in b, by products of 0/1 matrices over
-    slices of the grams that both sides hold."""
+def intersections(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096, common: int = 48) -> np.ndarray:
+    """Sizes of the intersections of all sets in a with all in b.
+
+    Grams that many sets hold count by products of 0/1 matrices, a slice at a time; for the others
+    the few pairs that hold each are counted one by one.
+    """
     ga, gb = np.concatenate(a), np.concatenate(b)
     both = np.intersect1d(ga, gb)
     out = np.zeros((len(a), len(b)), np.float32)
@@ -213,19 +313,33 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -
     sides = []
     for g, sets in ((ga, a), (gb, b)):
         row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        at = np.searchsorted(both, g)
-        at[at == len(both)] = 0
+        at = np.minimum(np.searchsorted(both, g), len(both) - 1)
         ok = both[at] == g
         order = np.argsort(at[ok], kind="stable")
         sides.append((row[ok][order], at[ok][order]))
-    for s in range(0, len(both), width):
+    counts = [np.bincount(at, minlength=len(both)) for _, at in sides]
+    dense = counts[0].astype(np.int64) * counts[1] > common * common
+    place = np.cumsum(dense) - 1
+    n_dense = int(dense.sum())
+    slim = [(row[~dense[at]], at[~dense[at]]) for row, at in sides]
+    wide = [(row[dense[at]], place[at[dense[at]]]) for row, at in sides]
+    for s in range(0, n_dense, width):
         m = []
-        for (row, at), sets in zip(sides, (a, b), strict=True):
+        for (row, at), sets in zip(wide, (a, b), strict=True):
             lo, hi = np.searchsorted(at, [s, s + width])
-            x = np.zeros((len(sets), min(width, len(both) - s)), np.float32)
+            x = np.zeros((len(sets), min(width, n_dense - s)), np.float32)
             x[row[lo:hi], at[lo:hi] - s] = 1
             m.append(x)
         out += m[0] @ m[1].T
+    (ra, pa_), (rb, pb) = slim
+    if len(pa_):
+        start, end = np.searchsorted(pb, pa_, "left"), np.searchsorted(pb, pa_, "right")
+        many = end - start
+        for lo in range(0, len(pa_), 200_000):
+            m = many[lo : lo + 200_000]
+            i = np.repeat(ra[lo : lo + 200_000], m)
+            j = rb[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(start[lo : lo + 200_000], m)]
+            out += np.bincount(i * len(b) + j, minlength=out.size).reshape(out.shape)
     return out
 
 
@@ -244,7 +358,7 @@ def _verified(percent: int):
                 right = at[1] or left
                 if not left or len(left) + len(at[1]) < 2:
                     continue
-                read = lambda ix: [np.frombuffer(packed[int(i)].as_py(), np.uint64) for i in ix]
+                read = lambda ix: [_unpacked(packed[int(i)].as_py()) for i in ix]
                 a = read(left)
                 b = read(right) if at[1] else a
                 common = intersections(a, b)
@@ -259,21 +373,20 @@ def _verified(percent: int):
     return run
 
 
-def links(docs: DataFrame, cluster: DataFrame, n: int, percent: int) -> DataFrame:
-    """(u, v): a spanning forest of the true links within the clusters (node, component)."""
-    spark = docs.sparkSession
-    sets = C.staged(spark, sets_of(docs, n, class_filter(cluster)), "jaccard-sets")
-    member = cluster.withColumnRenamed("node", "class")
-    sizes = sets.select("class", "n").distinct().join(member, "class").groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_CLASSES)).cast("int").alias("blocks"))
-    placed = member.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+def links(known: DataFrame, cluster: DataFrame, percent: int) -> DataFrame:
+    """(u, v): a spanning forest of the true links, by class, within the clusters (node, component)."""
+    spark = known.sparkSession
+    sets = known.where("grams is not null").select(F.explode("nodes").alias("node"), "class", F.col("n_shingles").alias("n"), "grams")
+    sizes = sets.select("node", "n").distinct().join(cluster, "node").groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_CLASSES)).cast("int").alias("blocks"))
+    placed = cluster.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # block i meets blocks 0..blocks-1: task (i, j), i <= j, with i on the left side and j on the right
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tasks = placed.select("class", "component", "block", other).select(
-        "class",
+    tasks = placed.select("node", "component", "block", other).select(
+        "node",
         F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("task"),
         (F.col("block") > F.col("other")).cast("int").alias("side"),
     )
-    dealt = sets.join(tasks, "class").select("task", "side", "class", "n", "grams")
+    dealt = sets.join(tasks, "node").select("task", "side", "class", "n", "grams")
     along = dealt.repartition(C.shuffle_partitions(spark), "task").sortWithinPartitions("task", "side", "class")
     return C.map_arrow(along, _verified(percent), "u long, v long")
 
@@ -284,15 +397,14 @@ def classes(docs: DataFrame, n: int = SIZE, percent: int = PERCENT) -> DataFrame
     A document without grams, or of null id, is its own component.
     """
     spark = docs.sparkSession
-    known = C.staged(spark, described(docs, n, percent), "jaccard-documents")
-    cluster = C.staged(spark, clusters(known), "jaccard-clusters")
-    found = components(links(docs.select("text"), cluster, n, percent)).withColumnRenamed("node", "class")
+    cluster = C.staged(spark, clusters(docs, n, percent), "jaccard-clusters")
+    known = C.staged(spark, described(docs, n, percent, class_filter(cluster)), "jaccard-documents")
+    found = components(links(known, cluster, percent)).withColumnRenamed("node", "class")
     own = known.select("doc_id", "n_shingles", "class")
     least = own.where("class >= 0").groupBy("class").agg(F.min("doc_id").alias("least"))  # a group of copies is one row from each task
     named = least.join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
     first = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_class = named.select("class", "component").join(first, "component").select("class", "component_id")
-    # only classes of several documents or links differ from their own id; the others need no join partner
     out = own.join(of_class, "class", "left")
     return out.select("doc_id", "n_shingles", F.coalesce(F.when(F.col("class") >= 0, F.col("component_id")), F.col("doc_id")).alias("component_id"))
 
