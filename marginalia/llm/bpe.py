@@ -3,8 +3,8 @@
 For each pre-token the vocabulary's greedy longest match *proposes* tokens.  A
 sequence of tokens is the BPE encoding exactly if no merge rule crosses any
 boundary between neighbours, so one vectorised check of all distinct adjacent
-pairs *verifies* the proposals of a whole batch; only words with a pair that
-fails undergo exact merging.  Encoded words are remembered up to a bound.
+pairs *verifies* the proposals of a whole batch; only where a pair fails are
+bytes merged exactly.  Encoded words are remembered up to a bound.
 
 Contract: ids equal those of the ``tokenizers`` library with
 ``add_special_tokens=False``; an added token's own string in a text becomes its
@@ -17,6 +17,7 @@ import hashlib
 import heapq
 import json
 import re
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -83,7 +84,9 @@ class Encoder:
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], np.fromiter(self.rank.values(), np.int64, len(keys))[order]
         self.size = size
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.length = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.seen_pairs, self.seen_fit = np.array([-1]), np.array([True])
+        self.mended: dict[tuple[int, int], list[int]] = {}
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.counts = {"proposed": 0, "merged": 0}
@@ -139,12 +142,32 @@ class Encoder:
                 ok[here[(rank < xu[here]) & (rank <= yu[here]) & (rank < np.iinfo(np.int64).max)]] = False
         return ok
 
-    def propose(self, words: list[bytes]) -> list[list[int]]:
-        """Greedy longest match of every word: every byte is a token, so the matches leave no gap."""
-        out = []
-        for word in words:
-            out.append([t for _, t in self.automaton.iter_long(word.decode("latin-1"))])
-        return out
+    def propose(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest matches of all words, one after another, and the word of each token.
+
+        Every byte is a token, so the matches leave no gap; what stands between two words is in no token.
+        """
+        joined = "\uffff".join([b.decode("latin-1") for b in raws])
+        ids = np.fromiter(map(itemgetter(1), self.automaton.iter_long(joined)), np.int64)
+        word_ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)))
+        return ids, np.searchsorted(word_ends, np.cumsum(self.length[ids]))
+
+    def broken(self, ids: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Places i where tokens i, i+1 of one word don't fit; each distinct pair is checked once."""
+        at = np.flatnonzero(word[1:] == word[:-1])
+        keys, back = np.unique(ids[at] * self.size + ids[at + 1], return_inverse=True)
+        where = np.minimum(np.searchsorted(self.seen_pairs, keys), len(self.seen_pairs) - 1)
+        known = self.seen_pairs[where] == keys
+        fit = np.where(known, self.seen_fit[where], True)
+        if not known.all():
+            new = keys[~known]
+            fit[~known] = self.compatible(new // self.size, new % self.size)
+            if len(self.seen_pairs) > 8 * self.cache_limit:
+                self.seen_pairs, self.seen_fit = np.array([-1]), np.array([True])
+            all_keys = np.concatenate([self.seen_pairs, new])
+            order = np.argsort(all_keys, kind="stable")
+            self.seen_pairs, self.seen_fit = all_keys[order], np.concatenate([self.seen_fit, fit[~known]])[order]
+        return at[~fit[back]]
 
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: the lowest-ranked pair first, the leftmost among equals."""
@@ -185,27 +208,43 @@ class Encoder:
         return [t for t, x in zip(toks, alive, strict=True) if x]
 
     def learn(self, words: set[str]) -> None:
-        """Encode words by proposal and check; those with a pair that doesn't hold, by merging."""
+        """Encode words: propose, check all pairs, and mend or merge those that fail.
+
+        A failing pair is first replaced by the exact encoding of its two tokens' bytes, which many
+        words share, and the word is checked again; what still fails is merged from its bytes.
+        """
         order = list(words)
         raws = [w.encode() for w in order]
-        proposals = self.propose(raws)
-        pairs = {p for t in proposals for p in zip(t, t[1:])}
-        new = [p for p in pairs if p not in self.fits]
-        if new:
-            if len(self.fits) + len(new) > 4 * self.cache_limit:
-                self.fits.clear()
-                new = list(pairs)
-            ab = np.array(new, np.int64)
-            self.fits.update(zip(new, self.compatible(ab[:, 0], ab[:, 1]).tolist(), strict=True))
-        fits, packed, known = self.fits, self.packed.__getitem__, self.words
-        for w, raw, t in zip(order, raws, proposals, strict=True):
-            for p in zip(t, t[1:]):
-                if not fits[p]:
-                    t = self.merge(raw)
-                    self.counts["merged"] += 1
-                    break
-            known[w] = b"".join(map(packed, t))
-        self.counts["proposed"] += len(proposals)
+        self.counts["proposed"] += len(order)
+        ids, word = self.propose(raws)
+        names = np.arange(len(order))
+        for attempt in range(4):
+            bad = self.broken(ids, word)
+            start = np.searchsorted(word, np.arange(len(names)))
+            end = np.append(start[1:], len(ids))
+            fails = np.zeros(len(names), bool)
+            fails[word[bad]] = True
+            packed, good = ids.astype("<u4").tobytes(), np.flatnonzero(~fails)
+            self.words.update((order[n], packed[4 * a : 4 * b]) for n, a, b in zip(names[good].tolist(), start[good].tolist(), end[good].tolist(), strict=True))
+            if not len(bad):
+                return
+            failing, first = np.unique(word[bad], return_index=True)
+            flat, fixed, sizes = ids.tolist(), [], []
+            for a, b, i in zip(start[failing].tolist(), end[failing].tolist(), bad[first].tolist(), strict=True):
+                pair = (flat[i], flat[i + 1])
+                mended = self.mended.get(pair)
+                if mended is None:
+                    if len(self.mended) > self.cache_limit:
+                        self.mended.clear()
+                    mended = self.mended[pair] = self.merge(self.bytes_of[pair[0]] + self.bytes_of[pair[1]])
+                fixed += flat[a:i]
+                fixed += mended
+                fixed += flat[i + 2 : b]
+                sizes.append(i - a + len(mended) + b - i - 2)
+            ids, word, names = np.array(fixed, np.int64), np.repeat(np.arange(len(sizes)), sizes), names[failing]
+        for n in names.tolist():
+            self.counts["merged"] += 1
+            self.words[order[n]] = b"".join(map(self.packed.__getitem__, self.merge(raws[n])))
 
     def split(self, text: str) -> list[str]:
         return self._full.findall(text) if self._beyond.search(text) else self._fast.findall(text)

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: So few links (checked) are contracted in one task: 16 bytes each.
-ONE_TASK = 400_000
+#: So many links (checked) are contracted in one task: 16 bytes each.
+ONE_TASK = 1_500_000
 
 
 def least_of(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,9 +70,15 @@ def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     Null ends and links of a node to itself say nothing.  Repeated links are one.
     """
     spark = links.sparkSession
-    own = C.map_arrow(links.where("u <> v").select("u", "v"), _contract, "u long, v long")
-    now = C.staged(spark, own, "links")
+    now = C.staged(spark, C.map_arrow(links.where("u <> v").select("u", "v"), _contract, "u long, v long"), "links")
     size = now.count()
+    while size > one_task:  # partitions drawn together, each of bounded size, share many nodes and shrink
+        new = C.staged(spark, C.map_arrow(now.coalesce(-(-size // one_task)), _contract, "u long, v long"), "links")
+        before, size = size, new.count()
+        C.drop(spark, now)
+        now = new
+        if size > 0.7 * before:
+            break
     if size <= one_task:
         stars = C.map_arrow(now.coalesce(1), _contract, "u long, v long") if size else now
     else:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import bpe
 from . import common as C
 
-FEATURES, DIMS, BITS = 4096, 3, 16
+FEATURES, DIMS, BITS = 1024, 3, 16
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
