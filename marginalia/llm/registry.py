@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, lines, packing, quality, toxicity
+from . import ann, bpe, html, jaccard, licenses, lines, packing, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_licenses": licenses.op1_licenses,
+        "op2_html": html.op2_html,
         "op3_quality": quality.op3_quality,
+        "op4_neighbours": ann.op4_neighbours,
         "op6_bpe": bpe.op6_bpe,
         "op7_lines": lines.op7_lines,
         "op8_toxicity": toxicity.op8_toxicity,
