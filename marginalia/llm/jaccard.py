@@ -12,10 +12,12 @@ that size is one signature, a hash of the grams it holds.  Each set signs in its
 band and the next, so linked sets share a signature.
 
 Verification.  Sharing a signature only makes two sets *candidates*.  Connected
-candidates of one band form a cluster; a cluster is cut into blocks of bounded
-numbers of grams, and each pair of blocks counts the intersections of its sets, keeps
-what truly links, and gives back a spanning forest: never all pairs.  Grams travel as
-40 bits of their hash, which tell the grams of two documents apart.
+candidates of one band form a cluster, whose pairs are compared twice, each time in
+pairs of blocks of bounded size that give back a spanning forest, never all pairs:
+first by small parity bitmaps (the bits that differ are a lower bound of the grams
+that differ, so no link is lost), which breaks clusters up; then, within what is left,
+by the intersections of the sets themselves.  Grams travel as 40 bits of their hash,
+which tell the grams of two documents apart.
 
 Empty and null texts have no grams and link with nothing; a text of fewer words than
 n is one gram.  Repeated rows and equal texts fall into one class.
@@ -37,6 +39,8 @@ SIZE, PERCENT = 4, 85
 N2, K2 = 3, 1
 #: Grams of all classes of a block, and classes of a block, at most on average.
 BLOCK_GRAMS, BLOCK_CLASSES = 600_000, 768
+#: The same of blocks of bitmaps, by bytes.
+BLOCK_BYTES, BLOCK_MAPS = 4_000_000, 4096
 #: Grams worked on at once.
 AT_ONCE = 400_000
 
@@ -110,9 +114,13 @@ class Bands:
         Of sizes s and t the intersection is at least p (s + t) / (100 + p), so at most
         (100 - p) (s + t) / (100 + p) grams differ.
         """
-        self.of(self.edges[b] + 1 if b + 1 < len(self.edges) else self.edges[b])
-        top = self.edges[b + 1] - 1
-        return (100 - self.percent) * 2 * top // (100 + self.percent)
+        return (100 - self.percent) * 2 * self.top(b) // (100 + self.percent)
+
+    def top(self, b: int) -> int:
+        """The largest size of band b."""
+        while len(self.edges) <= b + 1:
+            self.of(self.edges[-1])
+        return self.edges[b + 1] - 1
 
 
 def node_of(names: np.ndarray, bands: np.ndarray) -> np.ndarray:
@@ -121,6 +129,12 @@ def node_of(names: np.ndarray, bands: np.ndarray) -> np.ndarray:
         return (C.mix64(names.astype(np.int64).view(np.uint64) + (bands.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)).view(np.int64)
 
 
+def bitmap(g: np.ndarray, top: int) -> bytes:
+    """Parity bitmap of a set; its length follows the largest size ``top`` of the band."""
+    bits = max(64, 1 << (2 * top - 1).bit_length())
+    return np.packbits(np.bincount((C.mix64(g) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
 _SUBSETS = list(combinations(range(N2), N2 - K2))
 
 
@@ -270,8 +284,8 @@ def _unpacked(b: bytes) -> np.ndarray:
 
 
 def described(docs: DataFrame, n: int, percent: int, wanted: np.ndarray) -> DataFrame:
-    """(doc_id, n_shingles, class, nodes, grams): nodes and grams only where one of the class's nodes
-    passes the filter, and once a task for each class."""
+    """(doc_id, n_shingles, class, nodes, maps, grams): nodes with their bitmaps, and grams, only where one
+    of the class's nodes passes the filter, and once a task for each class."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)  # of fixed size
 
     def run(batches):
@@ -285,18 +299,18 @@ def described(docs: DataFrame, n: int, percent: int, wanted: np.ndarray) -> Data
             hit = np.zeros(nodes.shape, bool)
             where = _positions(nodes.ravel()).reshape(2, -1)
             hit.ravel()[:] = ((bits[where >> 6] >> (where & 63).astype(np.uint64)) & np.uint64(1)).all(axis=0)
-            of, packed = [], []
-            for g, c, ns, ok in zip(sets, names, nodes, hit, strict=True):
+            of, maps, packed = [], [], []
+            for g, c, b, ns, ok in zip(sets, names, own.tolist(), nodes, hit, strict=True):
                 if c < 0 or c in given or not ok.any():
-                    of.append(None), packed.append(None)
+                    of.append(None), maps.append(None), packed.append(None)
                     continue
                 if len(given) < 1 << 20:
                     given.add(c)
-                of.append(ns[ok]), packed.append(_packed(g))
+                of.append(ns[ok]), maps.append([bitmap(g, bands.top(b + i)) for i in np.flatnonzero(ok).tolist()]), packed.append(_packed(g))
             ids = batch.column("doc_id").slice(at, len(texts))
-            yield pa.record_batch([ids, pa.array(size, pa.int64()), pa.array(names, pa.int64()), pa.array(of, pa.list_(pa.int64())), C.binary_column(packed)], names=["doc_id", "n_shingles", "class", "nodes", "grams"])
+            yield pa.record_batch([ids, pa.array(size, pa.int64()), pa.array(names, pa.int64()), pa.array(of, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.binary())), C.binary_column(packed)], names=["doc_id", "n_shingles", "class", "nodes", "maps", "grams"])
 
-    return C.map_arrow(C.docs_of(docs), run, "doc_id long, n_shingles long, class long, nodes array<long>, grams binary")
+    return C.map_arrow(C.docs_of(docs), run, "doc_id long, n_shingles long, class long, nodes array<long>, maps array<binary>, grams binary")
 
 
 def intersections(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096, common: int = 48) -> np.ndarray:
@@ -343,41 +357,60 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096, c
     return out
 
 
-def _verified(percent: int):
+def _near_maps(a: list[bytes], b: list[bytes], na: np.ndarray, nb: np.ndarray, percent: int):
+    """Pairs whose bitmaps differ in no more bits than grams may differ, some rows at a time."""
+    x, y = (np.frombuffer(b"".join(m), np.uint64).reshape(len(m), -1) for m in (a, b))
+    step = max(1, 2_000_000 // (y.size or 1))
+    for lo in range(0, len(x), step):
+        differ = np.bitwise_count(x[lo : lo + step, None, :] ^ y[None]).sum(axis=2, dtype=np.int64)
+        i, j = np.nonzero(differ * (100 + percent) <= (100 - percent) * (na[lo : lo + step, None] + nb[None]))
+        yield i + lo, j
+
+
+def _near_sets(a: list[bytes], b: list[bytes], na: np.ndarray, nb: np.ndarray, percent: int):
+    """Pairs that link."""
+    left = [_unpacked(g) for g in a]
+    common = intersections(left, left if b is a else [_unpacked(g) for g in b])
+    for lo in range(0, len(a), 256):
+        c = common[lo : lo + 256].astype(np.int64)
+        i, j = np.nonzero(100 * c >= percent * (na[lo : lo + 256, None] + nb[None] - c))
+        yield i + lo, j
+
+
+def _compared(near, percent: int):
+    """The spanning forest of the pairs that ``near`` finds in each task, by ``name``."""
+
     def run(batches):
         for t in C.sorted_runs(batches, "task"):
-            task = t["task"].to_numpy()
-            name, side, size, packed = t["class"].to_numpy(), t["side"].to_numpy(), t["n"].to_numpy(), t["grams"]
+            task, name, side, size = (t[c].to_numpy() for c in ("task", "name", "side", "n"))
             for lo, hi in zip(*C.runs(task), strict=True):
-                seen, at = {}, ([], [])
+                seen, at = set(), ([], [])
                 for i in range(lo, hi):  # a class may come from several tasks
                     if (name[i], side[i]) not in seen:
-                        seen[name[i], side[i]] = True
+                        seen.add((name[i], side[i]))
                         at[side[i]].append(i)
-                left = at[0]
-                right = at[1] or left
-                if not left or len(left) + len(at[1]) < 2:
+                if not at[0] or len(at[0]) + len(at[1]) < 2:
                     continue
-                read = lambda ix: [_unpacked(packed[int(i)].as_py()) for i in ix]
-                a = read(left)
-                b = read(right) if at[1] else a
-                common = intersections(a, b)
-                na, nb = size[left].astype(np.float64)[:, None], size[right].astype(np.float64)[None, :]
-                i, j = np.nonzero(100 * common >= percent * (na + nb - common))
-                u, v = name[left][i], name[right][j]
-                if (u != v).any():
+                a = [t["payload"][int(i)].as_py() for i in at[0]]
+                right = at[1] or at[0]
+                b = [t["payload"][int(i)].as_py() for i in at[1]] if at[1] else a
+                left_names, right_names = name[at[0]], name[right]
+                forest = np.empty((0, 2), np.int64)
+                for i, j in near(a, b, size[at[0]], size[right], percent):
+                    u, v = np.append(left_names[i], forest[:, 0]), np.append(right_names[j], forest[:, 1])
                     nodes, root = least_of(u, v)
                     keep = nodes != root
-                    yield pa.record_batch([pa.array(nodes[keep]), pa.array(root[keep])], names=["u", "v"])
+                    forest = np.stack([nodes[keep], root[keep]], 1)
+                if len(forest):
+                    yield pa.record_batch([pa.array(forest[:, 0]), pa.array(forest[:, 1])], names=["u", "v"])
 
     return run
 
 
-def links(known: DataFrame, cluster: DataFrame, percent: int) -> DataFrame:
-    """(u, v): a spanning forest of the true links, by class, within the clusters (node, component)."""
-    spark = known.sparkSession
-    sets = known.where("grams is not null").select(F.explode("nodes").alias("node"), "class", F.col("n_shingles").alias("n"), "grams")
-    sizes = sets.select("node", "n").distinct().join(cluster, "node").groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_CLASSES)).cast("int").alias("blocks"))
+def compared(sets: DataFrame, cluster: DataFrame, near, percent: int, block: int, most: int) -> DataFrame:
+    """(u, v) among the rows (node, name, n, weight, payload) of each cluster (node, component), in blocks of
+    at most ``block`` weight and ``most`` nodes on average."""
+    sizes = sets.select("node", "weight").distinct().join(cluster, "node").groupBy("component").agg(F.greatest(F.ceil(F.sum("weight") / block), F.ceil(F.count("*") / most)).cast("int").alias("blocks"))
     placed = cluster.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # block i meets blocks 0..blocks-1: task (i, j), i <= j, with i on the left side and j on the right
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -386,9 +419,20 @@ def links(known: DataFrame, cluster: DataFrame, percent: int) -> DataFrame:
         F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("task"),
         (F.col("block") > F.col("other")).cast("int").alias("side"),
     )
-    dealt = sets.join(tasks, "node").select("task", "side", "class", "n", "grams")
-    along = dealt.repartition(C.shuffle_partitions(spark), "task").sortWithinPartitions("task", "side", "class")
-    return C.map_arrow(along, _verified(percent), "u long, v long")
+    dealt = sets.join(tasks, "node").select("task", "side", "name", "n", "payload")
+    along = dealt.repartition(C.shuffle_partitions(sets.sparkSession), "task").sortWithinPartitions("task", "side", "name")
+    return C.map_arrow(along, _compared(near, percent), "u long, v long")
+
+
+def links(known: DataFrame, cluster: DataFrame, percent: int) -> DataFrame:
+    """(u, v): a spanning forest of the true links, by class, within the clusters (node, component)."""
+    spark = known.sparkSession
+    held = known.where("grams is not null").withColumnRenamed("n_shingles", "n")
+    pair = F.explode(F.arrays_zip("nodes", "maps")).alias("pair")
+    maps = held.select(pair, "n").select(F.col("pair.nodes").alias("node"), F.col("pair.nodes").alias("name"), "n", F.length("pair.maps").alias("weight"), F.col("pair.maps").alias("payload"))
+    closer = C.staged(spark, components(compared(maps, cluster, _near_maps, percent, BLOCK_BYTES, BLOCK_MAPS)), "jaccard-closer")
+    sets = held.select(F.explode("nodes").alias("node"), F.col("class").alias("name"), "n", F.col("n").alias("weight"), F.col("grams").alias("payload"))
+    return compared(sets, closer, _near_sets, percent, BLOCK_GRAMS, BLOCK_CLASSES)
 
 
 def classes(docs: DataFrame, n: int = SIZE, percent: int = PERCENT) -> DataFrame:
