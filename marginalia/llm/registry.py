@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html, jaccard, licenses, lines, packing, quality, toxicity
+from . import ann, bpe, html, jaccard, licenses, lines, media, packing, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_html": html.op2_html,
         "op3_quality": quality.op3_quality,
         "op4_neighbours": ann.op4_neighbours,
+        "op5_chroma": media.op5_chroma,
         "op6_bpe": bpe.op6_bpe,
         "op7_lines": lines.op7_lines,
         "op8_toxicity": toxicity.op8_toxicity,
