@@ -36,6 +36,9 @@ _LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 _LATIN_DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _LATIN_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[{_LATIN_DIGITS}]+| ?[^{WHITE}{_LATIN}{_LATIN_DIGITS}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 
+#: Mark of added tokens among pre-tokens: a lone surrogate, which no text holds.
+ADDED = "\ud801"
+
 
 def byte_letters() -> dict[str, int]:
     """The letters that stand for bytes in the vocabulary: printable ones for themselves, the rest from U+0100 on."""
@@ -47,7 +50,7 @@ def byte_letters() -> dict[str, int]:
 class Encoder:
     """One vocabulary, its merge ranks and the words encoded so far."""
 
-    cache_limit = 300_000
+    cache_limit = 450_000
 
     def __init__(self, spec: bytes):
         doc = json.loads(spec)
@@ -87,7 +90,8 @@ class Encoder:
         self.length = np.array([len(b) for b in self.bytes_of], np.int64)
         self.seen_pairs, self.seen_fit = np.array([-1]), np.array([True])
         self.mended: dict[tuple[int, int], list[int]] = {}
-        self.words: dict[str, bytes] = {}
+        self.marked = {ADDED + t: self.packed[i] for t, i in self.added.items()}
+        self.known: dict[str, bytes] = dict(self.marked)
         self.older: dict[str, bytes] = {}
         self.counts = {"proposed": 0, "merged": 0}
         self._fast, self._full = re.compile(_LATIN_SPLIT), regex.compile(SPLIT)
@@ -207,27 +211,28 @@ class Encoder:
                 heapq.heappush(heap, (r, h, toks[h], toks[i]))
         return [t for t, x in zip(toks, alive, strict=True) if x]
 
-    def learn(self, words: set[str]) -> None:
-        """Encode words: propose, check all pairs, and mend or merge those that fail.
+    def encode_words(self, words: set[str]) -> dict[str, bytes]:
+        """Packed ids of pre-tokens: propose, check all pairs, and mend or merge those that fail.
 
         A failing pair is first replaced by the exact encoding of its two tokens' bytes, which many
         words share, and the word is checked again; what still fails is merged from its bytes.
         """
+        out: dict[str, bytes] = {}
         order = list(words)
         raws = [w.encode() for w in order]
         self.counts["proposed"] += len(order)
         ids, word = self.propose(raws)
         names = np.arange(len(order))
-        for attempt in range(4):
+        for _ in range(4):
             bad = self.broken(ids, word)
             start = np.searchsorted(word, np.arange(len(names)))
             end = np.append(start[1:], len(ids))
             fails = np.zeros(len(names), bool)
             fails[word[bad]] = True
             packed, good = ids.astype("<u4").tobytes(), np.flatnonzero(~fails)
-            self.words.update((order[n], packed[4 * a : 4 * b]) for n, a, b in zip(names[good].tolist(), start[good].tolist(), end[good].tolist(), strict=True))
+            out.update((order[n], packed[4 * a : 4 * b]) for n, a, b in zip(names[good].tolist(), start[good].tolist(), end[good].tolist(), strict=True))
             if not len(bad):
-                return
+                return out
             failing, first = np.unique(word[bad], return_index=True)
             flat, fixed, sizes = ids.tolist(), [], []
             for a, b, i in zip(start[failing].tolist(), end[failing].tolist(), bad[first].tolist(), strict=True):
@@ -244,19 +249,21 @@ class Encoder:
             ids, word, names = np.array(fixed, np.int64), np.repeat(np.arange(len(sizes)), sizes), names[failing]
         for n in names.tolist():
             self.counts["merged"] += 1
-            self.words[order[n]] = b"".join(map(self.packed.__getitem__, self.merge(raws[n])))
+            out[order[n]] = b"".join(map(self.packed.__getitem__, self.merge(raws[n])))
+        return out
 
     def split(self, text: str) -> list[str]:
+        """Pre-tokens."""
         return self._full.findall(text) if self._beyond.search(text) else self._fast.findall(text)
 
-    def pieces(self, text: str) -> list:
-        """Pre-tokens, and the ids of added tokens between them."""
+    def keys(self, text: str) -> list[str]:
+        """Pre-tokens, and marked added tokens between them."""
         if self._added is None or not self._added.search(text):
             return self.split(text)
         out, at = [], 0
         for m in self._added.finditer(text):
             out += self.split(text[at : m.start()])
-            out.append(self.added[m[0]])
+            out.append(ADDED + m[0])
             at = m.end()
         return out + self.split(text[at:])
 
@@ -268,24 +275,29 @@ class Encoder:
             while end < len(texts) and (end == at or chars + len(texts[end]) <= block):
                 chars += len(texts[end])
                 end += 1
-            split = [self.pieces(t) for t in texts[at:end]]
-            seen = set().union(*split)
-            if self._added is not None:
-                seen.difference_update(self.added.values())
-            new = seen - self.words.keys()
-            if len(self.words) + len(new) > self.cache_limit:  # the words of this block stay, the rest may come back from the older ones
-                self.older, self.words = self.words, {}
-                new = seen
-            words, older = self.words, self.older
-            back = new & older.keys()
-            words.update((w, older[w]) for w in back)
-            if len(new) > len(back):
-                self.learn(new - back)
-            for ws in split:
-                try:
-                    yield b"".join(map(words.__getitem__, ws))
-                except KeyError:  # an added token's id stands between the words
-                    yield b"".join(words[w] if w.__class__ is str else np.uint32(w).tobytes() for w in ws)
+            if len(self.known) > self.cache_limit:  # words met again come back from the older ones
+                self.older, self.known = self.known, dict(self.marked)
+            get, found, new = self.known.get, [], set()
+            for t in texts[at:end]:
+                keys = self.keys(t)
+                values = list(map(get, keys))
+                if None in values:
+                    new.update([k for k, v in zip(keys, values, strict=True) if v is None])
+                    found.append((keys, values))
+                else:
+                    found.append((None, values))
+            if new:
+                known, older = self.known, self.older
+                back = new & older.keys()
+                known.update((k, older[k]) for k in back)
+                new -= back
+                if new:
+                    known.update(self.encode_words(new))
+            known = self.known
+            for keys, values in found:
+                if keys is not None:
+                    values = [known[k] if v is None else v for k, v in zip(keys, values, strict=True)]
+                yield b"".join(values)
             at = end
 
     def decode(self, ids: list[int]) -> bytes:

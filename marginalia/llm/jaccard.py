@@ -359,12 +359,16 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096, c
 
 def _near_maps(a: list[bytes], b: list[bytes], na: np.ndarray, nb: np.ndarray, percent: int):
     """Pairs whose bitmaps differ in no more bits than grams may differ, some rows at a time."""
-    x, y = (np.frombuffer(b"".join(m), np.uint64).reshape(len(m), -1) for m in (a, b))
-    step = max(1, 2_000_000 // (y.size or 1))
-    for lo in range(0, len(x), step):
-        differ = np.bitwise_count(x[lo : lo + step, None, :] ^ y[None]).sum(axis=2, dtype=np.int64)
-        i, j = np.nonzero(differ * (100 + percent) <= (100 - percent) * (na[lo : lo + step, None] + nb[None]))
-        yield i + lo, j
+    # nodes of different bands are in one cluster only by chance, and then don't link here
+    la, lb = np.array([len(m) for m in a]), np.array([len(m) for m in b])
+    for size in np.intersect1d(la, lb).tolist():
+        ia, ib = np.flatnonzero(la == size), np.flatnonzero(lb == size)
+        x, y = (np.frombuffer(b"".join([m[i] for i in ix.tolist()]), np.uint64).reshape(len(ix), -1) for m, ix in ((a, ia), (b, ib)))
+        step = max(1, 2_000_000 // y.size)
+        for lo in range(0, len(x), step):
+            differ = np.bitwise_count(x[lo : lo + step, None, :] ^ y[None]).sum(axis=2, dtype=np.int64)
+            i, j = np.nonzero(differ * (100 + percent) <= (100 - percent) * (na[ia[lo : lo + step], None] + nb[None, ib]))
+            yield ia[i + lo], ib[j]
 
 
 def _near_sets(a: list[bytes], b: list[bytes], na: np.ndarray, nb: np.ndarray, percent: int):
