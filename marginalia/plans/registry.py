@@ -1,9 +1,14 @@
 """All queries of the library and their SQL."""
 
+from __future__ import annotations
+
+from . import relation_queries  # noqa: F401  (each module registers its queries)
+from .base import QUERIES, SQL
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
