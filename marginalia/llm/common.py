@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import atexit
-import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,25 +13,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-U64 = np.uint64
-
+from ..session import ship
 
-def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once a context, so that they need not have it installed."""
-    sc = spark.sparkContext
-    if getattr(sc, "_marginalia_shipped", False):
-        return
-    top = Path(__file__).resolve().parent.parent
-    folder = tempfile.mkdtemp(prefix="marginalia-code-")  # Spark serves the file from here to executors that start later
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    archive = f"{folder}/{top.name}_code.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for path in sorted(top.rglob("*.py")):
-            z.write(path, path.relative_to(top.parent).as_posix())
-    sc.addPyFile(archive)
-    # whole texts and sets make large rows: fewer of them in a batch keep a Python worker's memory bounded
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    sc._marginalia_shipped = True
+U64 = np.uint64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
