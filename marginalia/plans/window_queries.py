@@ -53,14 +53,14 @@ def largest_jumps(spark, sf_dir):
 
 @query("sliding_windows", """WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
 w AS (SELECT user_id, unnest(CASE WHEN i < 25 THEN [i - i % 25] ELSE [i - i % 25, i - i % 25 - 25] END) AS start, value, n FROM r)
-SELECT user_id, start, count(*) AS size, round(avg(value), 4) AS mean FROM w WHERE n - start >= 25 GROUP BY 1, 2""")
+SELECT user_id, start, count(*) AS size, round(sum(value), 2) AS total FROM w WHERE n - start >= 25 GROUP BY 1, 2""")
 def sliding_windows(spark, sf_dir):
     """WIN-7: windows of 50 events every 25, while 25 are left.  Each event names its two windows: no range join."""
     w = Window.partitionBy("user_id")
     r = table(spark, sf_dir, "events").select("user_id", "value", (F.row_number().over(w.orderBy("ts", "event_id")) - 1).cast("long").alias("i"), F.count("*").over(w).alias("n"))
     base = F.col("i") - F.col("i") % 25
     starts = F.explode(F.when(F.col("i") < 25, F.array(base)).otherwise(F.array(base, base - 25)))
-    return r.select("user_id", "value", "n", starts.alias("start")).where("n - start >= 25").groupBy("user_id", "start").agg(F.count("*").alias("size"), F.round(F.avg("value"), 4).alias("mean"))
+    return r.select("user_id", "value", "n", starts.alias("start")).where("n - start >= 25").groupBy("user_id", "start").agg(F.count("*").alias("size"), F.round(F.sum("value"), 2).alias("total"))
 
 
 @query("cumulative_snapshots", """WITH g AS (SELECT o_custkey AS g, count(*) AS n FROM orders GROUP BY 1), c AS (SELECT *, sum(n) OVER (ORDER BY g ROWS UNBOUNDED PRECEDING)::DOUBLE / sum(n) OVER () AS share FROM g),
