@@ -36,8 +36,8 @@ _LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 _LATIN_DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _LATIN_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[{_LATIN_DIGITS}]+| ?[^{WHITE}{_LATIN}{_LATIN_DIGITS}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 
-#: Mark of added tokens among pre-tokens: a lone surrogate, which no text holds.
-ADDED = "\ud801"
+#: Mark of added tokens among pre-tokens: no pre-token holds both a letter and a digit.
+ADDED = "a1"
 
 
 def byte_letters() -> dict[str, int]:
