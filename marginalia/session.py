@@ -26,4 +26,5 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(archive)
     # whole texts and sets make large rows: fewer of them in a batch keep a Python worker's memory bounded
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     sc._marginalia_shipped = True
