@@ -47,10 +47,114 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Words:
+    """Encoded words by a 64-bit hash: an open-addressing table of arrays, asked and filled for whole batches at once."""
+
+    def __init__(self, bits: int = 22):
+        self.mask = np.uint64((1 << bits) - 1)
+        self.keys, self.at = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        self.start, self.length, self.pool, self.n, self.used = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4"), 0, 0
+        self.limit = (1 << bits) // 2
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the words; -1 for unknown ones.  No hash is 0."""
+        out, left, slot = np.full(len(h), -1, np.int64), np.arange(len(h)), h & self.mask
+        while len(left):
+            key = self.keys[slot]
+            hit = key == h[left]
+            out[left[hit]] = self.at[slot[hit]]
+            on = ~hit & (key != 0)
+            left, slot = left[on], (slot[on] + np.uint64(1)) & self.mask
+        return out
+
+    def add(self, h: np.ndarray, ids: list[bytes]) -> None:
+        """New words; no hash twice, none known."""
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        fresh = np.frombuffer(b"".join(ids), "<u4")
+        while len(self.start) < self.n + len(ids):
+            self.start, self.length = (np.concatenate([x, np.empty(max(1 << 16, len(x)), np.int64)]) for x in (self.start, self.length))
+        while len(self.pool) < self.used + len(fresh):
+            self.pool = np.concatenate([self.pool, np.empty(max(1 << 18, len(self.pool)), "<u4")])
+        own = slice(self.n, self.n + len(ids))
+        self.start[own], self.length[own] = self.used + np.cumsum(size) - size, size
+        self.pool[self.used : self.used + len(fresh)] = fresh
+        number, slot = np.arange(self.n, self.n + len(ids)), h & self.mask
+        self.n, self.used = self.n + len(ids), self.used + len(fresh)
+        while len(h):
+            free = self.keys[slot] == 0
+            _, first = np.unique(slot[free], return_index=True)
+            won = np.flatnonzero(free)[first]
+            self.keys[slot[won]], self.at[slot[won]] = h[won], number[won]
+            rest = np.ones(len(h), bool)
+            rest[won] = False
+            h, number, slot = h[rest], number[rest], (slot[rest] + np.uint64(1)) & self.mask
+
+    def ids(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after another, and where each word's end."""
+        n = self.length[which]
+        ends = np.cumsum(n)
+        return self.pool[np.repeat(self.start[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
+#: Kinds of characters up to U+024F: letter, number, other, space, other white space; and what parts two texts.
+LETTER, NUMBER, OTHER, SPACE, BLANK, BETWEEN = range(6)
+PART = "\U0010ffff"
+_TOP = 0x250
+
+
+def _kinds() -> np.ndarray:
+    out = np.full(_TOP + 1, OTHER, np.int8)
+    for kind, chars in ((LETTER, _LATIN), (NUMBER, _LATIN_DIGITS), (BLANK, WHITE)):
+        out[[ord(c) for c in map(chr, range(_TOP)) if re.match(f"[{chars}]", c)]] = kind
+    out[32], out[_TOP] = SPACE, BETWEEN
+    return out
+
+
+class Cutter:
+    """Pre-tokens of texts of characters up to U+024F without apostrophes, found and hashed by array operations.
+
+    A token starts where the kind of character changes, save that one space goes with what follows it; the last
+    of several white-space characters before a word stands apart from the others.  Hashes are polynomials over
+    random numbers of the characters, mixed with the length: 64 bits, so two words of one hash are not to be met.
+    """
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self) -> None:
+        self.kind = _kinds()
+        self.number = C.mix64(np.arange(_TOP + 1, dtype=np.uint64) + np.uint64(77))
+        self.power = self.inverse = np.empty(0, np.uint64)
+
+    def cut(self, joined: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and hash of each token, and how many tokens come before each part's end."""
+        cp = np.minimum(np.frombuffer(joined.encode("utf-32-le"), "<u4"), _TOP)
+        kind = self.kind[cp]
+        n = len(kind)
+        if n > len(self.power):
+            with np.errstate(over="ignore"):
+                self.power = np.cumprod(np.full(n, self.BASE, np.uint64))
+                self.inverse = np.cumprod(np.full(n, pow(self.BASE, -1, 1 << 64), np.uint64))
+        word, blank = kind <= OTHER, (kind == SPACE) | (kind == BLANK)
+        start = np.empty(n, bool)
+        start[0:1] = True
+        before, here = kind[:-1], kind[1:]
+        start[1:] = ((before != here) & (before != SPACE) & word[1:]) | (blank[1:] & ~blank[:-1]) | (here == BETWEEN) | (before == BETWEEN)
+        start[:-1] |= blank[:-1] & word[1:]
+        first = np.flatnonzero(start)
+        end = np.append(first[1:], n)
+        own = kind[first] != BETWEEN
+        counts = np.append(np.cumsum(own)[~own], own.sum())
+        first, end = first[own], end[own]
+        with np.errstate(over="ignore"):
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.number[cp] * self.power[:n])))
+            h = (total[end] - total[first]) * self.inverse[first]
+            return first, end, C.mix64(h ^ ((end - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) | np.uint64(1), counts
+
+
 class Encoder:
     """One vocabulary, its merge ranks and the words encoded so far."""
 
-    cache_limit = 450_000
+    cache_limit = 200_000
 
     def __init__(self, spec: bytes):
         doc = json.loads(spec)
@@ -92,10 +196,11 @@ class Encoder:
         self.mended: dict[tuple[int, int], list[int]] = {}
         self.marked = {ADDED + t: self.packed[i] for t, i in self.added.items()}
         self.known: dict[str, bytes] = dict(self.marked)
-        self.older: dict[str, bytes] = {}
         self.counts = {"proposed": 0, "merged": 0}
         self._fast, self._full = re.compile(_LATIN_SPLIT), regex.compile(SPLIT)
         self._beyond = re.compile("[^\x00-\u024f]")
+        self._slow = re.compile("[^\x00-\u024f]|'")
+        self.cutter, self.table = Cutter(), Words()
         self._added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
 
     def _spines(self, parts: dict, size: int) -> None:
@@ -104,7 +209,8 @@ class Encoder:
         Row t of ``right``: t, its last part, that part's last part, and so on;
         ``right_until``: the rank of the merge that takes the symbol up (none for t itself).
         """
-        never = np.iinfo(np.int64).max
+        never = np.iinfo(np.int32).max
+
         def spine(t: int, side: int) -> list[tuple[int, int]]:
             out = [(t, never)]
             while t in parts:
@@ -115,7 +221,7 @@ class Encoder:
         both = [[spine(t, side) for t in range(size)] for side in (1, 0)]
         for name, spines in zip(("right", "left"), both, strict=True):
             deep = max(map(len, spines))
-            symbols, until = np.full((size, deep), -1, np.int64), np.full((size, deep), -1, np.int64)
+            symbols, until = np.full((size, deep), -1, np.int32), np.full((size, deep), -1, np.int32)
             for t, s in enumerate(spines):
                 symbols[t, : len(s)], until[t, : len(s)] = zip(*s, strict=True)
             setattr(self, name, symbols)
@@ -128,7 +234,7 @@ class Encoder:
         before x is taken up leftwards (equal ranks: the left one goes first) and not
         after y is taken up rightwards.
         """
-        ok = np.ones(len(a), bool)
+        ok, never = np.ones(len(a), bool), 1 << 40
         for i in range(self.right.shape[1]):
             x, xu = self.right[a, i], self.right_until[a, i]
             if not (x >= 0).any():
@@ -140,10 +246,10 @@ class Encoder:
                     if not (y >= 0).any():
                         break
                     continue
-                key = x[here] * self.size + y[here]
+                key = x[here].astype(np.int64) * self.size + y[here]
                 at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-                rank = np.where(self.pair_keys[at] == key, self.pair_ranks[at], np.iinfo(np.int64).max)
-                ok[here[(rank < xu[here]) & (rank <= yu[here]) & (rank < np.iinfo(np.int64).max)]] = False
+                rank = np.where(self.pair_keys[at] == key, self.pair_ranks[at], never)
+                ok[here[(rank < xu[here]) & (rank <= yu[here]) & (rank < never)]] = False
         return ok
 
     def propose(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -267,7 +373,7 @@ class Encoder:
             at = m.end()
         return out + self.split(text[at:])
 
-    def encode_batch(self, texts: list[str], block: int = 1 << 21):
+    def encode_batch(self, texts: list[str], block: int = 1 << 19):
         """Packed little-endian unsigned 32-bit ids of each text, in turn."""
         at = 0
         while at < len(texts):
@@ -275,31 +381,45 @@ class Encoder:
             while end < len(texts) and (end == at or chars + len(texts[end]) <= block):
                 chars += len(texts[end])
                 end += 1
-            if len(self.known) > self.cache_limit:  # words met again come back from the older ones
-                self.older, self.known = self.known, dict(self.marked)
-            get, found, new = self.known.get, [], set()
-            for t in texts[at:end]:
-                keys = self.keys(t)
-                values = list(map(get, keys))
-                if None in values:
-                    new.update([k for k, v in zip(keys, values, strict=True) if v is None])
-                    found.append((keys, values))
-                else:
-                    found.append((None, values))
-            if new:
-                known, older = self.known, self.older
-                back = new & older.keys()
-                known.update((k, older[k]) for k in back)
-                new -= back
-                if new:
-                    known.update(self.encode_words(new))
-            known = self.known
-            for keys, values in found:
-                if keys is not None:
-                    values = [known[k] if v is None else v for k, v in zip(keys, values, strict=True)]
-                yield b"".join(values)
+            part = texts[at:end]
+            slow = [bool(self._slow.search(t)) or (self._added is not None and self._added.search(t) is not None) for t in part]
+            fast = iter(self._encode_fast([t for t, x in zip(part, slow, strict=True) if not x]))
+            rest = iter(self._encode_slow([t for t, x in zip(part, slow, strict=True) if x]))
+            yield from (next(rest if x else fast) for x in slow)
             at = end
 
+    def _encode_fast(self, texts: list[str]) -> list[bytes]:
+        """By arrays: cut, hash, look up; only words not met before become strings."""
+        if not texts:
+            return []
+        joined = PART.join(texts)
+        first, end, h, counts = self.cutter.cut(joined)
+        which = self.table.find(h)
+        lost = np.flatnonzero(which < 0)
+        if len(lost):
+            new, place = np.unique(h[lost], return_index=True)
+            if self.table.n + len(new) > self.table.limit:  # begin anew; this block's words are all learnt again
+                self.table = Words(int(self.table.mask).bit_length())
+                lost = np.arange(len(h))
+                new, place = np.unique(h, return_index=True)
+            words = [joined[a:b] for a, b in zip(first[lost][place].tolist(), end[lost][place].tolist(), strict=True)]
+            ids = self.encode_words(set(words))
+            self.table.add(new, [ids[w] for w in words])
+            which[lost] = self.table.find(h[lost])
+        ids, ends = self.table.ids(which)
+        stops = np.concatenate(([0], ends))[counts].tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+
+    def _encode_slow(self, texts: list[str]) -> list[bytes]:
+        """By the pattern itself: texts of any characters, with apostrophes or added tokens."""
+        if len(self.known) > self.cache_limit:
+            self.known = dict(self.marked)
+        keys = [self.keys(t) for t in texts]
+        new = set().union(*keys) - self.known.keys()
+        if new:
+            self.known.update(self.encode_words(new))
+        return [b"".join(map(self.known.__getitem__, ks)) for ks in keys]
+
     def decode(self, ids: list[int]) -> bytes:
         """UTF-8 of the decoded text; what is no UTF-8 becomes U+FFFD, as the library's decode does."""
         raw = b"".join(map(self.bytes_of.__getitem__, ids))
