@@ -136,6 +136,20 @@ def by_bucket(batches):
             yield int(bucket[lo]), kinds
 
 
+def joined(rows: list) -> tuple[np.ndarray, ...]:
+    """All packets of (to, node) pairs as one: to, place of the node, and the distinct nodes with vectors, scales and limits."""
+    to, who, nodes, vectors, scale, limit, base = [], [], [], [], [], [], 0
+    for pairs, own, packed, limits in rows:
+        n = len(pairs) // 12
+        to.append(i8(pairs[: 8 * n])), who.append(np.frombuffer(pairs, "<i4", n, 8 * n).astype(np.int64) + base)
+        v, s = unpack_vectors(packed, len(own) // 8)
+        nodes.append(i8(own)), vectors.append(v), scale.append(s), limit.append(f4(limits))
+        base += len(own) // 8
+    to, who, nodes, vectors, scale, limit = (np.concatenate(x) for x in (to, who, nodes, vectors, scale, limit))
+    nodes, first, back = np.unique(nodes, return_index=True, return_inverse=True)
+    return to, back[who], nodes, vectors[first], scale[first], limit[first]
+
+
 def exchanged(df: DataFrame) -> DataFrame:
     return df.repartition(C.shuffle_partitions(df.sparkSession), "bucket").sortWithinPartitions("bucket")
 
@@ -343,15 +357,10 @@ def introduced(state: DataFrame, buckets: int) -> DataFrame:
 
     def meet(batches):
         for _, kinds in by_bucket(batches):
-            center, member, nodes, vectors, limit, base = [], [], [], [], [], 0
-            for pairs, own, packed, limits in kinds.get(MEMBERS, []):
-                n = len(pairs) // 12
-                center.append(i8(pairs[: 8 * n])), member.append(np.frombuffer(pairs, "<i4", n, 8 * n) + base)
-                nodes.append(i8(own)), vectors.append(floats(*unpack_vectors(packed, len(own) // 8))), limit.append(f4(limits))
-                base += len(own) // 8
-            if not center:
+            if MEMBERS not in kinds:
                 continue
-            center, member, nodes, x, limit = (np.concatenate(c) for c in (center, member, nodes, vectors, limit))
+            center, member, nodes, vectors, scale, limit = joined(kinds[MEMBERS])
+            x = floats(vectors, scale)
             order = np.argsort(center, kind="stable")
             center, member = center[order], member[order]
             us, vs, ss, held, out = [], [], [], 0, Sender()
@@ -452,14 +461,12 @@ def search(state: DataFrame, queries: DataFrame, buckets: int, beam: int = BEAM,
             if STATE not in kinds or VISITS not in kinds:
                 continue
             block, out = Block(kinds[STATE][0]), Sender()
-            for pairs, own, packed, limits in kinds[VISITS]:
-                n = len(pairs) // 12
-                at, who = block.at(i8(pairs[: 8 * n])), np.frombuffer(pairs, "<i4", n, 8 * n)
-                nodes = i8(own)
-                to, back = block.ids[at].ravel(), np.repeat(who, block.ids.shape[1])
-                ok = (to >= 0) & (to != nodes[back])
-                pair = np.unique(np.stack([to[ok], back[ok].astype(np.int64)], 1), axis=0)
-                out.vectors(np.ascontiguousarray(pair[:, 0]), ASKS, buckets, pair[:, 1], nodes, *unpack_vectors(packed, len(nodes)), f4(limits))
+            to, who, nodes, vectors, scale, limit = joined(kinds[VISITS])
+            at = block.at(to)
+            onward, back = block.ids[at].ravel(), np.repeat(who, block.ids.shape[1])
+            ok = (onward >= 0) & (onward != nodes[back])
+            pair = np.unique(np.stack([onward[ok], back[ok]], 1), axis=0)
+            out.vectors(np.ascontiguousarray(pair[:, 0]), ASKS, buckets, pair[:, 1], nodes, vectors, scale, limit)
             yield out.batch()
 
     def answers(batches):
@@ -469,13 +476,11 @@ def search(state: DataFrame, queries: DataFrame, buckets: int, beam: int = BEAM,
                 continue
             block, out = Block(kinds[STATE][0]), Sender()
             x = floats(block.vectors, block.scale)
-            for pairs, own, packed, limits in kinds[ASKS]:
-                n = len(pairs) // 12
-                at, who = block.at(i8(pairs[: 8 * n])), np.frombuffer(pairs, "<i4", n, 8 * n)
-                q, nodes, limit = floats(*unpack_vectors(packed, len(own) // 8)), i8(own), f4(limits)
-                s = np.concatenate([np.einsum("ij,ij->i", x[at[a : a + 65536]], q[who[a : a + 65536]]) for a in range(0, n, 65536)])
-                ok = s > limit[who]
-                out.edges(nodes[who[ok]], ANSWERS, buckets, nodes[who[ok]], block.nodes[at[ok]], s[ok].astype("<f4"))
+            to, who, nodes, vectors, scale, limit = joined(kinds[ASKS])
+            q, at = floats(vectors, scale), block.at(to)
+            s = np.concatenate([np.einsum("ij,ij->i", x[at[a : a + 65536]], q[who[a : a + 65536]]) for a in range(0, len(at), 65536)])
+            ok = s > limit[who]
+            out.edges(nodes[who[ok]], ANSWERS, buckets, nodes[who[ok]], block.nodes[at[ok]], s[ok].astype("<f4"))
             yield out.batch()
 
     def take(batches):
@@ -538,7 +543,7 @@ def _open(batches):
 def neighbours(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", divisor: int = DIVISOR, top: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest found of each id divisible by ``divisor``."""
     spark = vectors.sparkSession
-    buckets = 4 * C.shuffle_partitions(spark)
+    buckets = C.shuffle_partitions(spark)
     known = C.staged(spark, nodes_of(vectors, id_col, vec_col, top + 1), "ann-nodes")
     asked = vectors.where(F.col(id_col) % divisor == 0).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
 
