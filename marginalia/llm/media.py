@@ -184,16 +184,23 @@ class Queries:
                 yield self.ids[q], shift, int(counts[o]), overlap, error
 
 
+def query_blocks(queries: DataFrame, block: int):
+    """The queries' (id, fingerprint), some ``block`` at a time: what the driver holds doesn't grow with their number."""
+    asked = queries.where("id is not null and length(fingerprint) > 0").select("id", "fingerprint").distinct()
+    n = max(1, -(-asked.count() // block))
+    for b in range(n):
+        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(n)) == b).orderBy("id").collect()
+        if rows:
+            yield [(r["id"], bytes(r["fingerprint"])) for r in rows]
+
+
 def align(prints: DataFrame, queries: DataFrame, block: int = QUERIES) -> DataFrame:
     """query_id, match_id, offset_frames, hits, overlap, bit_error: recordings that align with a query."""
     spark = prints.sparkSession
     ddl = "query_id long, match_id long, offset_frames int, hits int, overlap int, bit_error double"
-    asked = queries.where("id is not null and length(fingerprint) > 0").select("id", "fingerprint").distinct()
-    blocks = [r["b"] for r in asked.select(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-asked.count() // block)))).alias("b")).distinct().orderBy("b").collect()]
     out = spark.createDataFrame([], ddl)
-    for b in blocks:
-        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(max(1, len(blocks)))) == b).orderBy("id").collect()
-        shared = spark.sparkContext.broadcast([(r["id"], bytes(r["fingerprint"])) for r in rows])  # some ``block`` fingerprints
+    for rows in query_blocks(queries, block):
+        shared = spark.sparkContext.broadcast(rows)  # some ``block`` fingerprints
 
         def run(batches, shared=shared):
             known = Queries(shared.value)
@@ -206,6 +213,41 @@ def align(prints: DataFrame, queries: DataFrame, block: int = QUERIES) -> DataFr
     return out
 
 
+def linked(prints: DataFrame, queries: DataFrame, block: int = QUERIES) -> DataFrame:
+    """id, n_frames, n_links, best_query, offset_frames, overlap, bit_error: every recording with the number of
+    queries that align with it, and the best of them (least bit error, then least query id).
+
+    A recording's alignments are summed up where they are found, so a group of copies makes one row a
+    recording and block of queries, not all its pairs.
+    """
+    spark = prints.sparkSession
+    ddl = "id long, n_links long, bit_error double, best_query long, offset_frames int, overlap int"
+    size = prints.select("id", (F.length("fingerprint") / 4).cast("int").alias("n_frames"))
+    each = None
+    for rows in query_blocks(queries, block):
+        shared = spark.sparkContext.broadcast(rows)  # some ``block`` fingerprints
+
+        def run(batches, shared=shared):
+            known = Queries(shared.value)
+            for batch in batches:
+                got = []
+                for i, p in zip(batch.column("id").to_pylist(), batch.column("fingerprint").to_pylist(), strict=True):
+                    found = sorted((e, q, shift, overlap) for q, shift, _, overlap, e in known.aligned(i, np.frombuffer(p, "<u4"))) if p and i is not None else []
+                    if found:
+                        e, q, shift, overlap = found[0]
+                        got.append((i, len(found), e, q, shift, overlap))
+                cols = list(zip(*got, strict=True)) or [[]] * 6
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["id", "n_links", "bit_error", "best_query", "offset_frames", "overlap"])
+
+        part = C.map_arrow(prints.select("id", "fingerprint"), run, ddl)
+        each = part if each is None else each.unionByName(part)
+    if each is None:
+        each = spark.createDataFrame([], ddl)
+    best = F.min(F.struct("bit_error", "best_query", "offset_frames", "overlap")).alias("b")
+    found = each.distinct().groupBy("id").agg(F.sum("n_links").alias("n_links"), best)
+    return size.join(found, "id", "left").select("id", "n_frames", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("b.best_query").alias("best_query"), F.col("b.offset_frames").alias("offset_frames"), F.col("b.overlap").alias("overlap"), F.round("b.bit_error", 9).alias("bit_error"))
+
+
 # --------------------------------------------------------------------------- recordings for tables without media
 
 NOTE = 512
@@ -220,6 +262,16 @@ def tune(steps: np.ndarray) -> bytes:
     return (x.ravel() * 12000).astype("<i2").tobytes()
 
 
+def tune_of(i: int | None, v: list | None) -> bytes | None:
+    """The recording of one vector; None for an unusable one."""
+    if not v or any(x is None or x != x or abs(x) == float("inf") for x in v):
+        return None
+    x = np.array(v, np.float64)
+    scale = np.sqrt((x * x).mean()) or 1.0
+    lead = (np.arange((i or 0) % 4) * 5 + 2) % 11 - 3
+    return tune(np.concatenate([lead, 2 + np.round(2 * x / scale)]))
+
+
 def played(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, media): each vector played as a tune, a note a component, after a few notes that depend on the id.
 
@@ -229,20 +281,12 @@ def played(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
 
     def run(batches):
         for b in batches:
-            media = []
-            for i, v in zip(b.column("id").to_pylist(), b.column("vec").to_pylist(), strict=True):
-                if not v or any(x is None or x != x or abs(x) == float("inf") for x in v):
-                    media.append(None)
-                    continue
-                x = np.array(v, np.float64)
-                scale = np.sqrt((x * x).mean()) or 1.0
-                lead = (np.arange((i or 0) % 4) * 5 + 2) % 11 - 3
-                media.append(tune(np.concatenate([lead, 2 + np.round(2 * x / scale)])))
-            yield pa.record_batch([b.column("id"), C.binary_column(media)], names=["id", "media"])
+            yield pa.record_batch([b.column("id"), C.binary_column([tune_of(i, v) for i, v in zip(b.column("id").to_pylist(), b.column("vec").to_pylist(), strict=True)])], names=["id", "media"])
 
     return C.map_arrow(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")), run, "id long, media binary")
 
 
 def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prints = C.staged(spark, fingerprints(played(C.table(spark, sf_dir, "embeddings")), "id", "media"), "fingerprints")
-    return align(prints, prints.where(F.col("id") % 50 == 0))
+    media = played(C.table(spark, sf_dir, "embeddings"))
+    prints = C.staged(spark, fingerprints(media, "id", "media"), "fingerprints")
+    return linked(prints, prints.where(F.col("id") % 50 == 0)).withColumnRenamed("id", "vec_id")
