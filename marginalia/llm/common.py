@@ -101,7 +101,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """bytes -> 64-bit hash; when full, the words met since the last time stay within reach."""
 
-    limit = 300_000
+    limit = 200_000
 
     def __init__(self) -> None:
         self.older: dict[bytes, int] = {}

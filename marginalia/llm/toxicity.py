@@ -135,7 +135,7 @@ class Model:
 class Scorer:
     """Worst decision value of texts; tokens seen before are remembered up to a bound."""
 
-    limit = 300_000
+    limit = 120_000
 
     def __init__(self, model: Model):
         self.model, self.known, self.older = model, {}, {}
