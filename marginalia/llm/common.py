@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -12,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import ship
 
@@ -167,10 +170,27 @@ def schema_of(ddl: str) -> pa.Schema:
     return pa.schema([pa.field(n, kinds[t]) for n, t in (c.split() for c in ddl.split(","))])
 
 
-def map_arrow(df: DataFrame, fn: Callable, ddl: str) -> DataFrame:
+def tidy() -> None:
+    """Give memory that a task has done with back to the system: Spark keeps its Python workers, and
+    what each of them still holds counts against the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, fn: Callable, ddl: str | StructType) -> DataFrame:
     """``mapInArrow`` by code that the executors have been sent."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, ddl)
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            tidy()
+
+    return df.mapInArrow(run, ddl)
 
 
 def docs_of(docs: DataFrame) -> DataFrame:

@@ -144,18 +144,16 @@ def keep_good(docs: DataFrame, model: Model | float) -> DataFrame:
     C.ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def good(text):
-        import pandas as pd
-
-        m, out = shared.value, []
-        values = ["" if t is None else t for t in text]
-        for i in range(0, len(values), 512):
-            part = values[i : i + 512]
-            out += [m] * len(part) if isinstance(m, float) else m.scores(np.array([terms(t) for t in part])).tolist()
-        return pd.Series(np.round(np.array(out, np.float64), 6) >= THRESHOLD)
-
-    return docs.where(good("text"))
+    def run(batches):
+        m = shared.value
+        for b in batches:
+            texts, out = C.texts_of(b.column("text")), []
+            for i in range(0, len(texts), 512):
+                part = texts[i : i + 512]
+                out += [m] * len(part) if isinstance(m, float) else m.scores(np.array([terms(t) for t in part])).tolist()
+            yield b.filter(pa.array(np.round(np.array(out, np.float64), 6) >= THRESHOLD))
+
+    return C.map_arrow(docs, run, docs.schema)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -307,27 +307,15 @@ def keep_civil(docs: DataFrame, model: Model | float) -> DataFrame:
     C.ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def civil(texts):
-        import pandas as pd
-
+    def run(batches):
         m = shared.value
-        values = ["" if t is None else t for t in texts]
-        s = np.full(len(values), m) if isinstance(m, float) else m.probability(scorer_of(m).worst(values))
-        return pd.Series(np.round(s.astype(np.float64), 6) < THRESHOLD)
-
-    return docs.where(civil("text"))
-
-
-_SCORERS: dict[int, Scorer] = {}
-
+        scorer = None if isinstance(m, float) else Scorer(m)
+        for b in batches:
+            texts = C.texts_of(b.column("text"))
+            s = np.full(len(texts), m) if scorer is None else m.probability(scorer.worst(texts))
+            yield b.filter(pa.array(np.round(s.astype(np.float64), 6) < THRESHOLD))
 
-def scorer_of(model: Model) -> Scorer:
-    """One scorer a process and model, so that its memory of tokens lasts from batch to batch."""
-    if id(model) not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[id(model)] = Scorer(model)
-    return _SCORERS[id(model)]
+    return C.map_arrow(docs, run, docs.schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
