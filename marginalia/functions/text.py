@@ -28,9 +28,10 @@ def features(x: Column, fields: dict[str, tuple[str, ...]], prefixes: dict[str,
     """
     tokens = F.split(x, r"\|", -1)
     last = lambda xs: F.try_element_at(xs, F.lit(-1))
-    out = {name: last(F.filter(tokens, lambda t, v=values: t.isin(*v))) for name, values in fields.items()}
-    out |= {name: F.substring(last(F.filter(tokens, lambda t, p=p: t.startswith(p))), len(p) + 1, 1 << 30) for name, p in prefixes.items()}
-    return out
+    one_of = lambda values: lambda t: t.isin(*values)
+    begins = lambda p: lambda t: t.startswith(p)
+    out = {name: last(F.filter(tokens, one_of(values))) for name, values in fields.items()}
+    return out | {name: F.substring(last(F.filter(tokens, begins(p))), len(p) + 1, 1 << 30) for name, p in prefixes.items()}
 
 
 def without_prefixes(x: Column, *prefixes: str) -> Column:
