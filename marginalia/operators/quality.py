@@ -25,8 +25,9 @@ def repeated_keys(df: DataFrame, key: list[str]) -> DataFrame:
 
 def wrong_counts(parent: DataFrame, key: str, stated: str, child: DataFrame, foreign: str) -> DataFrame:
     """JOI-7: parents whose stated count isn't that of their children."""
-    n = child.groupBy(F.col(foreign).alias(key)).agg(F.count("*").alias("n"))
-    return parent.join(n, key, "left").where(F.coalesce("n", F.lit(0)) != F.col(stated)).select(key, stated, F.coalesce("n", F.lit(0)).alias("counted"))
+    n = child.groupBy(F.col(foreign).alias(key)).agg(F.count("*").alias("__counted"))
+    counted = F.coalesce("__counted", F.lit(0))
+    return parent.join(n, key, "left").where(counted != F.col(stated)).select(key, stated, counted.alias("counted"))
 
 
 def report(checks: dict[str, DataFrame]) -> DataFrame:
