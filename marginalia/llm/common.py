@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -101,23 +100,38 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """bytes -> 64-bit hash; when full, the words met since the last time stay within reach."""
+class Words:
+    """Hashes of the words of texts: A-Z in lower case, split at ASCII white space, by array operations.
 
-    limit = 200_000
+    A word's hash is a polynomial over random numbers of its bytes, mixed with its length: 64 bits.
+    """
+
+    BASE = 0x9E3779B97F4A7C15
 
     def __init__(self) -> None:
-        self.older: dict[bytes, int] = {}
-
-    def __missing__(self, word: bytes) -> int:
-        h = self.older.get(word)
-        if h is None:
-            h = xxhash.xxh64_intdigest(word)
-        if len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
-        self[word] = h
-        return h
+        low = np.arange(256)
+        low[65:91] += 32
+        self.number = mix64(low.astype(np.uint64) + U64(1001))
+        self.blank = np.zeros(256, bool)
+        self.blank[[32, *range(9, 14)]] = True
+        self.power = self.inverse = np.empty(0, np.uint64)
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' hashes, and the number of words of each text."""
+        raws = [t.encode() for t in texts]
+        raw = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
+        n = len(raw)
+        if n > len(self.power):
+            with np.errstate(over="ignore"):
+                self.power = np.cumprod(np.full(n, self.BASE, np.uint64))
+                self.inverse = np.cumprod(np.full(n, pow(self.BASE, -1, 1 << 64), np.uint64))
+        turn = np.flatnonzero(np.diff(self.blank[raw], prepend=True))
+        first, end = turn[::2], turn[1::2]
+        with np.errstate(over="ignore"):
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.number[raw] * self.power[:n])))
+            h = mix64((total[end] - total[first]) * self.inverse[first] ^ ((end - first).astype(np.uint64) * U64(0xD6E8FEB86659FD93)))
+        stops = np.cumsum([len(r) + 1 for r in raws]) if raws else np.empty(0, np.int64)
+        return h, np.diff(np.searchsorted(first, stops), prepend=0)
 
 
 # --------------------------------------------------------------------------- Arrow plumbing

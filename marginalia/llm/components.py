@@ -42,7 +42,7 @@ def least_of(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = new
 
 
-def _contract(batches):
+def contract(batches):
     """The links of one partition, reduced to one link a node: a forest of stars."""
     tables = [b for b in batches if b.num_rows]
     if not tables:
@@ -64,23 +64,23 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+def components(links: DataFrame, one_task: int = ONE_TASK, contracted: bool = False) -> DataFrame:
     """(node, component) for the nodes of ``links`` (u, v: long); the component is its least node.
 
-    Null ends and links of a node to itself say nothing.  Repeated links are one.
+    ``contracted``: each partition's links have been through ``contract`` already.  Null ends and links of a node to itself say nothing.  Repeated links are one.
     """
     spark = links.sparkSession
-    now = C.staged(spark, C.map_arrow(links.where("u <> v").select("u", "v"), _contract, "u long, v long"), "links")
+    now = C.staged(spark, links if contracted else C.map_arrow(links.where("u <> v").select("u", "v"), contract, "u long, v long"), "links")
     size = now.count()
     while size > one_task:  # partitions drawn together, each of bounded size, share many nodes and shrink
-        new = C.staged(spark, C.map_arrow(now.coalesce(-(-size // one_task)), _contract, "u long, v long"), "links")
+        new = C.staged(spark, C.map_arrow(now.coalesce(-(-size // one_task)), contract, "u long, v long"), "links")
         before, size = size, new.count()
         C.drop(spark, now)
         now = new
         if size > 0.7 * before:
             break
     if size <= one_task:
-        stars = C.map_arrow(now.coalesce(1), _contract, "u long, v long") if size else now
+        stars = C.map_arrow(now.coalesce(1), contract, "u long, v long") if size else now
     else:
         while True:
             stars = C.staged(spark, _star(_star(now, True), False), "links")

@@ -25,7 +25,7 @@ n is one gram.  Repeated rows and equal texts fall into one class.
 
 from __future__ import annotations
 
-from itertools import chain, combinations
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .components import components, least_of
+from .components import components, contract, least_of
 
 SIZE, PERCENT = 4, 85
 N2, K2 = 3, 1
@@ -42,17 +42,14 @@ BLOCK_GRAMS, BLOCK_CLASSES = 600_000, 768
 #: The same of blocks of bitmaps, by bytes.
 BLOCK_BYTES, BLOCK_MAPS = 4_000_000, 4096
 #: Grams worked on at once.
-AT_ONCE = 400_000
+AT_ONCE = 150_000
 
 
-def gram_sets(texts: list[str], n: int, hashes: C.WordHashes) -> list[np.ndarray]:
+def gram_sets(texts: list[str], n: int, words: C.Words) -> list[np.ndarray]:
     """Sorted distinct 40-bit hashes of each text's word n-grams; A-Z in lower case, words split at ASCII space."""
-    words = [t.encode().lower().split() for t in texts]
-    lens = np.array([len(w) for w in words])
-    total = int(lens.sum())
-    h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.uint64, total)
+    h, lens = words.of(texts)
     ends = np.cumsum(lens)
-    whole = _windows(h, n) if total >= n else np.empty(0, np.uint64)
+    whole = _windows(h, n) if len(h) >= n else np.empty(0, np.uint64)
     out = []
     for size, end in zip(lens.tolist(), ends.tolist(), strict=True):
         g = whole[end - size : end - n + 1] if size >= n else _windows(h[end - size : end], size) if size else h[:0]
@@ -71,10 +68,6 @@ def _windows(h: np.ndarray, n: int) -> np.ndarray:
         return C.mix64(out + np.uint64(n)) >> np.uint64(24)
 
 
-def grams(text: str, n: int, hashes: C.WordHashes) -> np.ndarray:
-    return gram_sets([text], n, hashes)[0]
-
-
 def blocks_of(batches, column: str = "text"):
     """(batch, first row, texts) in blocks of bounded length."""
     for batch in batches:
@@ -180,7 +173,7 @@ def signed(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
     """
 
     def run(batches):
-        hashes, bands, done = C.WordHashes(), Bands(percent), set()
+        hashes, bands, done = C.Words(), Bands(percent), set()
         for _, _, texts in blocks_of(batches):
             sets, names = [], []
             for g in gram_sets(texts, n, hashes):
@@ -246,7 +239,7 @@ def clusters(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, component): classes in a band, connected by shared signatures."""
     parts = C.shuffle_partitions(docs.sparkSession)
     along = signed(docs, n, percent, 4 * parts).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return components(C.map_arrow(along, _stars, "u long, v long"))
+    return components(C.map_arrow(along, lambda batches: contract(_stars(batches)), "u long, v long"), contracted=True)
 
 
 # A fixed-size filter over class names: whatever the input, 2^25 bits (4 MB) are broadcast.
@@ -289,7 +282,7 @@ def described(docs: DataFrame, n: int, percent: int, wanted: np.ndarray) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(wanted)  # of fixed size
 
     def run(batches):
-        hashes, given, bands, bits = C.WordHashes(), set(), Bands(percent), shared.value
+        hashes, given, bands, bits = C.Words(), set(), Bands(percent), shared.value
         for batch, at, texts in blocks_of(batches):
             sets = gram_sets(texts, n, hashes)
             names = [class_of(g) for g in sets]
@@ -349,10 +342,11 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096, c
     if len(pa_):
         start, end = np.searchsorted(pb, pa_, "left"), np.searchsorted(pb, pa_, "right")
         many = end - start
-        for lo in range(0, len(pa_), 200_000):
-            m = many[lo : lo + 200_000]
-            i = np.repeat(ra[lo : lo + 200_000], m)
-            j = rb[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(start[lo : lo + 200_000], m)]
+        cuts = np.searchsorted(np.cumsum(many), np.arange(1_000_000, int(many.sum()) + 1_000_000, 1_000_000)) + 1  # some million pairs at once
+        for lo, hi in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+            m = many[lo:hi]
+            i = np.repeat(ra[lo:hi], m)
+            j = rb[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(start[lo:hi], m)]
             out += np.bincount(i * len(b) + j, minlength=out.size).reshape(out.shape)
     return out
 
@@ -425,7 +419,7 @@ def compared(sets: DataFrame, cluster: DataFrame, near, percent: int, block: int
     )
     dealt = sets.join(tasks, "node").select("task", "side", "name", "n", "payload")
     along = dealt.repartition(C.shuffle_partitions(sets.sparkSession), "task").sortWithinPartitions("task", "side", "name")
-    return C.map_arrow(along, _compared(near, percent), "u long, v long")
+    return C.map_arrow(along, lambda batches, fn=_compared(near, percent): contract(fn(batches)), "u long, v long")
 
 
 def links(known: DataFrame, cluster: DataFrame, percent: int) -> DataFrame:
@@ -434,7 +428,7 @@ def links(known: DataFrame, cluster: DataFrame, percent: int) -> DataFrame:
     held = known.where("grams is not null").withColumnRenamed("n_shingles", "n")
     pair = F.explode(F.arrays_zip("nodes", "maps")).alias("pair")
     maps = held.select(pair, "n").select(F.col("pair.nodes").alias("node"), F.col("pair.nodes").alias("name"), "n", F.length("pair.maps").alias("weight"), F.col("pair.maps").alias("payload"))
-    closer = C.staged(spark, components(compared(maps, cluster, _near_maps, percent, BLOCK_BYTES, BLOCK_MAPS)), "jaccard-closer")
+    closer = C.staged(spark, components(compared(maps, cluster, _near_maps, percent, BLOCK_BYTES, BLOCK_MAPS), contracted=True), "jaccard-closer")
     sets = held.select(F.explode("nodes").alias("node"), F.col("class").alias("name"), "n", F.col("n").alias("weight"), F.col("grams").alias("payload"))
     return compared(sets, closer, _near_sets, percent, BLOCK_GRAMS, BLOCK_CLASSES)
 
@@ -447,7 +441,7 @@ def classes(docs: DataFrame, n: int = SIZE, percent: int = PERCENT) -> DataFrame
     spark = docs.sparkSession
     cluster = C.staged(spark, clusters(docs, n, percent), "jaccard-clusters")
     known = C.staged(spark, described(docs, n, percent, class_filter(cluster)), "jaccard-documents")
-    found = components(links(known, cluster, percent)).withColumnRenamed("node", "class")
+    found = components(links(known, cluster, percent), contracted=True).withColumnRenamed("node", "class")
     own = known.select("doc_id", "n_shingles", "class")
     least = own.where("class >= 0").groupBy("class").agg(F.min("doc_id").alias("least"))  # a group of copies is one row from each task
     named = least.join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))

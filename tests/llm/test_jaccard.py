@@ -68,7 +68,7 @@ def test_small_blocks_lose_nothing(spark, monkeypatch):
 
 
 def test_linked_sets_share_a_signature():
-    rnd, bands, h = random.Random(1), J.Bands(85), C.WordHashes()
+    rnd, bands, h = random.Random(1), J.Bands(85), C.Words()
     for _ in range(300):
         base = [str(rnd.random()) for _ in range(rnd.randint(1, 300))]
         other = list(base)
@@ -118,3 +118,12 @@ def test_stage_keeps_one_of_each(spark):
 
 def test_empty_table(spark):
     assert J.classes(frame(spark, [])).count() == 0
+
+
+def test_word_hashes_tell_words_apart():
+    texts = ["a b\tc\x0bd", "", " \n ", "AB ab aB", "x" * 5000, "é \xa0 É", "ab ba abab a a"]
+    h, n = C.Words().of(texts)
+    words = [t.encode().lower().split() for t in texts]
+    assert n.tolist() == [len(w) for w in words]
+    flat = [w for ws in words for w in ws]
+    assert len(h) == len(flat) and len(set(h.tolist())) == len(set(flat)) and all((h[i] == h[j]) == (flat[i] == flat[j]) for i in range(len(h)) for j in range(i))
