@@ -132,14 +132,14 @@ def fingerprint(media: bytes | None) -> np.ndarray:
     return out
 
 
-def fingerprints(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """(id, fingerprint as packed little-endian uint32) of every recording."""
+def _printed(batches):
+    for b in batches:
+        yield pa.record_batch([b.column("id"), C.binary_column([fingerprint(m).astype("<u4").tobytes() for m in b.column("media").to_pylist()])], names=["id", "fingerprint"])
 
-    def run(batches):
-        for b in batches:
-            yield pa.record_batch([b.column("id"), C.binary_column([fingerprint(m).astype("<u4").tobytes() for m in b.column("media").to_pylist()])], names=["id", "fingerprint"])
 
-    return C.map_arrow(media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media")), run, "id long, fingerprint binary")
+def fingerprints(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
+    """(id, fingerprint as packed little-endian uint32) of every recording."""
+    return C.map_arrow(media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media")), _printed, "id long, fingerprint binary")
 
 
 class Queries:
@@ -272,21 +272,25 @@ def tune_of(i: int | None, v: list | None) -> bytes | None:
     return tune(np.concatenate([lead, 2 + np.round(2 * x / scale)]))
 
 
+def _played(batches):
+    for b in batches:
+        ids, vectors = b.column("id").to_pylist(), b.column("vec").to_pylist()
+        for at in range(0, len(ids), 200):  # recordings are large
+            part = slice(at, at + 200)
+            yield pa.record_batch([pa.array(ids[part], pa.int64()), C.binary_column([tune_of(i, v) for i, v in zip(ids[part], vectors[part], strict=True)])], names=["id", "media"])
+
+
 def played(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, media): each vector played as a tune, a note a component, after a few notes that depend on the id.
 
     The tables hold no recordings; this gives each row one, alike for alike vectors and shifted
     against each other.  Unusable vectors give a null.
     """
-
-    def run(batches):
-        for b in batches:
-            yield pa.record_batch([b.column("id"), C.binary_column([tune_of(i, v) for i, v in zip(b.column("id").to_pylist(), b.column("vec").to_pylist(), strict=True)])], names=["id", "media"])
-
-    return C.map_arrow(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")), run, "id long, media binary")
+    return C.map_arrow(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")), _played, "id long, media binary")
 
 
 def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = played(C.table(spark, sf_dir, "embeddings"))
-    prints = C.staged(spark, fingerprints(media, "id", "media"), "fingerprints")
+    vectors = C.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vec"))
+    # played and printed in one pass: the recordings are never stored
+    prints = C.staged(spark, C.map_arrow(vectors, lambda batches: _printed(_played(batches)), "id long, fingerprint binary"), "fingerprints")
     return linked(prints, prints.where(F.col("id") % 50 == 0)).withColumnRenamed("id", "vec_id")
