@@ -8,6 +8,10 @@ beam starts at the query's own neighbours, and the best nodes not yet visited ar
 expanded until none of them leads to a better one.  The best of the beam are scored
 again on the original vectors in double precision.
 
+Inner products favour long vectors, which would leave the graph with few hubs; so the
+graph is built on vectors made equally long by one more component, and a query has 0
+there: its products, and so its order of neighbours, are the original ones.
+
 The graph is held in blocks (bucket, nodes, coarse vectors, neighbours), dealt by a
 hash of the node; what blocks tell each other travels as packed arrays, so that no
 vector is sent to one block more than once by the same sender.  Coarse vectors are
@@ -32,7 +36,7 @@ from . import common as C
 K, TOP, DIVISOR = 48, 20, 20
 LEAF, LEAVES, PIVOTS = 512, 4, 4096
 REVERSE, ROUNDS, KEEP = 48, 3, 20
-BEAM, EXPAND, HOPS, EXACT = 128, 96, 4, 56
+BEAM, EXPAND, HOPS, EXACT = 128, 96, 6, 56
 PACKET = "bucket long, kind int, a binary, b binary, c binary, d binary"
 NAMES = ["bucket", "kind", "a", "b", "c", "d"]
 
@@ -218,11 +222,26 @@ def matrix(column) -> np.ndarray:
 
 # --------------------------------------------------------------------------- graph
 
-def first_graph(nodes: DataFrame, buckets: int, size: int) -> DataFrame:
+def longest(nodes: DataFrame) -> float:
+    """The largest length of a vector."""
+
+    def run(batches):
+        yield pa.record_batch([pa.array([max([float(np.sqrt((matrix(b.column("vec")) ** 2).sum(axis=1)).max()) for b in batches if b.num_rows], default=0.0)])], names=["n"])
+
+    return C.map_arrow(nodes.select("vec"), run, "n double").agg(F.max("n")).first()[0] or 0.0
+
+
+def lifted(x: np.ndarray, length: float) -> np.ndarray:
+    """Vectors with one more component that brings each to the same length."""
+    rest = np.sqrt(np.maximum(0.0, length * length - (x * x).sum(axis=1)))
+    return np.hstack([x, rest[:, None]]).astype(np.float32)
+
+
+def first_graph(nodes: DataFrame, buckets: int, size: int, length: float) -> DataFrame:
     """Neighbours within leaves: each node joins the leaves of its nearest pivots; a large leaf is cut at random."""
     spark = nodes.sparkSession
     count = max(1, min(PIVOTS, size // (LEAF // 2)))
-    pivots = matrix(nodes.orderBy(F.xxhash64("node"), "node").limit(count).select("vec").toArrow()["vec"]).astype(np.float32)
+    pivots = lifted(matrix(nodes.orderBy(F.xxhash64("node"), "node").limit(count).select("vec").toArrow()["vec"]), length)
     shared = spark.sparkContext.broadcast(pivots)  # at most PIVOTS vectors
 
     def nearest(x: np.ndarray) -> np.ndarray:
@@ -234,7 +253,7 @@ def first_graph(nodes: DataFrame, buckets: int, size: int) -> DataFrame:
         total = np.zeros(count, np.int64)
         for b in batches:
             if b.num_rows:
-                total += np.bincount(nearest(matrix(b.column("vec")).astype(np.float32)).ravel(), minlength=count)
+                total += np.bincount(nearest(lifted(matrix(b.column("vec")), length)).ravel(), minlength=count)
         yield pa.record_batch([pa.array(np.arange(count)), pa.array(total)], names=["pivot", "n"])
 
     found = C.map_arrow(nodes.select("vec"), counts, "pivot long, n long").groupBy("pivot").agg(F.sum("n").alias("n")).toArrow()
@@ -247,7 +266,7 @@ def first_graph(nodes: DataFrame, buckets: int, size: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, x = b.column("node").to_numpy(), matrix(b.column("vec")).astype(np.float32)
+            ids, x = b.column("node").to_numpy(), lifted(matrix(b.column("vec")), length)
             v, scale = coarse(x)
             near = nearest(x)
             leaf = offset[near] + (C.mix64(ids.view(np.uint64) + np.uint64(5))[:, None] % cuts[near].astype(np.uint64)).astype(np.int64)
@@ -282,7 +301,7 @@ def first_graph(nodes: DataFrame, buckets: int, size: int) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 ids = b.column("node").to_numpy()
-                v, scale = coarse(matrix(b.column("vec")).astype(np.float32))
+                v, scale = coarse(lifted(matrix(b.column("vec")), length))
                 out, at = Sender(), bucket_of(ids, buckets)
                 order = np.argsort(at, kind="stable")
                 for lo, hi in zip(*C.runs(at[order]), strict=True):
@@ -393,7 +412,7 @@ def graph(nodes: DataFrame, buckets: int, rounds: int = ROUNDS) -> DataFrame:
     """The neighbour graph in blocks."""
     spark = nodes.sparkSession
     size = nodes.count()
-    state = C.staged(spark, first_graph(nodes, buckets, size), "ann-graph")
+    state = C.staged(spark, first_graph(nodes, buckets, size, longest(nodes)), "ann-graph")
     for _ in range(rounds if size > K + 1 else 0):
         new = C.staged(spark, merged(state, introduced(state, buckets)), "ann-graph")
         C.drop(spark, state)
@@ -441,7 +460,10 @@ def search(state: DataFrame, queries: DataFrame, buckets: int, beam: int = BEAM,
             block.nodes, block.vectors, block.scale = block.nodes[at], block.vectors[at], block.scale[at]
             pad = max(0, beam - block.ids.shape[1])
             block.ids = np.pad(block.ids[at], ((0, 0), (0, pad)), constant_values=-1)
-            block.scores = np.pad(block.scores[at], ((0, 0), (0, pad)), constant_values=-np.inf)
+            # the graph's products hold the added component: neighbours are scored anew when they are visited
+            block.scores = np.pad(np.where(block.ids[:, : K] >= 0, np.float32(-1e30), -np.inf).astype(np.float32), ((0, 0), (0, pad)), constant_values=-np.inf)
+            block.vectors = block.vectors.copy()
+            block.vectors[:, -1] = 0
             first, out = Beam(list(block.parts())), Sender()
             out.add(bucket, QUERIES, *first.parts())
             yield out.batch()
@@ -456,14 +478,14 @@ def search(state: DataFrame, queries: DataFrame, buckets: int, beam: int = BEAM,
                 yield out.batch()
 
     def spread(batches):
-        """A visited node sends the query on to its neighbours."""
+        """A visited node sends the query on to its neighbours, and to itself to be scored."""
         for _, kinds in by_bucket(batches):
             if STATE not in kinds or VISITS not in kinds:
                 continue
             block, out = Block(kinds[STATE][0]), Sender()
             to, who, nodes, vectors, scale, limit = joined(kinds[VISITS])
             at = block.at(to)
-            onward, back = block.ids[at].ravel(), np.repeat(who, block.ids.shape[1])
+            onward, back = np.append(block.ids[at].ravel(), to), np.append(np.repeat(who, block.ids.shape[1]), who)
             ok = (onward >= 0) & (onward != nodes[back])
             pair = np.unique(np.stack([onward[ok], back[ok]], 1), axis=0)
             out.vectors(np.ascontiguousarray(pair[:, 0]), ASKS, buckets, pair[:, 1], nodes, vectors, scale, limit)

@@ -43,23 +43,23 @@ FAMILIES = (
     ("cc-by", "cc by", r"cc by(?: [1-4] \d)?", r"cc by [1-4] \d", True),
     ("cc-by", "creative commons attribution", r"creative commons attribution(?: [1-4] \d)?", r"cc by", True),
     ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?", r"cc0 1 0", True),
-    ("agpl-3", "affero", r"(?:gnu )?affero general public licen[sc]e(?: (?:version|v))?(?: 3)?(?: 0)?", r"agpl 3 0(?: only| or later)?", True),
+    ("agpl-3", "affero", r"(?:gnu )?affero general public licen[sc]e(?: version)?(?: v?3)?(?: 0)?", r"agpl 3 0(?: only| or later)?", True),
     ("agpl-3", "agpl", r"agpl ?v?3?(?: 0)?", r"agpl 3 0", True),
-    ("lgpl-3", "lesser", r"(?:gnu )?lesser general public licen[sc]e (?:version |v )?3(?: 0)?", r"lgpl 3 0(?: only| or later)?", True),
-    ("lgpl-2.1", "lesser", r"(?:gnu )?lesser general public licen[sc]e (?:version |v )?2 1", r"lgpl 2 1(?: only| or later)?", True),
+    ("lgpl-3", "lesser", r"(?:gnu )?lesser general public licen[sc]e (?:version |v ?)?3(?: 0)?", r"lgpl 3 0(?: only| or later)?", True),
+    ("lgpl-2.1", "lesser", r"(?:gnu )?lesser general public licen[sc]e (?:version |v ?)?2 1", r"lgpl 2 1(?: only| or later)?", True),
     ("lgpl", "lesser", r"(?:gnu )?lesser general public licen[sc]e", r"lgpl \d(?: \d)?", True),
     ("lgpl-3", "lgpl", r"lgpl ?v?3(?: 0)?", r"lgpl 3 0", True),
     ("lgpl-2.1", "lgpl", r"lgpl ?v?2 1", r"lgpl 2 1", True),
     ("gfdl", "free documentation", r"(?:gnu )?free documentation licen[sc]e(?: (?:version|v) 1 \d)?", r"gfdl 1 \d", True),
-    ("gpl-3", "general public", r"(?:gnu )?general public licen[sc]e (?:version |v )?3(?: 0)?", r"gpl 3 0(?: only| or later)?", True),
-    ("gpl-2", "general public", r"(?:gnu )?general public licen[sc]e (?:version |v )?2(?: 0)?", r"gpl 2 0(?: only| or later)?", True),
-    ("gpl-1", "general public", r"(?:gnu )?general public licen[sc]e (?:version |v )?1(?: 0)?", r"gpl 1 0(?: only| or later)?", True),
+    ("gpl-3", "general public", r"(?:gnu )?general public licen[sc]e (?:version |v ?)?3(?: 0)?", r"gpl 3 0(?: only| or later)?", True),
+    ("gpl-2", "general public", r"(?:gnu )?general public licen[sc]e (?:version |v ?)?2(?: 0)?", r"gpl 2 0(?: only| or later)?", True),
+    ("gpl-1", "general public", r"(?:gnu )?general public licen[sc]e (?:version |v ?)?1(?: 0)?", r"gpl 1 0(?: only| or later)?", True),
     ("gpl-3", "gpl", r"(?:gnu )?gpl ?v?3(?: 0)?", r"gpl 3 0", True),
     ("gpl-2", "gpl", r"(?:gnu )?gpl ?v?2(?: 0)?", r"gpl 2 0", True),
     ("gpl", "general public", r"(?:gnu )?general public licen[sc]e", r"gpl \d(?: \d)?", True),
-    ("apache-2", "apache", r"apache(?: software)? licen[sc]e(?: (?:version|v))? 2(?: 0)?", r"apache 2 0", True),
+    ("apache-2", "apache", r"apache(?: software)? licen[sc]e(?: version)? v?2(?: 0)?", r"apache 2 0", True),
     ("apache-2", "apache", r"apache ?v?2(?: 0)?", r"apache 2", True),
-    ("apache-1.1", "apache", r"apache(?: software)? licen[sc]e(?: (?:version|v))? 1 1", r"apache 1 1", True),
+    ("apache-1.1", "apache", r"apache(?: software)? licen[sc]e(?: version)? v?1 1", r"apache 1 1", True),
     ("apache", "apache", r"apache", r"apache", False),
     ("mit-0", "mit", r"mit (?:no attribution|0)", r"mit 0", False),
     ("mit", "mit", r"mit(?: x11| expat)?", r"mit", False),
@@ -71,25 +71,25 @@ FAMILIES = (
     ("0bsd", "0bsd", r"(?:0bsd|zero clause bsd)", r"0bsd", True),
     ("bsd", "bsd", r"bsd", r"bsd", False),
     ("isc", "isc", r"isc", r"isc", False),
-    ("mpl-2", "mozilla public", r"mozilla public licen[sc]e(?: (?:version|v))? 2(?: 0)?", r"mpl 2 0", True),
-    ("mpl-1.1", "mozilla public", r"mozilla public licen[sc]e(?: (?:version|v))? 1 1", r"mpl 1 1", True),
+    ("mpl-2", "mozilla public", r"mozilla public licen[sc]e(?: version)? v?2(?: 0)?", r"mpl 2 0", True),
+    ("mpl-1.1", "mozilla public", r"mozilla public licen[sc]e(?: version)? v?1 1", r"mpl 1 1", True),
     ("mpl", "mozilla public", r"mozilla public licen[sc]e", r"mpl \d \d", True),
     ("mpl-2", "mpl", r"mpl ?v?2(?: 0)?", r"mpl 2 0", True),
-    ("epl-2", "eclipse public", r"eclipse public licen[sc]e(?: (?:version|v))? 2(?: 0)?", r"epl 2 0", True),
-    ("epl-1", "eclipse public", r"eclipse public licen[sc]e(?: (?:version|v))? 1(?: 0)?", r"epl 1 0", True),
+    ("epl-2", "eclipse public", r"eclipse public licen[sc]e(?: version)? v?2(?: 0)?", r"epl 2 0", True),
+    ("epl-1", "eclipse public", r"eclipse public licen[sc]e(?: version)? v?1(?: 0)?", r"epl 1 0", True),
     ("epl", "eclipse public", r"eclipse public licen[sc]e", r"epl \d \d", True),
-    ("eupl", "european union public", r"european union public licen[sc]e(?: (?:version|v))?(?: 1 \d)?", r"eupl 1 \d", True),
-    ("cddl", "common development", r"common development and distribution licen[sc]e(?: (?:version|v))?(?: 1 \d)?", r"cddl 1 \d", True),
-    ("artistic-2", "artistic", r"artistic licen[sc]e(?: (?:version|v))? 2(?: 0)?", r"artistic 2 0", True),
+    ("eupl", "european union public", r"european union public licen[sc]e(?: version)?(?: v?1 \d)?", r"eupl 1 \d", True),
+    ("cddl", "common development", r"common development and distribution licen[sc]e(?: version)?(?: v?1 \d)?", r"cddl 1 \d", True),
+    ("artistic-2", "artistic", r"artistic licen[sc]e(?: version)? v?2(?: 0)?", r"artistic 2 0", True),
     ("artistic", "artistic", r"artistic", r"artistic 1 0", False),
-    ("bsl-1", "boost", r"boost(?: software)? licen[sc]e(?: (?:version|v))?(?: 1)?(?: 0)?", r"bsl 1 0", True),
+    ("bsl-1", "boost", r"boost(?: software)? licen[sc]e(?: version)?(?: v?1)?(?: 0)?", r"bsl 1 0", True),
     ("zlib", "zlib", r"zlib(?: libpng)?", r"zlib", False),
     ("unlicense", "unlicense", r"(?:the )?unlicense", r"unlicense", True),
     ("wtfpl", "wtfpl", r"wtfpl", r"wtfpl", True),
-    ("psf", "python software", r"python software foundation licen[sc]e(?: (?:version|v))?(?: 2)?", r"psf 2 0", True),
+    ("psf", "python software", r"python software foundation licen[sc]e(?: version)?(?: v?2)?", r"psf 2 0", True),
     ("postgresql", "postgresql", r"postgresql", r"postgresql", False),
-    ("ofl-1.1", "open font", r"(?:sil )?open font licen[sc]e(?: (?:version|v))?(?: 1 1)?", r"ofl 1 1", True),
-    ("odbl", "open database", r"open database licen[sc]e(?: (?:version|v))?(?: 1 0)?", r"odbl 1 0", True),
+    ("ofl-1.1", "open font", r"(?:sil )?open font licen[sc]e(?: version)?(?: v?1 1)?", r"ofl 1 1", True),
+    ("odbl", "open database", r"open database licen[sc]e(?: version)?(?: v?1 0)?", r"odbl 1 0", True),
     ("odc-by", "open data commons", r"open data commons attribution licen[sc]e", r"odc by 1 0", True),
     ("pddl", "public domain dedication", r"public domain dedication and licen[sc]e", r"pddl 1 0", True),
     ("public-domain", "public domain", r"public domain", r"cc pddc", True),

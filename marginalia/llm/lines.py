@@ -65,14 +65,14 @@ def _cleaned(flagged: Column, lines: Column, max_share: float) -> list[Column]:
 
 
 def remove(docs: DataFrame, lines: DataFrame, max_share: float = MAX_SHARE, in_plan: int = IN_PLAN) -> DataFrame:
-    """``docs`` with columns ``text_kept, n_lines, n_removed`` after the boilerplate ``lines`` (h) have gone.
+    """``docs`` with columns ``__text, __n_lines, __n_removed`` after the boilerplate ``lines`` (h) have gone.
 
     Few hashes (their number is checked) are looked up in place, without moving a text.  More are
     joined by hash as (row, position, hash), and only the positions to remove meet the texts again.
     """
     spark = docs.sparkSession
     lines = C.staged(spark, lines, "boilerplate")
-    names = ["text_kept", "n_lines", "n_removed"]
+    names = ["__text", "__n_lines", "__n_removed"]
     if lines.limit(in_plan + 1).count() <= in_plan:
         known = [r["h"] for r in lines.collect()]
         flag = (lambda x: (F.trim(x) != "") & _hash(x).isin(known)) if known else (lambda x: F.lit(False))
@@ -93,13 +93,13 @@ def dedup(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SH
     """doc_id, text without boilerplate lines, n_lines, n_removed."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
     out = remove(own, boilerplate(own, min_sites), max_share, in_plan)
-    return out.select("doc_id", F.col("text_kept").alias("text"), "n_lines", "n_removed")
+    return out.select("doc_id", F.col("__text").alias("text"), F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"))
 
 
 def rewritten(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
     """All columns of ``docs``, with the text cleaned and its length in ``n_chars`` brought up to date."""
     out = remove(docs, boilerplate(docs.select("text", "source"), min_sites), max_share)
-    new = {"text": F.col("text_kept"), "n_chars": F.length("text_kept").cast("long")}
+    new = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
     return out.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
 
 
