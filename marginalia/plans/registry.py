@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries, information_queries, relation_queries, statistic_queries, table_queries, window_queries  # noqa: F401  (each module registers its queries)
+from . import concept_queries, graph_queries, information_queries, relation_queries, statistic_queries, table_queries, window_queries  # noqa: F401  (each module registers its queries)
 from .base import QUERIES, SQL
 
 
