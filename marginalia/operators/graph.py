@@ -219,3 +219,35 @@ def percolation(edges: DataFrame) -> DataFrame:
     linked = components(faces.join(least, "face").select(F.col("clique").alias("src"), "tgt"))
     of = q.select("clique", F.explode(F.array("a", "b", "c", "d")).alias("node"))
     return of.join(linked.select(F.col("node").alias("clique"), "component"), "clique", "left").select("node", F.coalesce("component", "clique").alias("community")).distinct()
+
+
+def split_communities(edges: DataFrame, start: float, step: float = 0.03, largest: int = 40, cap: float = 0.6) -> DataFrame:
+    """(node, community, threshold): percolation communities; those of more than ``largest`` nodes are percolated
+    again, within themselves, at thresholds higher by ``step``, up to ``cap`` (GRA-10)."""
+    found, todo, level = None, edges.where(F.col("weight") >= start), start
+    while True:
+        own = rounds.written(percolation(todo))
+        size = own.groupBy("community").agg(F.count("*").alias("n"))
+        big = size.where(F.col("n") > largest).select("community") if level + step <= cap else size.where(F.lit(False)).select("community")
+        done = own.join(big, "community", "left_anti").select("node", "community", F.lit(level).alias("threshold"))
+        found = done if found is None else found.unionByName(done)
+        rest = rounds.written(own.join(big, "community", "left_semi"))
+        if rest.isEmpty():
+            return found
+        level = round(level + step, 9)
+        a, b = rest.select(F.col("node").alias("src"), "community"), rest.select(F.col("node").alias("tgt"), "community")
+        todo = rounds.written(edges.where(F.col("weight") >= level).join(a, "src").join(b, ["tgt", "community"]).select("src", "tgt", "weight").distinct())
+
+
+def triad_edges(edges: DataFrame) -> DataFrame:
+    """(code, edges, share): edges that are part of some connected triple with so many links among its three pairs (GRA-26)."""
+    e = edges.where("src <> tgt").select("src", "tgt").distinct()
+    u = undirected(e)
+    wedge = u.select(F.col("src").alias("m"), F.col("tgt").alias("x")).join(u.select(F.col("src").alias("m"), F.col("tgt").alias("y")), "m").where("x < y")
+    closed = wedge.join(u.select(F.col("src").alias("x"), F.col("tgt").alias("y"), F.lit(True).alias("c")), ["x", "y"], "left")
+    kind = F.when(F.col("c"), "closed").otherwise("open").alias("kind")
+    sides = closed.select(kind, F.explode(F.array(F.struct(F.col("m").alias("p"), F.col("x").alias("q")), F.struct(F.col("m").alias("p"), F.col("y").alias("q")))).alias("s")).select("kind", "s.p", "s.q").distinct()
+    both = e.select(F.least("src", "tgt").alias("p"), F.greatest("src", "tgt").alias("q"))
+    n = e.agg(F.count("*").alias("n"))
+    hit = sides.select("kind", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct().join(both, ["p", "q"])
+    return hit.groupBy("kind").agg(F.count("*").alias("edges")).join(F.broadcast(n)).select("kind", "edges", (F.col("edges") / F.col("n")).alias("share"))

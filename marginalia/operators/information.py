@@ -112,3 +112,16 @@ def mirror(inc: DataFrame) -> DataFrame:
     rows = pairs.join(size, ["group_id", "rn"]).join(size.select("group_id", F.col("rn").alias("other"), F.col("s").alias("s2")), ["group_id", "other"]).join(common, ["group_id", "rn"], "left")
     k = F.coalesce("k", F.lit(0))
     return rows.groupBy("group_id").agg(F.count("*").alias("pairs"), F.avg(k / (F.col("s") + F.col("s2") - k)).alias("mean_jaccard"))
+
+
+def structure_ranks(train: DataFrame, test: DataFrame) -> DataFrame:
+    """INF-11: (unit_seq, item, rank): a held-out item's rank by evidence alone, among the items that have any;
+    an item without evidence has none (null)."""
+    ppmi = R.ppmi_edges(train).select("item", "dim", "w")
+    seen = train.select("item").distinct()
+    known = test.join(seen, "item", "left_semi").select("unit_seq", "item")
+    long = known.withColumn("n", F.count("*").over(Window.partitionBy("unit_seq"))).where("n >= 2").drop("n")
+    context = long.join(long.select("unit_seq", F.col("item").alias("dim")), "unit_seq").where("item <> dim").select("unit_seq", F.col("item").alias("target"), "dim")
+    ev = context.join(ppmi, "dim").groupBy("unit_seq", "target", "item").agg(F.round(F.sum("w"), 9).alias("ev"))
+    ranked = ev.withColumn("rank", F.rank().over(Window.partitionBy("unit_seq", "target").orderBy(F.desc("ev")))).where("item = target").select("unit_seq", "target", "rank")
+    return long.join(ranked.withColumnRenamed("target", "item"), ["unit_seq", "item"], "left").select("unit_seq", "item", F.col("rank").cast("long").alias("rank"))

@@ -185,6 +185,25 @@ def greedy_cover(edges: DataFrame) -> DataFrame:
     return _one(edges, run, "step long, node string, covered long")
 
 
+def capped_graph(edges: DataFrame, most: int = 12) -> DataFrame:
+    """REL-15: (src, tgt, weight): nodes in order of name each take their strongest edges, at most ``most`` new ones;
+    an edge that an earlier node took is passed over and uses nothing up.  The order is the operator, so it is sequential."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, near = adjacency(pdf)
+        taken, out = set(), []
+        for a in range(len(nodes)):
+            left = most
+            for b, w in sorted(near[a].items(), key=lambda kv: (-kv[1], kv[0])):
+                if left and (min(a, b), max(a, b)) not in taken:
+                    taken.add((min(a, b), max(a, b)))
+                    out.append((nodes[a], nodes[b], w))
+                    left -= 1
+        return pd.DataFrame(out, columns=["src", "tgt", "weight"])
+
+    return _one(edges, run, "src string, tgt string, weight double")
+
+
 def curveball(units: list[set], trades: int, rng: np.random.Generator) -> list[set]:
     """Unit sets after random trades: every unit keeps its size and every item its frequency."""
     out = [set(u) for u in units]

@@ -9,10 +9,15 @@ from ..functions import statistics as S
 from ..operators import concepts as Z
 from ..operators import counts as K
 from ..operators import flow as L
+from ..operators import graph as G
+from ..operators import information as N
+from ..operators import kernels
 from ..operators import relations as R
 from ..operators import resample as M
+from ..operators.rounds import written
 from .base import baskets, brands, days, lines, query, rounded, sql, table
-from .relation_queries import _NEAR, EDGES, PPMI
+from .information_queries import _FOLD, _split
+from .relation_queries import _NEAR, EDGES, NPMI, PPMI
 
 #: Brands by the last digit of their number: an inline vocabulary by a rule (SRC-5).
 _OF = "of_ AS MATERIALIZED (SELECT item, 'C' || (CAST(substr(item, 7) AS INT) % 5) AS concept FROM m)"
@@ -219,3 +224,73 @@ def corruption_curve(spark, sf_dir):
     n = K.pairs(brands(spark, sf_dir)).where("k >= 5").agg(F.count("*").alias("n"))
     rate = F.explode(F.array(*map(F.lit, (0.01, 0.05, 0.1, 0.2)))).alias("rate")
     return n.select("n", rate).select("rate", F.floor(F.col("n") * F.col("rate")).cast("long").alias("broken"), F.round(F.floor(F.col("n") * F.col("rate")) / F.col("n"), 6).alias("share"), F.round(F.pow(1 - F.col("rate"), 2), 6).alias("expected"))
+
+
+@query("units_with_any", sql("days", "SELECT unit_seq, count(*) AS items FROM inc WHERE unit_seq IN (SELECT unit_seq FROM inc WHERE item IN ('purchase', 'signup')) AND pos IS NOT NULL GROUP BY 1"))
+def units_with_any(spark, sf_dir):
+    """FIL-1, FIL-2: units that hold any item of a set."""
+    inc = days(spark, sf_dir).where(F.col("pos").isNotNull())
+    return inc.join(inc.where(F.col("item").isin("purchase", "signup")).select("unit_seq").distinct(), "unit_seq", "left_semi").groupBy("unit_seq").agg(F.count("*").alias("items"))
+
+
+@query("semantic_fields", sql("lines", "SELECT node, min(other) AS field FROM (SELECT src AS node, tgt AS other FROM r UNION SELECT src, src FROM e2) GROUP BY 1", f"""
+a1 AS MATERIALIZED (SELECT a AS src, b AS tgt FROM pm WHERE k >= 5 AND {NPMI} >= 0.4 AND substr(a, 1, 1) = substr(b, 1, 1)), e2 AS MATERIALIZED (SELECT src, tgt FROM a1 UNION ALL SELECT tgt, src FROM a1),
+r AS (SELECT src, tgt FROM e2 UNION SELECT r.src, e2.tgt FROM r JOIN e2 ON r.tgt = e2.src)""", recursive=True))
+def semantic_fields(spark, sf_dir):
+    """REL-24: connected parts within a concept (here: words of one first letter)."""
+    e = R.associates(lines(spark, sf_dir), min_npmi=0.4).where("substring(a, 1, 1) = substring(b, 1, 1)")
+    return G.components(written(e.select(F.col("a").alias("src"), F.col("b").alias("tgt")))).select("node", F.col("component").alias("field"))
+
+
+@query("state_gradient", sql("days", """SELECT node, net, 1 + sum(cut) OVER (ORDER BY net DESC, node ROWS UNBOUNDED PRECEDING)::BIGINT AS stage FROM (
+  SELECT node, net, (gap IS NOT NULL AND row_number() OVER (ORDER BY coalesce(gap, -1) DESC, net DESC, node) <= 2)::INT AS cut FROM (SELECT node, net, lag(net) OVER (ORDER BY net DESC, node) - net AS gap FROM (
+    SELECT node, sum(d)::BIGINT AS net FROM (SELECT x.item AS src, y.item AS tgt, count(*) AS k FROM inc x JOIN inc y ON x.unit_seq = y.unit_seq AND x.item <> y.item AND x.pos < y.pos GROUP BY 1, 2) f, LATERAL (VALUES (f.src, f.k), (f.tgt, -f.k)) v(node, d) GROUP BY 1)))"""))
+def state_gradient(spark, sf_dir):
+    """FLO-9, WIN-13: states by net outflow, cut into stages at the largest gaps."""
+    net = L.net_outflow(L.within(days(spark, sf_dir))).select("node", "net")  # one row a state
+    down = Window.orderBy(F.desc("net"), "node")
+    g = net.withColumn("gap", F.lag("net").over(down) - F.col("net"))
+    g = g.withColumn("r", F.row_number().over(Window.orderBy(F.desc(F.coalesce("gap", F.lit(-1))), F.desc("net"), "node")))
+    cut = (F.col("gap").isNotNull() & (F.col("r") <= 2)).cast("long")
+    return g.select("node", "net", (1 + F.sum(cut).over(down.rowsBetween(Window.unboundedPreceding, 0))).alias("stage"))
+
+
+@query("structure_hits", sql("brands", """SELECT count(*) AS n, count(rk) AS with_evidence, round(avg(coalesce((rk <= 10)::INT, 0)), 6) AS hits10 FROM kn LEFT JOIN (SELECT unit_seq, target, rk FROM (SELECT *, rank() OVER (PARTITION BY unit_seq, target ORDER BY round(ev, 9) DESC) AS rk FROM ev) WHERE item = target) s ON s.unit_seq = kn.unit_seq AND s.target = kn.item""", _FOLD))
+def structure_hits(spark, sf_dir):
+    """INF-11: reconstruction from structure alone."""
+    r = N.structure_ranks(*_split(brands(spark, sf_dir)))
+    return r.agg(F.count("*").alias("n"), F.count("rank").alias("with_evidence"), F.round(F.avg(F.coalesce((F.col("rank") <= 10).cast("int"), F.lit(0))), 6).alias("hits10"))
+
+
+@query("triad_coverage", sql("baskets", """SELECT kind, count(*) AS edges, round(count(*)::DOUBLE / (SELECT count(*) FROM e), 6) AS share FROM hit JOIN (SELECT least(src, tgt) AS p, greatest(src, tgt) AS q FROM e) b USING (p, q) GROUP BY 1""", """
+e AS MATERIALIZED (SELECT DISTINCT CASE WHEN ab > ba THEN a ELSE b END AS src, CASE WHEN ab > ba THEN b ELSE a END AS tgt FROM pr WHERE ab + ba >= 10 AND abs((ab - ba)::DOUBLE / (ab + ba)) >= 0.3),
+u AS MATERIALIZED (SELECT src, tgt FROM e UNION SELECT tgt, src FROM e),
+wd AS (SELECT x.src AS m, x.tgt AS x, y.tgt AS y, CASE WHEN c.src IS NULL THEN 'open' ELSE 'closed' END AS kind FROM u x JOIN u y ON x.src = y.src AND x.tgt < y.tgt LEFT JOIN u c ON c.src = x.tgt AND c.tgt = y.tgt),
+hit AS (SELECT DISTINCT kind, least(m, v) AS p, greatest(m, v) AS q FROM (SELECT kind, m, x AS v FROM wd UNION ALL SELECT kind, m, y FROM wd))"""))
+def triad_coverage(spark, sf_dir):
+    """GRA-26."""
+    e = R.precedes(baskets(spark, sf_dir)).where("relation = 'PRECEDES'").select("src", "tgt")
+    return rounded(G.triad_edges(written(e)), "share")
+
+
+@query("split_communities")
+def split_communities(spark, sf_dir):
+    """GRA-10: large communities percolated again at higher thresholds.  Tested on cliques."""
+    e = R.associates(lines(spark, sf_dir), min_npmi=0.5).select(F.col("a").alias("src"), F.col("b").alias("tgt"), F.col("npmi").alias("weight"))
+    return G.split_communities(written(e), 0.5)
+
+
+@query("capped_graph")
+def capped_graph(spark, sf_dir):
+    """REL-15: order-dependent, so a sequential kernel."""
+    e = R.associates(lines(spark, sf_dir), min_npmi=0.5).select(F.col("a").alias("src"), F.col("b").alias("tgt"), F.round("npmi", 9).alias("weight"))
+    return rounded(kernels.capped_graph(e), "weight")
+
+
+@query("null_band")
+def null_band(spark, sf_dir):
+    """INF-5, INF-6: the gain of structure over frequency, and that of three token nulls of the training units."""
+    train, test = map(written, _split(written(brands(spark, sf_dir))))
+    cells = [("observed", train)] + [(f"null{s}", written(M.shuffled_tokens(train, seed=s))) for s in (1, 2, 3)]
+    rows = [N.scoreboard(N.masked_scores(t, test)).select(F.lit(name).alias("cell"), F.round("gain", 6).alias("gain"), F.round("mrr", 6).alias("mrr"), "n") for name, t in cells]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])

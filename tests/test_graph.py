@@ -181,3 +181,18 @@ def test_greedy_cover_ends_covered(spark):
 @pytest.mark.parametrize("f", [G.components, G.reach, G.triads, G.dyads, G.percolation, G.label_propagation, lambda e: G.k_core(e, 3)])
 def test_empty_graph(spark, f):
     assert f(edges(spark, [])).count() == 0
+
+
+def test_large_communities_split(spark):
+    strong = [(a, b, 0.9) for c in ("abcd", "wxyz") for a, b in itertools.combinations(c, 2)]
+    weak = [(a, b, 0.51) for a in "abcd" for b in "wxyz"]
+    df = spark.createDataFrame(strong + weak, "src string, tgt string, weight double")
+    rows = G.split_communities(df, 0.5, largest=5).collect()
+    assert {frozenset(r.node for r in rows if r.community == c) for c in {r.community for r in rows}} == {frozenset("abcd"), frozenset("wxyz")}
+    assert len({r.community for r in G.split_communities(df, 0.5, largest=50).collect()}) == 1
+
+
+def test_capped_graph_passes_over_taken_edges(spark):
+    df = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.8), ("b", "c", 0.7), ("c", "d", 0.6)], "src string, tgt string, weight double")
+    got = [(r.src, r.tgt) for r in N.capped_graph(df, 1).collect()]
+    assert got == [("a", "b"), ("b", "c"), ("c", "a"), ("d", "c")]
