@@ -35,8 +35,12 @@ from . import common as C
 
 K, TOP, DIVISOR = 48, 20, 20
 LEAF, LEAVES, PIVOTS = 512, 4, 4096
-REVERSE, ROUNDS, KEEP = 48, 3, 20
+REVERSE, ROUNDS, KEEP = 48, 8, 20
+#: Rounds end when one adds less than this share to the sum of all scores.
+SETTLED = 0.015
 BEAM, EXPAND, HOPS, EXACT = 128, 96, 6, 56
+#: Nodes of a block: some 2 MB of graph, whatever the number of partitions.
+BLOCK = 2000
 PACKET = "bucket long, kind int, a binary, b binary, c binary, d binary"
 NAMES = ["bucket", "kind", "a", "b", "c", "d"]
 
@@ -413,14 +417,31 @@ def graph(nodes: DataFrame, buckets: int, rounds: int = ROUNDS) -> DataFrame:
     spark = nodes.sparkSession
     size = nodes.count()
     state = C.staged(spark, first_graph(nodes, buckets, size, longest(nodes)), "ann-graph")
+    reached = _reached(state)
     for _ in range(rounds if size > K + 1 else 0):
         new = C.staged(spark, merged(state, introduced(state, buckets)), "ann-graph")
         C.drop(spark, state)
-        state = new
+        state, before, reached = new, reached, _reached(new)
         spark.sparkContext._jvm.System.gc()  # lets Spark clear the shuffle files of the round that is over
+        if reached - before < SETTLED * abs(reached):
+            break
     return state
 
 
+def _reached(state: DataFrame) -> float:
+    """The sum of all neighbours' scores."""
+
+    def scores(batches):
+        total = 0.0
+        for b in batches:
+            for packed in b.column("d").to_pylist():
+                s = f4(packed)
+                total += float(s[np.isfinite(s)].sum(dtype=np.float64))
+        yield pa.record_batch([pa.array([total])], names=["s"])
+
+    return C.map_arrow(state.select("d"), scores, "s double").agg(F.sum("s")).first()[0] or 0.0
+
+
 # --------------------------------------------------------------------------- search
 
 class Beam(Block):
@@ -565,8 +586,8 @@ def _open(batches):
 def neighbours(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", divisor: int = DIVISOR, top: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest found of each id divisible by ``divisor``."""
     spark = vectors.sparkSession
-    buckets = C.shuffle_partitions(spark)
     known = C.staged(spark, nodes_of(vectors, id_col, vec_col, top + 1), "ann-nodes")
+    buckets = max(8, -(-known.count() // BLOCK))
     asked = vectors.where(F.col(id_col) % divisor == 0).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
 
     def hashed(batches):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -198,6 +199,7 @@ def map_arrow(df: DataFrame, fn: Callable, ddl: str | StructType) -> DataFrame:
     """``mapInArrow`` by code that the executors have been sent."""
     ship(df.sparkSession)
 
+    @functools.wraps(fn)  # plans show the function's own name
     def run(batches):
         try:
             yield from fn(batches)
