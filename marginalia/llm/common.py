@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import functools
 import gc
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -185,9 +186,17 @@ def schema_of(ddl: str) -> pa.Schema:
     return pa.schema([pa.field(n, kinds[t]) for n, t in (c.split() for c in ddl.split(","))])
 
 
+#: Resident bytes that a worker may keep: some 110 MB are its libraries.
+SMALL = 200 << 20
+
+
 def tidy() -> None:
     """Give memory that a task has done with back to the system: Spark keeps its Python workers, and
-    what each of them still holds counts against the executor."""
+    what each of them still holds counts against the executor.  A small one is left as it is: many tasks
+    are short."""
+    with open("/proc/self/statm") as f:
+        if int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") < SMALL:
+            return
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
