@@ -50,7 +50,7 @@ def byte_letters() -> dict[str, int]:
 class Words:
     """Encoded words by a 64-bit hash: an open-addressing table of arrays, asked and filled for whole batches at once."""
 
-    def __init__(self, bits: int = 22):
+    def __init__(self, bits: int = 21):
         self.mask = np.uint64((1 << bits) - 1)
         self.keys, self.at = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
         self.start, self.length, self.pool, self.n, self.used = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4"), 0, 0

@@ -187,7 +187,7 @@ def schema_of(ddl: str) -> pa.Schema:
 
 
 #: Resident bytes that a worker may keep: some 110 MB are its libraries.
-SMALL = 200 << 20
+SMALL = 140 << 20
 
 
 def tidy() -> None:

@@ -40,7 +40,7 @@ N2, K2 = 3, 1
 #: Grams of all classes of a block, and classes of a block, at most on average.
 BLOCK_GRAMS, BLOCK_CLASSES = 600_000, 768
 #: The same of blocks of bitmaps, by bytes.
-BLOCK_BYTES, BLOCK_MAPS = 12_000_000, 12_288
+BLOCK_BYTES, BLOCK_MAPS = 8_000_000, 8192
 #: Grams worked on at once.
 AT_ONCE = 150_000
 
