@@ -10,7 +10,11 @@ again on the original vectors in double precision.
 
 Inner products favour long vectors, which would leave the graph with few hubs; so the
 graph is built on vectors made equally long by one more component, and a query has 0
-there: its products, and so its order of neighbours, are the original ones.
+there: its products, and so its order of neighbours, are the original ones.  That
+component is never rounded with the others: each node carries its ``rise`` in floats,
+from which scores (half the squared distance, below zero) follow without cancellation,
+however long the longest vector is.  Beams also start at the best of the ``ENTRIES``
+longest vectors, which are near to no short one but may have large products with it.
 
 The graph is held in blocks (bucket, nodes, coarse vectors, neighbours), dealt by a
 hash of the node; what blocks tell each other travels as packed arrays, so that no
@@ -20,7 +24,7 @@ vector is sent to one block more than once by the same sender.  Coarse vectors a
 Measured recall at 20 of inner-product neighbours is in the README.  Rows whose vector
 is null, zero, or holds a null or non-finite component take no part; nor do rows of
 null id.  Ties go to the smaller id.  An empty table gives an empty result.  Bound of
-the fit: ``PIVOTS`` pivots; every row is indexed.
+the fit: ``PIVOTS`` pivots and ``ENTRIES`` entries; every row is indexed.
 """
 
 from __future__ import annotations
@@ -36,9 +40,11 @@ from . import common as C
 K, TOP, DIVISOR = 48, 20, 20
 LEAF, LEAVES, PIVOTS = 512, 4, 4096
 REVERSE, ROUNDS, KEEP = 48, 8, 20
-#: Rounds end when one adds less than this share to the sum of all scores.
+#: Rounds end when one adds less than this share to the sum of all scores, each taken in its node's own length.
 SETTLED = 0.015
 BEAM, EXPAND, HOPS, EXACT = 128, 96, 6, 56
+#: The longest vectors, scored against every query at its start, and how many of them its beam takes in.
+ENTRIES, ENTERED = 1024, 16
 #: Nodes of a block: some 2 MB of graph, whatever the number of partitions.
 BLOCK = 2000
 PACKET = "bucket long, kind int, a binary, b binary, c binary, d binary"
@@ -53,16 +59,22 @@ def coarse(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.round(x / scale[:, None]).astype(np.int8), scale.astype(np.float32)
 
 
+def stored(x: np.ndarray, length: float) -> tuple[np.ndarray, np.ndarray]:
+    """8-bit vectors, and (scale, rise) of each."""
+    v, scale = coarse(x)
+    return v, np.stack([scale, rises(x, length)], 1)
+
+
 def pack_vectors(v: np.ndarray, scale: np.ndarray) -> bytes:
     return scale.astype("<f4").tobytes() + v.tobytes()
 
 
 def unpack_vectors(b: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b, "i1", offset=4 * n).reshape(n, -1) if n else np.empty((0, 1), np.int8), np.frombuffer(b, "<f4", n)
+    return np.frombuffer(b, "i1", offset=8 * n).reshape(n, -1) if n else np.empty((0, 1), np.int8), np.frombuffer(b, "<f4", 2 * n).reshape(n, 2)
 
 
 def floats(v: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    return v.astype(np.float32) * scale[:, None]
+    return v.astype(np.float32) * scale[:, :1]
 
 
 def bucket_of(nodes: np.ndarray, buckets: int) -> np.ndarray:
@@ -226,30 +238,48 @@ def matrix(column) -> np.ndarray:
 
 # --------------------------------------------------------------------------- graph
 
-def longest(nodes: DataFrame) -> float:
-    """The largest length of a vector."""
+def longest(nodes: DataFrame, count: int = ENTRIES) -> tuple[np.ndarray, np.ndarray]:
+    """The ``count`` longest vectors: nodes and vectors, the longest first."""
 
     def run(batches):
-        yield pa.record_batch([pa.array([max([float(np.sqrt((matrix(b.column("vec")) ** 2).sum(axis=1)).max()) for b in batches if b.num_rows], default=0.0)])], names=["n"])
+        ids, x, n = np.empty(0, np.int64), None, np.empty(0)
+        for b in batches:
+            if b.num_rows:
+                own = matrix(b.column("vec"))
+                ids, x = np.append(ids, b.column("node").to_numpy()), own if x is None else np.concatenate([x, own])
+                n = np.append(n, np.sqrt((own * own).sum(axis=1)))
+                top = np.lexsort((ids, -n))[:count]
+                ids, x, n = ids[top], x[top], n[top]
+        yield pa.record_batch([pa.array(ids), C.binary_column([] if x is None else [v.astype("<f8").tobytes() for v in x]), pa.array(n)], names=["node", "vec", "n"])
 
-    return C.map_arrow(nodes.select("vec"), run, "n double").agg(F.max("n")).first()[0] or 0.0
+    got = C.map_arrow(nodes.select("node", "vec"), run, "node long, vec binary, n double").orderBy(F.desc("n"), "node").limit(count).toArrow()  # at most ``count`` vectors
+    return got["node"].to_numpy(), matrix(got["vec"])
 
 
-def lifted(x: np.ndarray, length: float) -> np.ndarray:
-    """Vectors with one more component that brings each to the same length."""
-    rest = np.sqrt(np.maximum(0.0, length * length - (x * x).sum(axis=1)))
-    return np.hstack([x, rest[:, None]]).astype(np.float32)
+def rises(x: np.ndarray, length: float) -> np.ndarray:
+    """``length * (length - r)`` of each vector, r being the component that brings it to that length."""
+    own = (x * x).sum(axis=1)
+    return (own * length / np.maximum(length + np.sqrt(np.maximum(0.0, length * length - own)), 1e-300)).astype(np.float32)
+
+
+def scores_of(x: np.ndarray, rise: np.ndarray, y: np.ndarray, other: np.ndarray, length: float) -> np.ndarray:
+    """Products of equally long vectors less their squared length, from the original components and the rises."""
+    s = x @ y.T
+    s += (rise / np.float32(length))[:, None] * (other / np.float32(length))[None, :]
+    s -= rise[:, None]
+    s -= other[None, :]
+    return s
 
 
 def first_graph(nodes: DataFrame, buckets: int, size: int, length: float) -> DataFrame:
     """Neighbours within leaves: each node joins the leaves of its nearest pivots; a large leaf is cut at random."""
     spark = nodes.sparkSession
     count = max(1, min(PIVOTS, size // (LEAF // 2)))
-    pivots = lifted(matrix(nodes.orderBy(F.xxhash64("node"), "node").limit(count).select("vec").toArrow()["vec"]), length)
-    shared = spark.sparkContext.broadcast(pivots)  # at most PIVOTS vectors
+    pivots = matrix(nodes.orderBy(F.xxhash64("node"), "node").limit(count).select("vec").toArrow()["vec"])
+    shared = spark.sparkContext.broadcast((pivots.astype(np.float32), rises(pivots, length)))  # at most PIVOTS vectors
 
     def nearest(x: np.ndarray) -> np.ndarray:
-        s = x @ shared.value.T
+        s = scores_of(x.astype(np.float32), rises(x, length), *shared.value, length)
         m = min(LEAVES, s.shape[1])
         return np.argpartition(-s, m - 1, axis=1)[:, :m]
 
@@ -257,7 +287,7 @@ def first_graph(nodes: DataFrame, buckets: int, size: int, length: float) -> Dat
         total = np.zeros(count, np.int64)
         for b in batches:
             if b.num_rows:
-                total += np.bincount(nearest(lifted(matrix(b.column("vec")), length)).ravel(), minlength=count)
+                total += np.bincount(nearest(matrix(b.column("vec"))).ravel(), minlength=count)
         yield pa.record_batch([pa.array(np.arange(count)), pa.array(total)], names=["pivot", "n"])
 
     found = C.map_arrow(nodes.select("vec"), counts, "pivot long, n long").groupBy("pivot").agg(F.sum("n").alias("n")).toArrow()
@@ -270,8 +300,8 @@ def first_graph(nodes: DataFrame, buckets: int, size: int, length: float) -> Dat
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, x = b.column("node").to_numpy(), lifted(matrix(b.column("vec")), length)
-            v, scale = coarse(x)
+            ids, x = b.column("node").to_numpy(), matrix(b.column("vec"))
+            v, scale = stored(x, length)
             near = nearest(x)
             leaf = offset[near] + (C.mix64(ids.view(np.uint64) + np.uint64(5))[:, None] % cuts[near].astype(np.uint64)).astype(np.int64)
             out, member = Sender(), np.repeat(np.arange(len(ids)), near.shape[1])
@@ -286,10 +316,11 @@ def first_graph(nodes: DataFrame, buckets: int, size: int, length: float) -> Dat
         out = Sender()
         for _, kinds in by_bucket(batches):
             ids = np.concatenate([i8(c[0]) for c in kinds[MEMBERS]])
-            x = np.concatenate([floats(*unpack_vectors(c[1], len(c[0]) // 8)) for c in kinds[MEMBERS]])
+            packed = [unpack_vectors(c[1], len(c[0]) // 8) for c in kinds[MEMBERS]]
+            x, rise = np.concatenate([floats(*p) for p in packed]), np.concatenate([p[1][:, 1] for p in packed])
             order = np.argsort(C.mix64(ids.view(np.uint64)))
             for part in np.array_split(order, -(-len(order) // (2 * LEAF))):
-                s = x[part] @ x[part].T
+                s = scores_of(x[part], rise[part], x[part], rise[part], length)
                 np.fill_diagonal(s, -np.inf)
                 m = min(K, len(part) - 1)
                 if m < 1:
@@ -305,7 +336,7 @@ def first_graph(nodes: DataFrame, buckets: int, size: int, length: float) -> Dat
         for b in batches:
             if b.num_rows:
                 ids = b.column("node").to_numpy()
-                v, scale = coarse(lifted(matrix(b.column("vec")), length))
+                v, scale = stored(matrix(b.column("vec")), length)
                 out, at = Sender(), bucket_of(ids, buckets)
                 order = np.argsort(at, kind="stable")
                 for lo, hi in zip(*C.runs(at[order]), strict=True):
@@ -358,7 +389,7 @@ def reversed_edges(state: DataFrame, buckets: int) -> DataFrame:
     return C.map_arrow(state, run, PACKET)
 
 
-def introduced(state: DataFrame, buckets: int) -> DataFrame:
+def introduced(state: DataFrame, buckets: int, length: float) -> DataFrame:
     """One round's offers: neighbours of neighbours, found where lists meet."""
 
     def members(batches):
@@ -383,7 +414,7 @@ def introduced(state: DataFrame, buckets: int) -> DataFrame:
             if MEMBERS not in kinds:
                 continue
             center, member, nodes, vectors, scale, limit = joined(kinds[MEMBERS])
-            x = floats(vectors, scale)
+            x, rise = floats(vectors, scale), scale[:, 1]
             order = np.argsort(center, kind="stable")
             center, member = center[order], member[order]
             us, vs, ss, held, out = [], [], [], 0, Sender()
@@ -395,7 +426,7 @@ def introduced(state: DataFrame, buckets: int) -> DataFrame:
 
             for lo, hi in zip(*C.runs(center), strict=True):
                 m = member[lo:hi]
-                s = x[m] @ x[m].T
+                s = scores_of(x[m], rise[m], x[m], rise[m], length)
                 np.fill_diagonal(s, -np.inf)
                 i, j = np.nonzero(s > limit[m][:, None])
                 if len(i):
@@ -412,14 +443,14 @@ def introduced(state: DataFrame, buckets: int) -> DataFrame:
     return C.map_arrow(exchanged(C.map_arrow(known, members, PACKET)), meet, PACKET)
 
 
-def graph(nodes: DataFrame, buckets: int, rounds: int = ROUNDS) -> DataFrame:
+def graph(nodes: DataFrame, buckets: int, length: float, rounds: int = ROUNDS) -> DataFrame:
     """The neighbour graph in blocks."""
     spark = nodes.sparkSession
     size = nodes.count()
-    state = C.staged(spark, first_graph(nodes, buckets, size, longest(nodes)), "ann-graph")
+    state = C.staged(spark, first_graph(nodes, buckets, size, length), "ann-graph")
     reached = _reached(state)
     for _ in range(rounds if size > K + 1 else 0):
-        new = C.staged(spark, merged(state, introduced(state, buckets)), "ann-graph")
+        new = C.staged(spark, merged(state, introduced(state, buckets, length)), "ann-graph")
         C.drop(spark, state)
         state, before, reached = new, reached, _reached(new)
         spark.sparkContext._jvm.System.gc()  # lets Spark clear the shuffle files of the round that is over
@@ -429,17 +460,20 @@ def graph(nodes: DataFrame, buckets: int, rounds: int = ROUNDS) -> DataFrame:
 
 
 def _reached(state: DataFrame) -> float:
-    """The sum of all neighbours' scores."""
+    """The sum of all neighbours' scores, each against its node's squared length: 1 at the node itself, 0 from its
+    own length on (for vectors of one length, the cosine).  So no long vector outweighs the others."""
 
     def scores(batches):
         total = 0.0
         for b in batches:
-            for packed in b.column("d").to_pylist():
-                s = f4(packed)
-                total += float(s[np.isfinite(s)].sum(dtype=np.float64))
+            for cols in zip(*(b.column(n).to_pylist() for n in NAMES[2:]), strict=True):
+                block = Block(cols)
+                x = floats(block.vectors, block.scale)
+                s = 1 + block.scores / np.maximum((x * x).sum(axis=1), np.float32(1e-30))[:, None]
+                total += float(np.maximum(s, 0).sum(dtype=np.float64))
         yield pa.record_batch([pa.array([total])], names=["s"])
 
-    return C.map_arrow(state.select("d"), scores, "s double").agg(F.sum("s")).first()[0] or 0.0
+    return C.map_arrow(state, scores, "s double").agg(F.sum("s")).first()[0] or 0.0
 
 
 # --------------------------------------------------------------------------- search
@@ -468,23 +502,30 @@ class Beam(Block):
         return a, b, c, d + self.open.astype("u1").tobytes()
 
 
-def search(state: DataFrame, queries: DataFrame, buckets: int, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
+def search(state: DataFrame, queries: DataFrame, buckets: int, entries: tuple[np.ndarray, np.ndarray], beam: int = BEAM, hops: int = HOPS) -> DataFrame:
     """(query, node, score): the best of each query node's beam, by coarse vectors."""
     spark = state.sparkSession
+    shared = spark.sparkContext.broadcast(entries)  # at most ENTRIES vectors
 
     def start(batches):
+        doors, door = shared.value
         for bucket, kinds in by_bucket(batches):
             if QUERIES not in kinds or STATE not in kinds:
                 continue
             block = Block(kinds[STATE][0])
             at = block.at(np.unique(np.concatenate([i8(c[0]) for c in kinds[QUERIES]])))
             block.nodes, block.vectors, block.scale = block.nodes[at], block.vectors[at], block.scale[at]
-            pad = max(0, beam - block.ids.shape[1])
-            block.ids = np.pad(block.ids[at], ((0, 0), (0, pad)), constant_values=-1)
-            # the graph's products hold the added component: neighbours are scored anew when they are visited
-            block.scores = np.pad(np.where(block.ids[:, : K] >= 0, np.float32(-1e30), -np.inf).astype(np.float32), ((0, 0), (0, pad)), constant_values=-np.inf)
-            block.vectors = block.vectors.copy()
-            block.vectors[:, -1] = 0
+            # the graph's scores hold the added component: neighbours are scored anew when they are visited
+            near = np.where(block.ids[at] >= 0, np.float32(-1e30), -np.inf).astype(np.float32)
+            s = floats(block.vectors, block.scale) @ door.T
+            s[block.nodes[:, None] == doors[None, :]] = -np.inf
+            m = min(ENTERED, len(doors))
+            top = np.argpartition(-s, m - 1, axis=1)[:, :m]
+            score = np.take_along_axis(s, top, 1)
+            ids, scores = np.hstack([np.where(score > -np.inf, doors[top], -1), block.ids[at]]), np.hstack([score, near])
+            pad = max(0, beam - ids.shape[1])
+            block.ids = np.pad(ids, ((0, 0), (0, pad)), constant_values=-1)
+            block.scores = np.pad(scores.astype(np.float32), ((0, 0), (0, pad)), constant_values=-np.inf)
             first, out = Beam(list(block.parts())), Sender()
             out.add(bucket, QUERIES, *first.parts())
             yield out.batch()
@@ -597,8 +638,9 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
     of_query = C.map_arrow(asked, hashed, "query_id long, h long").distinct().join(known.select("h", "node"), "h").select("query_id", F.col("node").alias("query"))
     of_query = C.staged(spark, of_query, "ann-queries")
-    state = graph(known.select("node", "vec"), buckets)
-    pairs = search(state, of_query.select(F.col("query").alias("node")).distinct(), buckets)
+    doors, door = longest(known)
+    state = graph(known.select("node", "vec"), buckets, float(np.sqrt((door[:1] ** 2).sum())))
+    pairs = search(state, of_query.select(F.col("query").alias("node")).distinct(), buckets, (doors, door.astype(np.float32)))
 
     def exact(batches):
         for b in batches:

@@ -153,3 +153,14 @@ def test_few_vectors(spark, n):
     rows = [(20 * i, [float(i + 1), 1.0, -float(i)]) for i in range(n)]
     got = run(spark, rows)
     assert got == {q: v for q, v in brute(rows).items() if v}
+
+
+def test_recall_with_a_few_long_vectors(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 64))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    x[[7, 500, 1111, 1500, 2999]] *= 50
+    rows = [(i, [float(v) for v in np.float32(row)]) for i, row in enumerate(x)]
+    got, want = run(spark, rows), brute(rows)
+    assert set(got) == set(want)
+    assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
