@@ -16,6 +16,7 @@ Rows are independent: ties, repeated rows and clashing extra columns change noth
 
 from __future__ import annotations
 
+import functools
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,8 +107,12 @@ FORMS = (
 )
 #: What a text must hold, in lower case, for any rule or phrase to be able to match: each family's
 #: keywords need one of these in the raw text, whatever separates the words.
-HINTS = ("licen", "spdx", "gpl", "cc0", "bsd", "mpl", "wtfpl", "commons", "sharealike", "openrail")
-HINT_PATTERN = r"(?<![0-9a-z])cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by(?![0-9a-z])|public[\x00-\x2F\x3A-\x60\x7B-\x7F]+domain|open[\x00-\x2F\x3A-\x60\x7B-\x7F]+rail|apache[\x00-\x2F\x3A-\x60\x7B-\x7F]+v?2"
+HINTS = ("licen", "spdx", "gpl", "cc0", "bsd", "mpl", "wtfpl", "commons", "sharealike", "noderiv", "openrail")
+HINT_PATTERN = r"(?<![0-9a-z])cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+(?:attribution[\x00-\x2F\x3A-\x60\x7B-\x7F]+)?by(?![0-9a-z])|public[\x00-\x2F\x3A-\x60\x7B-\x7F]+domain|open[\x00-\x2F\x3A-\x60\x7B-\x7F]+rail|apache[\x00-\x2F\x3A-\x60\x7B-\x7F]*v?2|non[\x00-\x2F\x3A-\x60\x7B-\x7F]*commercial"
+#: A grant need not say license: then it holds one of these words and the name of a family that the name alone doesn't tell.
+GRANTS = tuple(w for w in _DONE[3:-1].split("|") if not w.startswith("licen"))
+GRANTED = tuple(sorted({keyword for _, keyword, _, _, alone in FAMILIES if not alone}))
+GRANTED_PATTERN = f"(?<![0-9a-z])(?:{'|'.join(GRANTED)})(?![0-9a-z])"
 
 
 def rules() -> list[dict]:
@@ -132,7 +137,8 @@ def hinted(text: Column) -> Column:
     out = low.rlike(HINT_PATTERN)
     for h in HINTS:
         out = low.contains(h) | out
-    return out
+    holds = lambda words: functools.reduce(lambda a, b: a | b, (low.contains(w) for w in words))
+    return out | (holds(GRANTED) & holds(GRANTS) & low.rlike(GRANTED_PATTERN))
 
 
 def normalised(text: Column) -> Column:

@@ -100,3 +100,37 @@ def test_plan_has_no_python_and_no_shuffle(spark):
     for df in (L.scan(docs(spark, CASES)),):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Exchange" not in plan
+
+
+def spellings(pattern):
+    """Every way to write a pattern: all alternatives, options with and without, the shortest of what repeats."""
+    from re import _parser as P
+
+    def of(tokens):
+        out = [""]
+        for op, arg in tokens:
+            if op is P.LITERAL:
+                ways = [chr(arg)]
+            elif op is P.IN:
+                ways = [chr(v) for o, v in arg if o is P.LITERAL] or (["s"] if (P.CATEGORY, P.CATEGORY_WORD) in arg else ["2"])
+            elif op is P.BRANCH:
+                ways = [w for way in arg[1] for w in of(way)]
+            elif op is P.SUBPATTERN:
+                ways = of(arg[3])
+            else:
+                lo, hi, inner = arg
+                ways = [w * n for w in of(inner) for n in {lo, min(hi, 1)}]
+            out = [a + b for a in out for b in dict.fromkeys(ways)]
+        return out
+
+    return of(P.parse(pattern))
+
+
+def test_hints_hold_for_every_rule(spark):
+    texts = [w for _, _, name, _, alone in L.FAMILIES for x in spellings(name) for w in [f"this code is Released under {x}, see", *([f"a {x.upper()}."] if alone else [])]]
+    texts += [f"SPDX-License-Identifier: {x}" for _, _, _, spdx, _ in L.FAMILIES for x in spellings(spdx)]
+    df = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    assert [r.text for r in df.where(~L.hinted(df.text)).collect()] == []
+    said = ["Released under MIT", "distributed under the ISC", "available under Artistic", "provided under zlib"]
+    got = {r.doc_id: r.labels for r in L.scan(docs(spark, [(i, t, "s") for i, t in enumerate([*said, "mit dem Haus, free"])])).collect()}
+    assert got == {0: "mit", 1: "isc", 2: "artistic", 3: "zlib", 4: ""}
