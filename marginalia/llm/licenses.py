@@ -34,13 +34,16 @@ BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2
 #: Label, keyword, how a text names the license, its SPDX identifier's words, and
 #: whether the name alone tells (else it must come with the word license or a grant).
 FAMILIES = (
-    ("cc-by-nc-nd", "nc nd", r"(?:cc|creative commons)(?: attribution)? (?:by nc nd|noncommercial noderiv\w*|non commercial no deriv\w*)(?: [1-4] \d)?", r"cc by nc nd [1-4] \d", True),
-    ("cc-by-nc-sa", "nc sa", r"(?:cc|creative commons)(?: attribution)? (?:by nc sa|noncommercial sharealike|non commercial share alike)(?: [1-4] \d)?", r"cc by nc sa [1-4] \d", True),
+    ("cc-by-nc-nd", "nc nd", r"(?:cc|creative commons)(?: attribution)? by nc nd(?: [1-4] \d)?", r"cc by nc nd [1-4] \d", True),
+    ("cc-by-nc-nd", "deriv", r"(?:cc|creative commons)(?: attribution)? non ?commercial no ?deriv\w*(?: [1-4] \d)?", r"cc by nc nd", True),
+    ("cc-by-nc-sa", "nc sa", r"(?:cc|creative commons)(?: attribution)? by nc sa(?: [1-4] \d)?", r"cc by nc sa [1-4] \d", True),
+    ("cc-by-nc-sa", "alike", r"(?:cc|creative commons)(?: attribution)? non ?commercial share ?alike(?: [1-4] \d)?", r"cc by nc sa", True),
     ("cc-by-nc", "nc", r"cc by nc(?: [1-4] \d)?", r"cc by nc [1-4] \d", True),
-    ("cc-by-nc", "noncommercial", r"creative commons attribution (?:noncommercial|non commercial)(?: [1-4] \d)?", r"cc by nc", True),
-    ("cc-by-nd", "by nd", r"(?:cc|creative commons) (?:by nd|attribution noderiv\w*)(?: [1-4] \d)?", r"cc by nd [1-4] \d", True),
+    ("cc-by-nc", "commercial", r"creative commons attribution (?:noncommercial|non commercial)(?: [1-4] \d)?", r"cc by nc", True),
+    ("cc-by-nd", "by nd", r"(?:cc|creative commons) by nd(?: [1-4] \d)?", r"cc by nd [1-4] \d", True),
+    ("cc-by-nd", "deriv", r"(?:cc|creative commons) attribution no ?deriv\w*(?: [1-4] \d)?", r"cc by nd", True),
     ("cc-by-sa", "by sa", r"cc by sa(?: [1-4] \d)?", r"cc by sa [1-4] \d", True),
-    ("cc-by-sa", "sharealike", r"creative commons attribution sharealike(?: [1-4] \d)?", r"cc by sa", True),
+    ("cc-by-sa", "alike", r"creative commons attribution share ?alike(?: [1-4] \d)?", r"cc by sa", True),
     ("cc-by", "cc by", r"cc by(?: [1-4] \d)?", r"cc by [1-4] \d", True),
     ("cc-by", "creative commons attribution", r"creative commons attribution(?: [1-4] \d)?", r"cc by", True),
     ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?", r"cc0 1 0", True),
@@ -69,7 +72,7 @@ FAMILIES = (
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|original bsd|four clause bsd|4 clause bsd)", r"bsd 4 clause", True),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|new bsd|modified bsd|revised bsd|three clause bsd|3 clause bsd)", r"bsd 3 clause", True),
     ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|simplified bsd|freebsd|two clause bsd|2 clause bsd)", r"bsd 2 clause", True),
-    ("0bsd", "0bsd", r"(?:0bsd|zero clause bsd)", r"0bsd", True),
+    ("0bsd", "bsd", r"(?:0bsd|zero clause bsd)", r"0bsd", True),
     ("bsd", "bsd", r"bsd", r"bsd", False),
     ("isc", "isc", r"isc", r"isc", False),
     ("mpl-2", "mozilla public", r"mozilla public licen[sc]e(?: version)? v?2(?: 0)?", r"mpl 2 0", True),
@@ -107,8 +110,8 @@ FORMS = (
 )
 #: What a text must hold, in lower case, for any rule or phrase to be able to match: each family's
 #: keywords need one of these in the raw text, whatever separates the words.
-HINTS = ("licen", "spdx", "gpl", "cc0", "bsd", "mpl", "wtfpl", "commons", "sharealike", "noderiv", "openrail")
-HINT_PATTERN = r"(?<![0-9a-z])cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+(?:attribution[\x00-\x2F\x3A-\x60\x7B-\x7F]+)?by(?![0-9a-z])|public[\x00-\x2F\x3A-\x60\x7B-\x7F]+domain|open[\x00-\x2F\x3A-\x60\x7B-\x7F]+rail|apache[\x00-\x2F\x3A-\x60\x7B-\x7F]*v?2|non[\x00-\x2F\x3A-\x60\x7B-\x7F]*commercial"
+HINTS = ("licen", "spdx", "gpl", "cc0", "bsd", "mpl", "wtfpl", "commons", "sharealike", "openrail")
+HINT_PATTERN = r"(?<![0-9a-z])cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+(?:attribution[\x00-\x2F\x3A-\x60\x7B-\x7F]+)?by(?![0-9a-z])|public[\x00-\x2F\x3A-\x60\x7B-\x7F]+domain|open[\x00-\x2F\x3A-\x60\x7B-\x7F]+rail|apache[\x00-\x2F\x3A-\x60\x7B-\x7F]*v?2|non[\x00-\x2F\x3A-\x60\x7B-\x7F]*commercial|no[\x00-\x2F\x3A-\x60\x7B-\x7F]*deriv"
 #: A grant need not say license: then it holds one of these words and the name of a family that the name alone doesn't tell.
 GRANTS = tuple(w for w in _DONE[3:-1].split("|") if not w.startswith("licen"))
 GRANTED = tuple(sorted({keyword for _, keyword, _, _, alone in FAMILIES if not alone}))

@@ -134,3 +134,10 @@ def test_hints_hold_for_every_rule(spark):
     said = ["Released under MIT", "distributed under the ISC", "available under Artistic", "provided under zlib"]
     got = {r.doc_id: r.labels for r in L.scan(docs(spark, [(i, t, "s") for i, t in enumerate([*said, "mit dem Haus, free"])])).collect()}
     assert got == {0: "mit", 1: "isc", 2: "artistic", 3: "zlib", 4: ""}
+
+
+def test_keywords_gate_no_spelling_of_their_own_rule(spark):
+    assert [(k, x) for _, k, name, _, _ in L.FAMILIES for x in spellings(name) if k not in x] == []
+    said = ["-NonCommercial-NoDerivatives 4.0", "-NonCommercial-ShareAlike 4.0", "-NoDerivatives", " Non-Commercial", " Share Alike 3.0", ""]
+    got = {r.doc_id: r.labels for r in L.scan(docs(spark, [(i, f"Creative Commons Attribution{t}, so", "s") for i, t in enumerate(said)] + [(9, "zero clause BSD license", "s")])).collect()}
+    assert got == {0: "cc-by-nc-nd", 1: "cc-by-nc-sa", 2: "cc-by-nd", 3: "cc-by-nc", 4: "cc-by-sa", 5: "cc-by", 9: "0bsd"}
