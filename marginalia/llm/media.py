@@ -248,6 +248,24 @@ def linked(prints: DataFrame, queries: DataFrame, block: int = QUERIES) -> DataF
     return size.join(found, "id", "left").select("id", "n_frames", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("b.best_query").alias("best_query"), F.col("b.offset_frames").alias("offset_frames"), F.col("b.overlap").alias("overlap"), F.round("b.bit_error", 9).alias("bit_error"))
 
 
+def searched(prints: DataFrame, divisor: int = 50, block: int = QUERIES) -> DataFrame:
+    """id, n_frames, class_id, query_class, offset_frames, hits, overlap, bit_error: every recording with its class of
+    equal fingerprints (named by its least id), and every alignment of a class that holds a query (an id divisible
+    by ``divisor``) with another class.
+
+    Alignments stand at the class's least id, a row each, and hold for all its members; other recordings have one row
+    and nulls.  Members of one class align at offset 0 without a differing bit.  A recording without a fingerprint has
+    no class.  So copies are never expanded into pairs, and no link between different recordings goes.
+    """
+    heard = prints.where("id is not null and length(fingerprint) > 0")
+    classes = heard.groupBy("fingerprint").agg(F.min("id").alias("class_id"), F.max(F.col("id") % divisor == 0).alias("asked"))
+    classes = C.staged(prints.sparkSession, classes, "fingerprint-classes")
+    each = classes.select(F.col("class_id").alias("id"), "fingerprint", "asked")
+    found = align(each, each.where("asked"), block).select(F.col("match_id").alias("class_id"), F.col("match_id").alias("id"), F.col("query_id").alias("query_class"), "offset_frames", "hits", "overlap", F.round("bit_error", 9).alias("bit_error"))
+    members = prints.join(classes.select("fingerprint", "class_id"), "fingerprint", "left").select("id", (F.length("fingerprint") / 4).cast("int").alias("n_frames"), "class_id").distinct()
+    return members.join(found, ["class_id", "id"], "left").select("id", "n_frames", "class_id", "query_class", "offset_frames", "hits", "overlap", "bit_error")
+
+
 # --------------------------------------------------------------------------- recordings for tables without media
 
 NOTE = 512
@@ -293,4 +311,4 @@ def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = C.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vec"))
     # played and printed in one pass: the recordings are never stored
     prints = C.staged(spark, C.map_arrow(vectors, lambda batches: _printed(_played(batches)), "id long, fingerprint binary"), "fingerprints")
-    return linked(prints, prints.where(F.col("id") % 50 == 0)).withColumnRenamed("id", "vec_id")
+    return searched(prints).withColumnRenamed("id", "vec_id")

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from marginalia.llm import ann, media
+from marginalia.llm import common as C
 from marginalia.llm import html as H
 
 PAGES = "page_id long, url string, html string, text string, key long"
@@ -104,6 +105,23 @@ def test_alignment_finds_offsets(spark):
     assert linked == {50: (0, None), 3: (1, 50), 4: (1, 100), 5: (1, 50), 6: (0, None), 100: (0, None), 7: (0, None)}
 
 
+def test_search_returns_every_alignment(spark):
+    base, other = tune(1, 60), tune(2, 60)
+    later, latest = tune(7, 10) + base, tune(9, 20) + base
+    rows = [(50, base), (100, later), (3, latest), (4, other), (5, base), (6, None), (7, latest), (None, base), (150, other), (5, base)]
+    prints = C.staged(spark, media.fingerprints(spark.createDataFrame(rows, "id long, media binary"), "id", "media"), "test-prints")
+    got = media.searched(prints).where("id is not null").collect()
+    member = {r.id: r.class_id for r in got}
+    assert member == {50: 5, 5: 5, 100: 100, 3: 3, 7: 3, 4: 4, 150: 4, 6: None}
+    links = {(r.query_class, r.id): r.offset_frames for r in got if r.query_class is not None}
+    assert links == {(100, 3): 20, (5, 3): 40, (5, 100): 20, (100, 5): -20}  # both queries of 3, not the best alone
+    assert len(got) == 9  # 3 has two rows
+    pairs = {(r.query_id, r.match_id, r.offset_frames) for r in media.align(prints, prints.where("id % 50 = 0")).collect()}
+    queries = [i for i in member if i % 50 == 0]
+    whole = {(q, i, links.get((member[q], c), 0)) for q in queries for i, c in member.items() if i != q and (c == member[q] or (member[q], c) in links)}
+    assert whole == pairs  # classes and their alignments hold all that was found between single recordings
+
+
 def test_integral_image_sums():
     c = np.random.default_rng(1).random((20, 12))
     image = np.zeros((21, 13))
