@@ -6,17 +6,27 @@ bound.  Equal sets are one *class*, however many documents share it.
 Signatures (exact: no link is lost).  Sizes fall into bands; sets that link lie in
 the same band or neighbouring ones, and at most k grams belong to only one of them,
 with k fixed by the band.  The gram domain is dealt into n1 groups of n2 partitions.
-At most k partitions can differ, so in some group at most k2 = ceil((k+1)/n1) - 1
-do, and two linked sets agree on n2 - k2 partitions of that group: each subset of
-that size is one signature, a hash of the grams it holds.  Each set signs in its own
-band and the next, so linked sets share a signature.
+At most k partitions can differ, so in all but k / (k2 + 1) groups at most k2 do, and
+there two linked sets agree on n2 - k2 partitions: each subset of that size is one
+signature, a hash of the grams it holds.  Each set signs in its own band and the
+next, so linked sets share a signature.
+
+Weak signatures, which hold no gram or only grams that many texts share, would make
+candidates of sets that have nothing in common.  So there are w groups more than that:
+two linked sets share signatures in w + 1 groups at least, and if one of them has no
+more than w groups with a weak one, a strong one is among these.  A set with more weak
+groups signs again by another dealing of the domain, as every other such set does; only
+after ``DEALS`` dealings does it give its weak signatures too.
 
 Verification.  Sharing a signature only makes two sets *candidates*.  Connected
-candidates of one band form a cluster, whose pairs are compared twice, each time in
-pairs of blocks of bounded size that give back a spanning forest, never all pairs:
-first by small parity bitmaps (the bits that differ are a lower bound of the grams
+candidates of one band form a cluster.  The sets of a cluster beyond one block first
+meet its leader, block by block: what links with it, and is nearer to it than
+anything that doesn't can bear, is done, so a large group of near copies costs one
+comparison a set.  The pairs of what is left are compared twice, each time in pairs of
+blocks of bounded size that give back a spanning forest, never all pairs: first by
+small parity bitmaps (the bits that differ are a lower bound of the grams
 that differ, so no link is lost), which breaks clusters up; then, within what is left,
-by the intersections of the sets themselves.  Grams travel as 40 bits of their hash,
+by the intersections of the sets themselves.  Grams travel as 48 bits of their hash,
 which tell the grams of two documents apart.
 
 Empty and null texts have no grams and link with nothing; a text of fewer words than
@@ -26,6 +36,8 @@ n is one gram.  Repeated rows and equal texts fall into one class.
 from __future__ import annotations
 
 from itertools import combinations
+from math import ceil, comb
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,17 +48,23 @@ from . import common as C
 from .components import components, contract, least_of
 
 SIZE, PERCENT = 4, 85
-N2, K2 = 3, 1
+#: Grams that a signature should hold on average, and dealings of a set whose groups turn out weak.
+CONTENT, DEALS = 4.5, 6
+#: The fit of usual grams: one text in SAMPLED, some SAMPLE texts at most; USUAL of them must hold a gram. Which
+#: grams count as usual changes the number of candidates only, never a link.
+SAMPLED, SAMPLE, USUAL, USUAL_BITS = 16, 20_000, 6, 22
 #: Grams of all classes of a block, and classes of a block, at most on average.
 BLOCK_GRAMS, BLOCK_CLASSES = 600_000, 768
 #: The same of blocks of bitmaps, by bytes.
 BLOCK_BYTES, BLOCK_MAPS = 8_000_000, 8192
+#: Rounds of leaders that clusters beyond one block go through, and places where a large cluster's nodes meet its size.
+LEADERS, SALTS = 3, 16
 #: Grams worked on at once.
 AT_ONCE = 150_000
 
 
 def gram_sets(texts: list[str], n: int, words: C.Words) -> list[np.ndarray]:
-    """Sorted distinct 40-bit hashes of each text's word n-grams; A-Z in lower case, words split at ASCII space."""
+    """Sorted distinct 48-bit hashes of each text's word n-grams; A-Z in lower case, words split at ASCII space."""
     h, lens = words.of(texts)
     ends = np.cumsum(lens)
     whole = _windows(h, n) if len(h) >= n else np.empty(0, np.uint64)
@@ -65,7 +83,7 @@ def _windows(h: np.ndarray, n: int) -> np.ndarray:
         out = h[:top]
         for i in range(1, n):
             out = C.mix64(out) + h[i : top + i]
-        return C.mix64(out + np.uint64(n)) >> np.uint64(24)
+        return C.mix64(out + np.uint64(n)) >> np.uint64(16)
 
 
 def blocks_of(batches, column: str = "text"):
@@ -90,11 +108,20 @@ def class_of(g: np.ndarray) -> int:
         return int(C.mix64(np.array([(g * np.uint64(0x9E3779B97F4A7C15) ^ (g >> np.uint64(29))).sum() + np.uint64(len(g))]))[0] >> np.uint64(1))
 
 
+class Plan(NamedTuple):
+    """How the sets of a band sign: groups, partitions of a group, partitions left out of a signature, weak groups."""
+
+    groups: int
+    parts: int
+    left_out: int
+    weak: int
+
+
 class Bands:
     """Size bands: [edge[b], edge[b+1]); sets that link differ by one band at most."""
 
     def __init__(self, percent: int):
-        self.percent, self.edges = percent, [1]
+        self.percent, self.edges, self.plans = percent, [1], {}
 
     def of(self, n: int) -> int:
         while self.edges[-1] <= n:  # the largest size that can link with the band's least one, and one more
@@ -115,6 +142,23 @@ class Bands:
             self.of(self.edges[-1])
         return self.edges[b + 1] - 1
 
+    def plan(self, b: int) -> Plan:
+        """The cheapest plan whose signatures hold enough grams; ``weak`` is 1.5 deviations above what chance leaves empty."""
+        if b not in self.plans:
+            k, size, found = self.differing(b), self.edges[b], []
+            for left_out in (1, 2, 3):
+                for parts in range(left_out + 1, 9):
+                    subsets = comb(parts, left_out)
+                    for weak in range(3 + k // 8):
+                        groups = k // (left_out + 1) + 1 + weak  # more groups hold fewer grams each, so more of them are weak
+                        empty = min(1.0, subsets * (1 - (parts - left_out) / (groups * parts)) ** size)
+                        if weak >= groups * empty + 1.5 * (groups * empty * (1 - empty)) ** 0.5 - 0.1:
+                            break
+                    content = size * (parts - left_out) / (groups * parts)
+                    found.append((content < min(CONTENT, 0.6 * size), empty > 0.3, groups * subsets, Plan(groups, parts, left_out, weak)))
+            self.plans[b] = min(found)[-1]
+        return self.plans[b]
+
 
 def node_of(names: np.ndarray, bands: np.ndarray) -> np.ndarray:
     """One name for a class in a band."""
@@ -128,42 +172,80 @@ def bitmap(g: np.ndarray, top: int) -> bytes:
     return np.packbits(np.bincount((C.mix64(g) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
-_SUBSETS = list(combinations(range(N2), N2 - K2))
-
-
-def signatures(sets: list[np.ndarray], names: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+def signatures(sets: list[np.ndarray], names: np.ndarray, bands: Bands, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """PartEnum signatures of sets, each for its own band and the one above, and the nodes they belong to.
 
     Linked sets of one band meet there; those of neighbouring bands meet in the upper one.
     """
     size = np.array([len(s) for s in sets])
     g = np.concatenate(sets)
-    mixed = C.mix64(g)
-    low, high = (mixed & np.uint64(0xFFFFFFFF)).astype(np.float64), (mixed >> np.uint64(32)).astype(np.float64)
-    of = np.repeat(np.arange(len(sets)), size)
+    usual = np.zeros(len(g), bool) if common is None else common[(g & np.uint64(len(common) - 1)).astype(np.int64)]
     own = np.array([bands.of(n) for n in size.tolist()])
-    sigs, nodes = [], []
+    sigs, nodes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for band in (own, own + 1):
-        k = np.array([bands.differing(b) for b in band.tolist()])
         node = node_of(names, band)
-        n1 = np.where(k > 0, -(-(k + 1) // (K2 + 1)), 1)  # k = 0: only equal sets link, and their whole is the signature
-        parts = n1 * N2
-        base = np.cumsum(parts) - parts
-        part = (g % parts[of].astype(np.uint64)).astype(np.int64) + base[of]
-        with np.errstate(over="ignore"):
-            sums = (np.bincount(part, low, parts.sum()).astype(np.uint64) + (np.bincount(part, high, parts.sum()).astype(np.uint64) << np.uint64(32))).reshape(-1, N2)
-            doc = np.repeat(np.arange(len(sets)), n1)
-            group = np.arange(len(doc)) - (np.cumsum(n1) - n1)[doc]
-            tag = ((band[doc].astype(np.uint64) << np.uint64(32)) + group.astype(np.uint64)) * np.uint64(len(_SUBSETS) + 1)
-            some = k[doc] > 0
-            for i, s in enumerate(_SUBSETS):
-                sigs.append(C.mix64(C.mix64(sums[some][:, list(s)].sum(axis=1)) ^ C.mix64(tag[some] + np.uint64(i))))
-                nodes.append(node[doc[some]])
-            sigs.append(C.mix64(C.mix64(sums[~some].sum(axis=1)) ^ C.mix64(tag[~some] + np.uint64(len(_SUBSETS)))))
-            nodes.append(node[doc[~some]])
+        plans = [bands.plan(b) if bands.differing(b) else None for b in band.tolist()]  # where nothing may differ only equal sets link, and they are one class
+        for parts, left_out in sorted({(p.parts, p.left_out) for p in plans if p}):
+            todo = np.array([p is not None and (p.parts, p.left_out) == (parts, left_out) for p in plans])
+            for deal in range(DEALS):
+                if not todo.any():
+                    break
+                at = np.flatnonzero(todo)
+                grams = np.repeat(todo, size)
+                again = _deal(g[grams], usual[grams], size[at], band[at], node[at], [plans[i] for i in at.tolist()], deal, sigs, nodes)
+                todo[at] = again
     return np.concatenate(sigs), np.concatenate(nodes)
 
 
+def _deal(g, usual, size, band, node, plans: list[Plan], deal: int, sigs: list, nodes: list) -> np.ndarray:
+    """Adds the signatures of one dealing of sets whose plans leave out as many of as many partitions.
+
+    Returns which sets have too many weak groups, and so need another dealing.
+    """
+    parts, left_out = plans[0].parts, plans[0].left_out
+    n1, weak = np.array([p.groups for p in plans]), np.array([p.weak for p in plans])
+    base = np.cumsum(n1 * parts) - n1 * parts
+    of = np.repeat(np.arange(len(size)), size)
+    part = (C.mix64(g + np.uint64(deal)) % (n1 * parts)[of].astype(np.uint64)).astype(np.int64) + base[of] if deal else (g % (n1 * parts)[of].astype(np.uint64)).astype(np.int64) + base[of]
+    mixed, total = C.mix64(g), int((n1 * parts).sum())
+    low, high = (mixed & np.uint64(0xFFFFFFFF)).astype(np.float64), (mixed >> np.uint64(32)).astype(np.float64)
+    with np.errstate(over="ignore"):
+        sums = (np.bincount(part, low, total).astype(np.uint64) + (np.bincount(part, high, total).astype(np.uint64) << np.uint64(32))).reshape(-1, parts)
+        own = np.bincount(part, ~usual, total).reshape(-1, parts) > 0
+        doc = np.repeat(np.arange(len(size)), n1)
+        group = np.arange(len(doc)) - (np.cumsum(n1) - n1)[doc]
+        subsets = [list(s) for s in combinations(range(parts), parts - left_out)]
+        strong = np.stack([own[:, s].any(axis=1) for s in subsets], 1)
+        many = np.bincount(doc, ~strong.all(axis=1), len(size)) > weak
+        tag = ((band[doc].astype(np.uint64) << np.uint64(32)) + group.astype(np.uint64)) * np.uint64(len(subsets)) + (np.uint64(deal) << np.uint64(56))
+        last = many[doc] & (deal == DEALS - 1)
+        for i, s in enumerate(subsets):
+            ok = strong[:, i] | last
+            sigs.append(C.mix64(C.mix64(sums[ok][:, s].sum(axis=1)) ^ C.mix64(tag[ok] + np.uint64(i))))
+            nodes.append(node[doc[ok]])
+    return many
+
+
+def usual_grams(docs: DataFrame, n: int) -> np.ndarray:
+    """A table of bits by the lowest bits of a gram: set for the grams that many sampled texts hold."""
+
+    def run(batches):
+        hashes, seen = C.Words(), np.empty(0, np.uint64)
+        for _, _, texts in blocks_of(batches):
+            seen = np.concatenate([seen, *gram_sets(texts, n, hashes)])
+        g, count = np.unique(seen, return_counts=True)
+        g, count = g[count > 1], count[count > 1]  # a gram in two tasks once each is no usual one
+        yield pa.record_batch([pa.array(g.astype(np.int64)), pa.array(count)], names=["g", "n"])
+
+    texts = docs.where("text is not null").select("text")
+    share = max(SAMPLED, -(-docs.count() // SAMPLE))
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).distinct()
+    found = C.map_arrow(some.coalesce(8), run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= USUAL).orderBy(F.desc("n"), "g").limit(1 << (USUAL_BITS - 4)).select("g").toArrow()
+    out = np.zeros(1 << USUAL_BITS, bool)
+    out[found["g"].to_numpy() & (len(out) - 1)] = True
+    return out
+
+
 def signed(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
     """(bucket, keys, nodes): signatures dealt into buckets as packed numbers.
 
@@ -172,8 +254,10 @@ def signed(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
     only the least goes on; the others come as finished links (keys null, nodes u0 v0 u1 v1 ...).
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(usual_grams(docs, n)))  # of fixed size
+
     def run(batches):
-        hashes, bands, done = C.Words(), Bands(percent), set()
+        hashes, bands, done, usual = C.Words(), Bands(percent), set(), np.unpackbits(shared.value).astype(bool)
         for _, _, texts in blocks_of(batches):
             sets, names = [], []
             for g in gram_sets(texts, n, hashes):
@@ -185,7 +269,9 @@ def signed(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
             if not sets:
                 continue
             for at in range(0, len(sets), 20_000):  # 16 bits number the nodes
-                sig, node = signatures(sets[at : at + 20_000], np.array(names[at : at + 20_000]), bands)
+                sig, node = signatures(sets[at : at + 20_000], np.array(names[at : at + 20_000]), bands, usual)
+                if not len(sig):
+                    continue
                 sig >>= np.uint64(16)
                 order = np.lexsort((node, sig))
                 sig, node = sig[order], node[order]
@@ -267,13 +353,13 @@ def class_filter(names: DataFrame) -> np.ndarray:
 
 
 def _packed(g: np.ndarray) -> bytes:
-    """Sorted 40-bit hashes as their upper bytes, which compress well, and their lower 32 bits."""
-    return (g >> np.uint64(32)).astype("u1").tobytes() + g.astype("<u4").tobytes()
+    """Sorted 48-bit hashes as their upper 16 bits, which compress well, and their lower 32 bits."""
+    return (g >> np.uint64(32)).astype("<u2").tobytes() + g.astype("<u4").tobytes()
 
 
 def _unpacked(b: bytes) -> np.ndarray:
-    n = len(b) // 5
-    return (np.frombuffer(b, "u1", n).astype(np.uint64) << np.uint64(32)) | np.frombuffer(b, "<u4", n, n)
+    n = len(b) // 6
+    return (np.frombuffer(b, "<u2", n).astype(np.uint64) << np.uint64(32)) | np.frombuffer(b, "<u4", n, 2 * n)
 
 
 def described(docs: DataFrame, n: int, percent: int, wanted: np.ndarray) -> DataFrame:
@@ -405,11 +491,22 @@ def _compared(near, percent: int):
     return run
 
 
+def large(sets: DataFrame, cluster: DataFrame, block: int, most: int) -> DataFrame:
+    """(component, salt, leader, blocks): clusters of more than ``block`` weight or ``most`` nodes, a row for each salt."""
+    each = sets.select("node", "weight").distinct().join(cluster, "node").groupBy("component")
+    found = each.agg(F.min("node").alias("leader"), F.greatest(F.ceil(F.sum("weight") / block), F.ceil(F.count("*") / most)).cast("int").alias("blocks")).where("blocks > 1")
+    return found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select("component", "salt", "leader", "blocks")
+
+
+def salted(cluster: DataFrame, many: DataFrame, how: str) -> DataFrame:
+    """Nodes with what is known of their clusters: a cluster's nodes meet it in SALTS places."""
+    return cluster.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS)).cast("int")).join(many, ["component", "salt"], how)
+
+
 def compared(sets: DataFrame, cluster: DataFrame, near, percent: int, block: int, most: int) -> DataFrame:
     """(u, v) among the rows (node, name, n, weight, payload) of each cluster (node, component), in blocks of
     at most ``block`` weight and ``most`` nodes on average."""
-    sizes = sets.select("node", "weight").distinct().join(cluster, "node").groupBy("component").agg(F.greatest(F.ceil(F.sum("weight") / block), F.ceil(F.count("*") / most)).cast("int").alias("blocks"))
-    placed = cluster.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = salted(cluster, large(sets, cluster, block, most), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # block i meets blocks 0..blocks-1: task (i, j), i <= j, with i on the left side and j on the right
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tasks = placed.select("node", "component", "block", other).select(
@@ -422,15 +519,60 @@ def compared(sets: DataFrame, cluster: DataFrame, near, percent: int, block: int
     return C.map_arrow(along, lambda batches, fn=_compared(near, percent): contract(fn(batches)), "u long, v long")
 
 
+def _led(batches):
+    """The similarity of each node of a task to the leader, on the left side."""
+    for t in C.sorted_runs(batches, "task"):
+        task, side, size = (t[c].to_numpy() for c in ("task", "side", "n"))
+        for lo, hi in zip(*C.runs(task), strict=True):
+            first = int(lo + side[lo:hi].sum())  # the leader may come from several tasks
+            if first == lo or first == hi:
+                continue
+            leader, name = _unpacked(t["payload"][int(lo)].as_py()), t["name"][int(lo)].as_py()
+            common = np.array([len(np.intersect1d(_unpacked(t["payload"][i].as_py()), leader, assume_unique=True)) for i in range(first, hi)])
+            rest = t.slice(first, int(hi - first))
+            yield pa.record_batch([rest["node"].combine_chunks(), rest["component"].combine_chunks(), rest["name"].combine_chunks(), pa.array(np.full(hi - first, name)), pa.array(common), pa.array(size[first:hi] + size[lo] - common)], names=["node", "component", "u", "v", "common", "both"])
+
+
+def led(sets: DataFrame, cluster: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links of the nodes of large clusters to their leaders, and what is left to compare of all clusters.
+
+    One less the similarity is a distance.  So a node that links with the leader can link with one that doesn't only
+    if their distances to the leader differ by no more than a link's; the others that link have no more to find.
+    """
+    spark = sets.sparkSession
+    many = C.staged(spark, large(sets, cluster, BLOCK_GRAMS, BLOCK_CLASSES), "jaccard-large")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    ways = salted(cluster, many, "inner").where("node <> leader").select("node", "component", block.alias("block"), F.lit(0).alias("side"))
+    leaders = many.where("salt = 0").select(F.col("leader").alias("node"), "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"))
+    tasks = ways.unionByName(leaders).select("node", "component", F.xxhash64("component", "block").alias("task"), "side")
+    dealt = sets.join(tasks, "node").select("task", "side", "node", "component", "name", "n", "payload")
+    along = dealt.repartition(C.shuffle_partitions(spark), "task").sortWithinPartitions("task", F.desc("side"), "node")
+    seen = C.staged(spark, C.map_arrow(along, _led, "node long, component long, u long, v long, common long, both long").distinct(), "jaccard-led")
+    links = F.col("common") * 100 >= percent * F.col("both")
+    apart = 1 - F.col("common") / F.col("both")
+    nearest = seen.where(~links).groupBy("component").agg(F.min(apart).alias("nearest"))
+    spread = nearest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    left = salted(seen, spread, "inner").where(~links | (apart + (1 - percent / 100) + 1e-9 >= F.col("nearest"))).select("node", "component")
+    small = salted(cluster, many, "left_anti").select("node", "component")
+    return seen.where(links).select("u", "v"), C.staged(spark, small.unionByName(left), "jaccard-left")
+
+
 def links(known: DataFrame, cluster: DataFrame, percent: int) -> DataFrame:
     """(u, v): a spanning forest of the true links, by class, within the clusters (node, component)."""
     spark = known.sparkSession
     held = known.where("grams is not null").withColumnRenamed("n_shingles", "n")
+    sets = held.select(F.explode("nodes").alias("node"), F.col("class").alias("name"), "n", F.col("n").alias("weight"), F.col("grams").alias("payload"))
+    found = None
+    for _ in range(LEADERS):
+        if large(sets, cluster, BLOCK_GRAMS, BLOCK_CLASSES).isEmpty():
+            break
+        own, cluster = led(sets, cluster, percent)
+        found = own if found is None else found.unionByName(own)
     pair = F.explode(F.arrays_zip("nodes", "maps")).alias("pair")
     maps = held.select(pair, "n").select(F.col("pair.nodes").alias("node"), F.col("pair.nodes").alias("name"), "n", F.length("pair.maps").alias("weight"), F.col("pair.maps").alias("payload"))
     closer = C.staged(spark, components(compared(maps, cluster, _near_maps, percent, BLOCK_BYTES, BLOCK_MAPS), contracted=True), "jaccard-closer")
-    sets = held.select(F.explode("nodes").alias("node"), F.col("class").alias("name"), "n", F.col("n").alias("weight"), F.col("grams").alias("payload"))
-    return compared(sets, closer, _near_sets, percent, BLOCK_GRAMS, BLOCK_CLASSES)
+    rest = compared(sets, closer, _near_sets, percent, BLOCK_GRAMS, BLOCK_CLASSES)
+    return rest if found is None else rest.unionByName(C.map_arrow(found, contract, "u long, v long"))
 
 
 def classes(docs: DataFrame, n: int = SIZE, percent: int = PERCENT) -> DataFrame:
