@@ -4,12 +4,11 @@ A line's spread is the number of distinct sites (``source``) that carry it.  One
 HyperLogLog sketch per line hash, merged by aggregation, estimates every line's
 spread; a line whose estimate lies near the threshold gets an exact distinct
 count, so the decision is exact.  Lines of at least ``min_sites`` sites are
-boilerplate and leave every document, unless they make up more than
-``max_share`` of a document's characters: such a document is itself a much
-copied one, which near-duplicate removal handles, and stays whole.
+boilerplate and leave every document.  Only a document that would be left without any
+text stays whole: it has nothing of its own, and is a copy for near-duplicate removal.
 
 Lines are what newline characters separate, compared as they stand.  A blank line
-is never boilerplate.  A null site counts for no site; a null text stays null, with
+(empty, or spaces only; a line of tabs or carriage returns is text) is never boilerplate.  A null site counts for no site; a null text stays null, with
 no lines; an empty one has one blank line.  Repeated rows are one site like any
 other rows of their source, and each is cleaned.  An empty table gives an empty one.
 """
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-MIN_SITES, MAX_SHARE = 10, 0.5
+MIN_SITES = 10
 #: log2 of the sketch's registers, and how far an estimate may be off (its error at 4096 registers is
 #: 1.6 %, and counts of this size are kept almost exactly) before an exact count decides.
 LG_K, NEAR = 12, 0.2
@@ -54,17 +53,16 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return sure.unionByName(exact.where(F.col("sites") >= min_sites).select("h"))
 
 
-def _cleaned(flagged: Column, lines: Column, max_share: float) -> list[Column]:
+def _cleaned(flagged: Column, lines: Column) -> list[Column]:
     """Kept text and counts from parallel arrays of lines and boilerplate flags."""
-    chars = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, y: a + F.length(y))
     pairs = F.arrays_zip(lines.alias("line"), flagged.alias("flag"))
     gone = F.filter(pairs, lambda p: p["flag"])
-    few = chars(F.transform(gone, lambda p: p["line"])) <= max_share * F.length("text")
+    own = F.exists(pairs, lambda p: ~p["flag"] & (F.trim(p["line"]) != ""))
     out = F.array_join(F.transform(F.filter(pairs, lambda p: ~p["flag"]), lambda p: p["line"]), "\n")
-    return [F.when(few, out).otherwise(F.col("text")), F.size(lines).cast("long"), F.when(few, F.size(gone)).otherwise(0).cast("long")]
+    return [F.when(own, out).otherwise(F.col("text")), F.size(lines).cast("long"), F.when(own, F.size(gone)).otherwise(0).cast("long")]
 
 
-def remove(docs: DataFrame, lines: DataFrame, max_share: float = MAX_SHARE, in_plan: int = IN_PLAN) -> DataFrame:
+def remove(docs: DataFrame, lines: DataFrame, in_plan: int = IN_PLAN) -> DataFrame:
     """``docs`` with columns ``__text, __n_lines, __n_removed`` after the boilerplate ``lines`` (h) have gone.
 
     Few hashes (their number is checked) are looked up in place, without moving a text.  More are
@@ -77,28 +75,28 @@ def remove(docs: DataFrame, lines: DataFrame, max_share: float = MAX_SHARE, in_p
         known = [r["h"] for r in lines.collect()]
         flag = (lambda x: (F.trim(x) != "") & _hash(x).isin(known)) if known else (lambda x: F.lit(False))
         own = docs.withColumn("__lines", _lines(F.col("text")))
-        cols = _cleaned(F.transform("__lines", flag), F.col("__lines"), max_share)
+        cols = _cleaned(F.transform("__lines", flag), F.col("__lines"))
     else:
         rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
         at = rows.select("__row", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).where(F.trim("line") != "").select("__row", "pos", _hash(F.col("line")).alias("h"))
         found = at.join(lines, "h", "left_semi").groupBy("__row").agg(F.collect_set("pos").alias("__gone"))  # a document's own lines: no group is larger
         own = rows.join(found, "__row", "left").withColumn("__lines", _lines(F.col("text"))).withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>")))
-        cols = _cleaned(F.transform("__lines", lambda _, i: F.array_contains("__gone", i)), F.col("__lines"), max_share)
+        cols = _cleaned(F.transform("__lines", lambda _, i: F.array_contains("__gone", i)), F.col("__lines"))
     empty = F.col("text").isNull()
     made = [F.when(empty, F.lit(None).cast("string")).otherwise(cols[0]), *(F.when(empty, F.lit(0).cast("long")).otherwise(c) for c in cols[1:])]
     return own.select(*docs.columns, *(c.alias(n) for c, n in zip(made, names, strict=True)))
 
 
-def dedup(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, in_plan: int = IN_PLAN) -> DataFrame:
+def dedup(docs: DataFrame, min_sites: int = MIN_SITES, in_plan: int = IN_PLAN) -> DataFrame:
     """doc_id, text without boilerplate lines, n_lines, n_removed."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
-    out = remove(own, boilerplate(own, min_sites), max_share, in_plan)
+    out = remove(own, boilerplate(own, min_sites), in_plan)
     return out.select("doc_id", F.col("__text").alias("text"), F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"))
 
 
-def rewritten(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
+def rewritten(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """All columns of ``docs``, with the text cleaned and its length in ``n_chars`` brought up to date."""
-    out = remove(docs, boilerplate(docs.select("text", "source"), min_sites), max_share)
+    out = remove(docs, boilerplate(docs.select("text", "source"), min_sites))
     new = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
     return out.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
 
@@ -117,16 +115,16 @@ WITH d AS (
 ), b AS (
   SELECT line FROM l WHERE trim(line, ' ') <> '' GROUP BY line HAVING count(DISTINCT source) >= {MIN_SITES}
 ), f AS (
-  SELECT l.r, l.i, l.line, b.line IS NOT NULL AS gone FROM l LEFT JOIN b ON l.line = b.line
+  SELECT l.r, l.i, l.line, b.line IS NOT NULL AS gone, trim(l.line, ' ') = '' AS blank FROM l LEFT JOIN b ON l.line = b.line
 ), a AS (
-  SELECT r, count(*) AS n, count(*) FILTER (gone) AS g, coalesce(sum(length(line)) FILTER (gone), 0) AS chars,
+  SELECT r, count(*) AS n, count(*) FILTER (gone) AS g, count(*) FILTER (NOT gone AND NOT blank) AS own,
          string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS kept
   FROM f GROUP BY r
 )
 SELECT d.doc_id,
-       CASE WHEN d.text IS NULL THEN NULL WHEN a.chars <= {MAX_SHARE} * length(d.text) THEN coalesce(a.kept, '') ELSE d.text END AS text,
+       CASE WHEN d.text IS NULL THEN NULL WHEN a.own > 0 THEN a.kept ELSE d.text END AS text,
        CAST(coalesce(a.n, 0) AS BIGINT) AS n_lines,
-       CAST(CASE WHEN d.text IS NOT NULL AND a.chars <= {MAX_SHARE} * length(d.text) THEN a.g ELSE 0 END AS BIGINT) AS n_removed
+       CAST(CASE WHEN d.text IS NOT NULL AND a.own > 0 THEN a.g ELSE 0 END AS BIGINT) AS n_removed
 FROM d LEFT JOIN a ON d.r = a.r
 """
 

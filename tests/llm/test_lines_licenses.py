@@ -39,6 +39,14 @@ def test_lines_equal_sql_by_both_ways(spark):
     assert sum(r[3] for r in want) > 50
 
 
+def test_boilerplate_goes_however_large_its_share(spark):
+    rows = [(i, f"All rights reserved by whoever made this page and its many parts\nown {i}", f"s{i}") for i in range(12)]
+    rows += [(50, "All rights reserved by whoever made this page and its many parts\n ", "s1"), (51, "\n\n", "s1"), (52, "All rights reserved by whoever made this page and its many parts\n\t", "s1")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in D.dedup(docs(spark, rows)).collect()}
+    assert all(got[i] == (f"own {i}", 1) for i in range(12))
+    assert got[50] == (rows[12][1], 0) and got[51] == ("\n\n", 0) and got[52] == ("\t", 1)
+
+
 def test_rewritten_keeps_columns(spark):
     out = D.rewritten(docs(spark, corpus()))
     assert out.columns == [c.split()[0] for c in DDL.split(", ")]
