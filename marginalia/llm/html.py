@@ -2,14 +2,16 @@
 
 Every page is parsed into a tree.  Element subtrees are hashed (tag, class, id,
 text and children), and Spark counts on how many different pages of its host each
-hash occurs; subtrees that recur on many pages of a host are its template and are
-deleted.  What an article says stays even if other pages say it too: inside the
-article only marked-up boxes (an element with a class or id that is no block of
-prose) can be template.  Elements that are never main text (menus, footers, forms,
-scripts, adverts, notices, reader comments) go by their tag, role or class.
-
-The main text is that of the page's outermost ``article`` elements, else of ``main``,
-else of all that is left of the body.  Character references are decoded, white space
+hash occurs; subtrees that recur on many pages of a host (``MIN_PAGES`` and a share of
+the host's pages) are its template and are deleted.  Paragraphs, headings, list items
+and inline elements stay wherever they recur, as prose may; inside the article only
+marked-up boxes (with a class or id) can be template.  Elements that are never main
+text (menus, footers, forms, scripts, adverts, notices, reader comments) go by their
+tag, role, or whole class names; but if that leaves no article, the classes of what
+stands around articles are the page's layout, and say nothing.
+
+The main text is that of the page's outermost ``article`` and ``main`` elements, with
+all that stands in them, else of all that is left of the body.  Character references are decoded, white space
 inside a block becomes one space, blocks are joined by newlines in page order.
 
 Null html counts as empty and gives an empty text.  A null or odd url counts as one
@@ -20,6 +22,7 @@ rows give a row each; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 
@@ -31,7 +34,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-MIN_PAGES = 8
+#: A subtree is template if so many pages of its host have it, and this share of them.
+MIN_PAGES, MIN_SHARE = 8, 0.005
 #: Template hashes (8 bytes each) that may be broadcast; beyond, they meet the pages by a join.
 BROADCAST = 1_000_000
 OUT = "page_id long, url string, text string, n_chars long"
@@ -41,12 +45,24 @@ RAW = frozenset("script style textarea title noscript iframe noframes xmp".split
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th caption figcaption".split()) | INLINE
 NEVER = frozenset("head nav footer aside form script style noscript iframe noframes template svg math canvas object embed audio video button select option datalist textarea input dialog menu map title xmp".split())
+FRAMES = ("article", "main")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notice|notification|alert|newsletter|subscribe|subscription|sidebar|side|menu|nav(?:bar|igation)?"
-    r"|breadcrumbs?|footer|masthead|comments?|commentlist|respond|disqus|replies|share|sharing|social|related|recommended|popup|modal|overlay|login|signup|pagination|pager|toolbar|widget)(?:$|[\s_-]|\d)",
-    re.I,
-)
+#: A class or id marks what is no main text if it is made of these words, and maybe of words that say nothing else.
+MARKS = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion promotions banner cookie cookies consent gdpr notice notices notification notifications alert alerts newsletter subscribe subscription sidebar side menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist commentform respond disqus reply replies share sharing social related recommended recommendations popup modal overlay login signup signin pagination pager toolbar widget widgets".split())
+PLAIN = frozenset("bar box block area section wrapper wrap container content list item items inner outer main page site top bottom left right primary secondary global header links link button buttons icons icon post posts article articles reader readers user users thread form slot unit zone panel message text title group row column col small large by this more us the and media".split())
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+
+
+@functools.lru_cache(maxsize=4096)
+def marked(mark: str) -> bool:
+    """Whether a class or id (whole tokens, not parts of them) names something that is no main text."""
+    for token in mark.split():
+        words = [w.lower() for w in _WORDS.findall(token) if not w.isdigit()]
+        if any(w in MARKS for w in words) and all(w in MARKS or w in PLAIN for w in words):
+            return True
+    return False
+
+
 #: Tags whose start closes open ones of the listed kinds.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 #: Where the search for an element to close ends.
@@ -132,39 +148,51 @@ class Page:
         while len(stack) > 1:
             close_top()
 
-    def excluded(self, template: frozenset | set = frozenset(), host: int = 0) -> tuple[list[bool], list[int]]:
-        """Of each node, whether it is no main text, and its outermost article or main element (0: none)."""
+    def excluded(self, template: frozenset | set = frozenset(), host: int = 0, spare: frozenset | set = frozenset()) -> tuple[list[bool], list[int]]:
+        """Of each node, whether it is no main text, and its outermost article or main element (0: none).
+
+        Marks of the nodes in ``spare`` don't count.
+        """
         out, within = [False], [0]
         for n in range(1, len(self.tag)):
             tag, up = self.tag[n], self.parent[n]
-            box = tag in ("article", "main", "body", "html")
             own = within[up]
-            gone = out[up] or self.hidden[n] or tag in NEVER or self.role[n] in ROLES or (not box and bool(self.mark[n]) and MARKS.search(self.mark[n]) is not None) or (tag == "header" and not own)
-            if not gone and template and not box and self._can_be_template(n, own):
+            framed = tag in FRAMES or self.role[n] == "main"
+            box = framed or tag in ("body", "html")
+            gone = out[up] or self.hidden[n] or tag in NEVER or self.role[n] in ROLES or (not box and bool(self.mark[n]) and n not in spare and marked(self.mark[n])) or (tag == "header" and not own)
+            if not gone and template and not box and n not in spare and self._can_be_template(n, own):
                 gone = key_of(host, self.digest[n]) in template
-            if not own and not gone and (tag == "article" or tag == "main" or self.role[n] == "main"):
+            if not own and not gone and framed:
                 own = n
-            elif own and tag == "article" and self.tag[own] != "article" and not gone:
-                own = n  # an article inside of main is the nearer frame
             out.append(gone), within.append(own)
         return out, within
 
     def _can_be_template(self, n: int, own: int) -> bool:
-        return self.tag[n] not in PROSE and bool(self.mark[n]) if own else True
+        return self.tag[n] not in PROSE and (not own or bool(self.mark[n]))
 
     def candidates(self) -> list[int]:
         """Digests of the subtrees that may be template."""
         _, within = self.excluded()
-        return [self.digest[n] for n in range(1, len(self.tag)) if self.tag[n] not in ("html", "body", "article", "main") and self._can_be_template(n, within[n])]
+        return [self.digest[n] for n in range(1, len(self.tag)) if self.tag[n] not in ("html", "body", *FRAMES) and self._can_be_template(n, within[n])]
+
+    def around_frames(self) -> set[int]:
+        """The nodes around articles and main elements."""
+        out: set[int] = set()
+        for n in range(1, len(self.tag)):
+            if self.tag[n] in FRAMES or self.role[n] == "main":
+                up = self.parent[n]
+                while up > 0 and up not in out:
+                    out.add(up)
+                    up = self.parent[up]
+        return out
 
     def main_text(self, template: frozenset | set = frozenset(), host: int = 0) -> str:
         gone, within = self.excluded(template, host)
-        for frame in (lambda n: within[n] and self.tag[within[n]] == "article", lambda n: within[n], lambda n: True):
-            if text := self._joined(n_ok=lambda n: not gone[n] and frame(n)):
-                return text
-            if any(not gone[n] and frame(n) and n for n in range(len(self.tag))):
-                return ""  # the frame is there, and empty
-        return ""
+        if not any(within) and (around := self.around_frames()):
+            gone, within = self.excluded(template, host, around)  # every frame was in something marked: the marks are of the page's layout
+        if any(within):
+            return self._joined(n_ok=lambda n: not gone[n] and within[n])  # maybe nothing: the frame is there, and empty
+        return self._joined(n_ok=lambda n: not gone[n])
 
     def _joined(self, n_ok) -> str:
         blocks: list[str] = []
@@ -199,24 +227,28 @@ def _pages(batch):
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """(key, body): each page's candidate subtrees, and a hash of the whole page."""
+    """(host, key, body): each page's candidate subtrees, and a hash of the whole page; key 0 is the page itself."""
 
     def run(batches):
         for batch in batches:
-            keys, bodies = [], []
+            hosts, keys, bodies = [], [], []
             for _, url, html in _pages(batch):
                 host, body = host_of(url), xxhash.xxh64_intdigest((html or "").encode("utf-8", "replace")) >> 1
-                own = {key_of(host, d) for d in Page(html or "").candidates()}
+                own = {0, *(key_of(host, d) for d in Page(html or "").candidates())}
+                hosts += [host >> 1] * len(own)
                 keys += own
                 bodies += [body] * len(own)
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(bodies, pa.int64())], names=["key", "body"])
+            yield pa.record_batch([pa.array(hosts, pa.int64()), pa.array(keys, pa.int64()), pa.array(bodies, pa.int64())], names=["host", "key", "body"])
 
-    return C.map_arrow(pages.select("page_id", "url", "html"), run, "key long, body long")
+    return C.map_arrow(pages.select("page_id", "url", "html"), run, "host long, key long, body long")
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(key): subtrees found on at least ``min_pages`` different pages of one host."""
-    return subtrees(pages).distinct().groupBy("key").count().where(F.col("count") >= min_pages).select("key")
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """(key): subtrees found on at least ``min_pages`` different pages of one host, and that share of all its pages."""
+    counts = subtrees(pages).distinct().groupBy("host", "key").count().where((F.col("count") >= min_pages))
+    counts = C.staged(pages.sparkSession, counts, "html-counts")
+    of_host = counts.where("key = 0").select("host", F.col("count").alias("pages"))
+    return counts.where("key <> 0").join(of_host, "host").where(F.col("count") >= min_share * F.col("pages")).select("key")
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, most: int = BROADCAST) -> DataFrame:

@@ -28,6 +28,12 @@ def pages(spark, rows):
         ("<p>a<!-- c --><i>b</i>&#233;&amp", "abé&"),
         ("<article><p>cut off <a href='x", "cut off"),
         ("<table><tr><td>1<td>2<tr><td>3</table>", "1\n2\n3"),
+        ('<div class="sidebar-left-layout"><article>a</article></div>', "a"),
+        ('<div class="sidebar"><article>a</article></div>', "a"),
+        ('<article>a</article><div class="comments"><article class="comment">b</article></div>', "a"),
+        ('<article><div class="share-price">12</div><p class="side-effects">none</p><div class="social-share">x</div><div id="cookieBanner">x</div></article>', "12\nnone"),
+        ("<main><p>before</p><article><p>in</p></article><p>after</p></main><p>out", "before\nin\nafter"),
+        ('<div class="has-sidebar">t<div class="comment-12">c</div></div>', "t"),
         ("<article><aside>n</aside><section><p>in</p></section></article><article><p>two</article>", "in\ntwo"),
     ],
 )
@@ -52,7 +58,7 @@ def site():
 @pytest.mark.parametrize("most", [10**6, 0])
 def test_templates_go_and_articles_stay(spark, most):
     got = {r.page_id: (r.text, r.n_chars) for r in H.extract(pages(spark, site()), min_pages=8, most=most).collect()}
-    assert got[4] == ("body 4", 6)  # what recurs on the host is its template where there is no article
+    assert got[4] == ("body 4\nsame words on all pages", 30)  # boxes that recur on the host are its template, prose isn't
     assert got[105][0] == "said often\nown 5"  # an article's words stay, its recurring box goes
     assert got[200] == ("", 0) and got[201] == ("", 0) and len(got) == len(site()) - 1
 
@@ -182,3 +188,22 @@ def test_recall_with_a_few_long_vectors(spark):
     got, want = run(spark, rows), brute(rows)
     assert set(got) == set(want)
     assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
+
+
+def test_prose_that_recurs_stays(spark):
+    rows = [(i, "https://d.example/x", f"<body><p>Fact {i}: this is <b>very important</b> reading about topic {i}.</p><p>It depends.</p><div>Call us now</div></body>") for i in range(10)]
+    got = {r.page_id: r.text for r in H.extract(pages(spark, rows)).collect()}
+    assert got == {i: f"Fact {i}: this is very important reading about topic {i}.\nIt depends." for i in range(10)}
+
+
+def test_templates_equal_brute_force(spark):
+    rows = site() + [(400 + i, "https://big.example/x", f"<div>n {i}</div><div>r {i // 9}</div><ul><li>same</ul>") for i in range(90)]
+    for least, share in ((8, 0.0), (3, 0.2), (8, 0.2)):
+        seen, hosts = {}, {}
+        for _, url, html in rows:
+            host = H.host_of(url)
+            hosts.setdefault(host, set()).add(html or "")
+            for d in H.Page(html or "").candidates():
+                seen.setdefault((host, d), set()).add(html or "")
+        want = {H.key_of(*k) for k, v in seen.items() if len(v) >= max(least, share * len(hosts[k[0]]))}
+        assert {r.key for r in H.templates(pages(spark, rows), least, share).collect()} == want and want
