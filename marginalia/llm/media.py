@@ -68,16 +68,16 @@ def resampled(x: np.ndarray, rate: int) -> np.ndarray:
     return np.interp(np.arange(int(len(x) * RATE / rate)) * rate / RATE, np.arange(len(x)), x)
 
 
-def _classes() -> np.ndarray:
-    """Which pitch class each spectral bin counts for."""
+def _classes() -> tuple[slice, list[np.ndarray]]:
+    """The spectral bins that count, and which of them count for each pitch class."""
     f = np.fft.rfftfreq(FRAME, 1 / RATE)
-    out = np.zeros((len(f), 12))
-    ok = (f >= LOWEST) & (f <= HIGHEST)
-    out[np.flatnonzero(ok), np.round(12 * np.log2(f[ok] / 440)).astype(int) % 12] = 1
-    return out
+    at = np.flatnonzero((f >= LOWEST) & (f <= HIGHEST))
+    of = np.round(12 * np.log2(f[at] / 440)).astype(int) % 12
+    return slice(at[0], at[-1] + 1), [np.flatnonzero(of == k) for k in range(12)]
 
 
-_TO_CLASSES, _WINDOW = _classes(), np.hanning(FRAME)
+_BINS, _OF_CLASS = _classes()
+_WINDOW = np.hanning(FRAME)
 
 
 def chroma(x: np.ndarray) -> np.ndarray:
@@ -89,8 +89,11 @@ def chroma(x: np.ndarray) -> np.ndarray:
     if not loud.any():
         return np.empty((0, 12))
     first, last = np.flatnonzero(loud)[[0, -1]]
-    power = np.abs(np.fft.rfft(frames[first : last + 1] * _WINDOW, axis=1)) ** 2
-    c = power @ _TO_CLASSES
+    spectrum = np.fft.rfft(frames[first : last + 1] * _WINDOW, axis=1)[:, _BINS]
+    power = spectrum.real**2 + spectrum.imag**2
+    c = np.zeros((len(power), 12))
+    for k in range(12):  # sums over the bins of a class, without a matrix product's threads
+        c[:, k] = power[:, _OF_CLASS[k]].sum(axis=1)
     c[~loud[first : last + 1]] = 0
     padded = np.pad(c, ((2, 2), (0, 0)))
     c = sum(w * padded[i : i + len(c)] for i, w in enumerate((0.25, 0.75, 1.0, 0.75, 0.25)))
@@ -275,9 +278,10 @@ def tune(steps: np.ndarray) -> bytes:
     """A tune of three-semitone steps as 16-bit samples: two partials a note, with a soft start and end."""
     t = np.arange(NOTE) / RATE
     shape = np.minimum(1, np.minimum(np.arange(NOTE), NOTE - 1 - np.arange(NOTE)) / 40)
-    f = 110 * 2.0 ** (np.clip(steps, -4, 9) * 3 / 12)[:, None]
+    notes, which = np.unique(np.clip(steps, -4, 9), return_inverse=True)  # a note sounds alike wherever it stands
+    f = 110 * 2.0 ** (notes * 3 / 12)[:, None]
     x = (np.sin(2 * np.pi * f * t) + 0.4 * np.sin(4 * np.pi * f * t)) * shape
-    return (x.ravel() * 12000).astype("<i2").tobytes()
+    return (x * 12000).astype("<i2")[which].tobytes()
 
 
 def tune_of(i: int | None, v: list | None) -> bytes | None:
