@@ -23,7 +23,9 @@ vector is sent to one block more than once by the same sender.  Coarse vectors a
 
 Measured recall at 20 of inner-product neighbours is in the README.  Rows whose vector
 is null, zero, or holds a null or non-finite component take no part; nor do rows of
-null id.  Ties go to the smaller id.  An empty table gives an empty result.  Bound of
+null id, nor vectors of another length than most (distinct) vectors have.  The graph's
+scores are of vectors in parts of the longest one's length, so large components don't
+overflow; only exact scores beyond the largest double are infinite, and tie.  Ties go to the smaller id.  An empty table gives an empty result.  Bound of
 the fit: ``PIVOTS`` pivots and ``ENTRIES`` entries; every row is indexed.
 """
 
@@ -232,14 +234,26 @@ def vector_bytes(column: pa.Array) -> list[bytes | None]:
 
 
 def matrix(column) -> np.ndarray:
+    """Vectors of one length as rows."""
     rows = column.to_pylist()
     return np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), -1) if rows else np.empty((0, 1))
 
 
+def of_one_length(nodes: DataFrame) -> DataFrame:
+    """The nodes whose vectors have the length that most nodes have (of equally many, the shorter)."""
+    usual = nodes.groupBy(F.length("vec").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    return nodes if usual is None else nodes.where(F.length("vec") == usual["size"])
+
+
+def unit(column, length: float) -> np.ndarray:
+    """Vectors as parts of the longest one's length, so that no square overflows."""
+    return matrix(column) / (length or 1.0)
+
+
 # --------------------------------------------------------------------------- graph
 
-def longest(nodes: DataFrame, count: int = ENTRIES) -> tuple[np.ndarray, np.ndarray]:
-    """The ``count`` longest vectors: nodes and vectors, the longest first."""
+def longest(nodes: DataFrame, count: int = ENTRIES) -> tuple[np.ndarray, np.ndarray, float]:
+    """The ``count`` longest vectors: nodes, vectors as parts of the longest one's length, and that length."""
 
     def run(batches):
         ids, x, n = np.empty(0, np.int64), None, np.empty(0)
@@ -247,13 +261,15 @@ def longest(nodes: DataFrame, count: int = ENTRIES) -> tuple[np.ndarray, np.ndar
             if b.num_rows:
                 own = matrix(b.column("vec"))
                 ids, x = np.append(ids, b.column("node").to_numpy()), own if x is None else np.concatenate([x, own])
-                n = np.append(n, np.sqrt((own * own).sum(axis=1)))
+                most = np.maximum(np.abs(own).max(axis=1), 1e-300)
+                n = np.append(n, most * np.sqrt(((own / most[:, None]) ** 2).sum(axis=1)))
                 top = np.lexsort((ids, -n))[:count]
                 ids, x, n = ids[top], x[top], n[top]
         yield pa.record_batch([pa.array(ids), C.binary_column([] if x is None else [v.astype("<f8").tobytes() for v in x]), pa.array(n)], names=["node", "vec", "n"])
 
     got = C.map_arrow(nodes.select("node", "vec"), run, "node long, vec binary, n double").orderBy(F.desc("n"), "node").limit(count).toArrow()  # at most ``count`` vectors
-    return got["node"].to_numpy(), matrix(got["vec"])
+    length = float(got["n"][0].as_py()) if got.num_rows else 1.0
+    return got["node"].to_numpy(), unit(got["vec"], length), length
 
 
 def rises(x: np.ndarray, length: float) -> np.ndarray:
@@ -271,11 +287,12 @@ def scores_of(x: np.ndarray, rise: np.ndarray, y: np.ndarray, other: np.ndarray,
     return s
 
 
-def first_graph(nodes: DataFrame, buckets: int, size: int, length: float) -> DataFrame:
+def first_graph(nodes: DataFrame, buckets: int, size: int, longest_of_all: float, length: float = 1.0) -> DataFrame:
     """Neighbours within leaves: each node joins the leaves of its nearest pivots; a large leaf is cut at random."""
     spark = nodes.sparkSession
     count = max(1, min(PIVOTS, size // (LEAF // 2)))
-    pivots = matrix(nodes.orderBy(F.xxhash64("node"), "node").limit(count).select("vec").toArrow()["vec"])
+    scaled = lambda column: unit(column, longest_of_all)
+    pivots = scaled(nodes.orderBy(F.xxhash64("node"), "node").limit(count).select("vec").toArrow()["vec"])
     shared = spark.sparkContext.broadcast((pivots.astype(np.float32), rises(pivots, length)))  # at most PIVOTS vectors
 
     def nearest(x: np.ndarray) -> np.ndarray:
@@ -287,7 +304,7 @@ def first_graph(nodes: DataFrame, buckets: int, size: int, length: float) -> Dat
         total = np.zeros(count, np.int64)
         for b in batches:
             if b.num_rows:
-                total += np.bincount(nearest(matrix(b.column("vec"))).ravel(), minlength=count)
+                total += np.bincount(nearest(scaled(b.column("vec"))).ravel(), minlength=count)
         yield pa.record_batch([pa.array(np.arange(count)), pa.array(total)], names=["pivot", "n"])
 
     found = C.map_arrow(nodes.select("vec"), counts, "pivot long, n long").groupBy("pivot").agg(F.sum("n").alias("n")).toArrow()
@@ -300,7 +317,7 @@ def first_graph(nodes: DataFrame, buckets: int, size: int, length: float) -> Dat
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, x = b.column("node").to_numpy(), matrix(b.column("vec"))
+            ids, x = b.column("node").to_numpy(), scaled(b.column("vec"))
             v, scale = stored(x, length)
             near = nearest(x)
             leaf = offset[near] + (C.mix64(ids.view(np.uint64) + np.uint64(5))[:, None] % cuts[near].astype(np.uint64)).astype(np.int64)
@@ -336,7 +353,7 @@ def first_graph(nodes: DataFrame, buckets: int, size: int, length: float) -> Dat
         for b in batches:
             if b.num_rows:
                 ids = b.column("node").to_numpy()
-                v, scale = stored(matrix(b.column("vec")), length)
+                v, scale = stored(scaled(b.column("vec")), length)
                 out, at = Sender(), bucket_of(ids, buckets)
                 order = np.argsort(at, kind="stable")
                 for lo, hi in zip(*C.runs(at[order]), strict=True):
@@ -389,7 +406,7 @@ def reversed_edges(state: DataFrame, buckets: int) -> DataFrame:
     return C.map_arrow(state, run, PACKET)
 
 
-def introduced(state: DataFrame, buckets: int, length: float) -> DataFrame:
+def introduced(state: DataFrame, buckets: int, length: float = 1.0) -> DataFrame:
     """One round's offers: neighbours of neighbours, found where lists meet."""
 
     def members(batches):
@@ -444,13 +461,13 @@ def introduced(state: DataFrame, buckets: int, length: float) -> DataFrame:
 
 
 def graph(nodes: DataFrame, buckets: int, length: float, rounds: int = ROUNDS) -> DataFrame:
-    """The neighbour graph in blocks."""
+    """The neighbour graph in blocks, of vectors as parts of the longest one's ``length``."""
     spark = nodes.sparkSession
     size = nodes.count()
     state = C.staged(spark, first_graph(nodes, buckets, size, length), "ann-graph")
     reached = _reached(state)
     for _ in range(rounds if size > K + 1 else 0):
-        new = C.staged(spark, merged(state, introduced(state, buckets, length)), "ann-graph")
+        new = C.staged(spark, merged(state, introduced(state, buckets)), "ann-graph")
         C.drop(spark, state)
         state, before, reached = new, reached, _reached(new)
         spark.sparkContext._jvm.System.gc()  # lets Spark clear the shuffle files of the round that is over
@@ -579,10 +596,13 @@ def search(state: DataFrame, queries: DataFrame, buckets: int, entries: tuple[np
             u, v, s = [np.repeat(np.arange(len(q.nodes)), q.ids.shape[1])[old]], [q.ids.ravel()[old]], [q.scores.ravel()[old]]
             for c in kinds.get(ANSWERS, []):
                 u.append(q.at(i8(c[0]))), v.append(i8(c[1])), s.append(f4(c[2]))
-            row = np.nonzero(~q.open & (q.ids >= 0))[0]
-            shut = set(zip(row.tolist(), q.ids[~q.open & (q.ids >= 0)].tolist(), strict=True))
+            shut_row, shut = np.nonzero(~q.open & (q.ids >= 0))[0], q.ids[~q.open & (q.ids >= 0)]
             q.ids, q.scores = table_of(np.concatenate(u), np.concatenate(v), np.concatenate(s), len(q.nodes), q.ids.shape[1])
-            q.open = np.array([[i >= 0 and (r, i) not in shut for i in ids] for r, ids in enumerate(q.ids.tolist())], bool).reshape(q.ids.shape)
+            known = np.unique(shut)
+            place = np.searchsorted(known, q.ids)
+            seen = (place < len(known)) & (known[np.minimum(place, len(known) - 1)] == q.ids) if len(known) else np.zeros(q.ids.shape, bool)
+            code = np.arange(len(q.ids))[:, None] * (len(known) + 1) + place
+            q.open = (q.ids >= 0) & ~(seen & np.isin(code, shut_row * (len(known) + 1) + np.searchsorted(known, shut)))
             out.add(bucket, QUERIES, *q.parts())
             yield out.batch()
 
@@ -627,7 +647,7 @@ def _open(batches):
 def neighbours(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", divisor: int = DIVISOR, top: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest found of each id divisible by ``divisor``."""
     spark = vectors.sparkSession
-    known = C.staged(spark, nodes_of(vectors, id_col, vec_col, top + 1), "ann-nodes")
+    known = of_one_length(C.staged(spark, nodes_of(vectors, id_col, vec_col, top + 1), "ann-nodes"))
     buckets = max(8, -(-known.count() // BLOCK))
     asked = vectors.where(F.col(id_col) % divisor == 0).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
 
@@ -638,8 +658,8 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
     of_query = C.map_arrow(asked, hashed, "query_id long, h long").distinct().join(known.select("h", "node"), "h").select("query_id", F.col("node").alias("query"))
     of_query = C.staged(spark, of_query, "ann-queries")
-    doors, door = longest(known)
-    state = graph(known.select("node", "vec"), buckets, float(np.sqrt((door[:1] ** 2).sum())))
+    doors, door, length = longest(known)
+    state = graph(known.select("node", "vec"), buckets, length)
     pairs = search(state, of_query.select(F.col("query").alias("node")).distinct(), buckets, (doors, door.astype(np.float32)))
 
     def exact(batches):

@@ -207,3 +207,13 @@ def test_templates_equal_brute_force(spark):
                 seen.setdefault((host, d), set()).add(html or "")
         want = {H.key_of(*k) for k, v in seen.items() if len(v) >= max(least, share * len(hosts[k[0]]))}
         assert {r.key for r in H.templates(pages(spark, rows), least, share).collect()} == want and want
+
+
+def test_ragged_and_huge_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in x]) for i, x in enumerate(np.float32(rng.standard_normal((300, 6)) * 1e30))]
+    odd = [(1000, [1.0, 2.0, 3.0]), (1020, [1e30] * 7), (1040, [1.0] * 3), (1060, [])]
+    got, want = run(spark, rows + odd), brute(rows)
+    assert set(got) == set(want)
+    assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.95
+
