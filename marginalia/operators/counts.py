@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rounds import written
+
 
 def marginals(inc: DataFrame) -> DataFrame:
     """(item, c): units that hold an item (AGG-1)."""
@@ -24,11 +26,35 @@ def pair_rows(inc: DataFrame) -> DataFrame:
     return left.join(right, "unit_seq").where("a < b")
 
 
-def pairs(inc: DataFrame) -> DataFrame:
-    """(a, b, k, ab, ba): units that hold both, and how often each comes first."""
+def frequent(inc: DataFrame, least: int) -> DataFrame:
+    """The rows of items that at least ``least`` units hold: no other can be in a pair of that support."""
+    return inc if least <= 1 else inc.join(marginals(inc).where(F.col("c") >= least).select("item"), "item", "left_semi").select("group_id", "unit_seq", "item", "pos")
+
+
+def pairs(inc: DataFrame, least: int = 1) -> DataFrame:
+    """(a, b, k, ab, ba): units that hold both, and how often each comes first; of pairs of at least that support all are here."""
+    if least > 1:
+        return _numbered_pairs(inc, least)
     return pair_rows(inc).groupBy("a", "b").agg(F.count("*").alias("k"), F.sum((F.col("pa") < F.col("pb")).cast("long")).alias("ab"), F.sum((F.col("pa") > F.col("pb")).cast("long")).alias("ba"))
 
 
+def _numbered_pairs(inc: DataFrame, least: int) -> DataFrame:
+    """Pairs of at least that support, counted by item numbers: only items that can be in one are numbered, a unit's
+    items are drawn together once, and names come back for the pairs that have the support."""
+    known = written(marginals(inc).where(F.col("c") >= least).select("item", F.monotonically_increasing_id().alias("id")))  # written, so that a number stays
+    units = inc.join(known, "item").groupBy("unit_seq").agg(F.collect_list(F.struct("id", "pos")).alias("xs"))  # the items of one unit, whose pairs come next
+    first = units.select("xs", F.posexplode("xs").alias("i", "x"))
+    both = first.select("x", F.explode(F.expr("slice(xs, i + 2, size(xs))")).alias("y"))
+    up = F.col("x.id") < F.col("y.id")
+    x, y = F.when(up, F.col("x")).otherwise(F.col("y")), F.when(up, F.col("y")).otherwise(F.col("x"))
+    ends = both.select(x["id"].alias("x"), y["id"].alias("y"), x["pos"].alias("px"), y["pos"].alias("py"))
+    found = ends.groupBy("x", "y").agg(F.count("*").alias("k"), F.sum((F.col("px") < F.col("py")).cast("long")).alias("xy"), F.sum((F.col("px") > F.col("py")).cast("long")).alias("yx")).where(F.col("k") >= least)
+    name = lambda of, to: known.select(F.col("id").alias(of), F.col("item").alias(to))
+    named, up = found.join(name("x", "nx"), "x").join(name("y", "ny"), "y"), F.col("nx") < F.col("ny")
+    turn = lambda p, q, to: F.when(up, F.col(p)).otherwise(F.col(q)).alias(to)
+    return named.select(turn("nx", "ny", "a"), turn("ny", "nx", "b"), "k", turn("xy", "yx", "ab"), turn("yx", "xy", "ba"))
+
+
 def with_marginals(rows: DataFrame, inc: DataFrame) -> DataFrame:
     """Pair rows with ca, cb and n.  The marginals are the vocabulary: small after a cut, and left to the planner's
     own size check rather than forced to be broadcast."""

@@ -27,7 +27,7 @@ def stability(k: Column, threshold: int) -> Column:
 def co_occurs(inc: DataFrame, min_support: int = 5) -> DataFrame:
     """REL-3: pairs of enough support, with confidence, PMI and NPMI."""
     k, ca, cb, n = (F.col(x) for x in ("k", "ca", "cb", "n"))
-    rows = K.with_marginals(K.pairs(inc).where(k >= min_support), inc)
+    rows = K.with_marginals(K.pairs(inc, min_support).where(k >= min_support), inc)
     return rows.select("a", "b", "k", "ca", "cb", F.least(k / ca, k / cb).alias("confidence"), pmi(k, ca, cb, n).alias("pmi"), npmi(k, ca, cb, n).alias("npmi"), stability(k, min_support).alias("stability"))
 
 
@@ -38,7 +38,7 @@ def associates(inc: DataFrame, min_support: int = 5, min_npmi: float = 0.2) -> D
 
 def oriented(inc: DataFrame, min_support: int) -> DataFrame:
     """(src, tgt, k, c_src, c_tgt, n): both orientations of each pair of enough support (SET-1)."""
-    rows = K.with_marginals(K.pairs(inc).where(F.col("k") >= min_support), inc)
+    rows = K.with_marginals(K.pairs(inc, min_support).where(F.col("k") >= min_support), inc)
     one = rows.select(F.col("a").alias("src"), F.col("b").alias("tgt"), "k", F.col("ca").alias("c_src"), F.col("cb").alias("c_tgt"), "n")
     two = rows.select(F.col("b").alias("src"), F.col("a").alias("tgt"), "k", F.col("cb").alias("c_src"), F.col("ca").alias("c_tgt"), "n")
     return one.unionByName(two)
@@ -61,7 +61,7 @@ def precedes(inc: DataFrame, min_support: int = 10, min_asym: float = 0.3) -> Da
     """REL-7: (relation, src, tgt, total, asymmetry): order within units, ties skipped; FOLLOWS mirrors PRECEDES."""
     total = F.col("ab") + F.col("ba")
     asym = (F.col("ab") - F.col("ba")) / F.when(total > 0, total)
-    rows = K.pairs(inc).withColumn("total", total).withColumn("asym", asym).where((F.col("total") >= min_support) & (F.abs("asym") >= min_asym))
+    rows = K.pairs(inc, min_support).withColumn("total", total).withColumn("asym", asym).where((F.col("total") >= min_support) & (F.abs("asym") >= min_asym))
     first, last = F.when(F.col("asym") > 0, F.col("a")).otherwise(F.col("b")), F.when(F.col("asym") > 0, F.col("b")).otherwise(F.col("a"))
     pre = rows.select(F.lit("PRECEDES").alias("relation"), first.alias("src"), last.alias("tgt"), "total", F.abs("asym").alias("asymmetry"))
     return pre.unionByName(pre.select(F.lit("FOLLOWS").alias("relation"), F.col("tgt").alias("src"), F.col("src").alias("tgt"), "total", "asymmetry"))
@@ -76,7 +76,7 @@ def numbered_units(inc: DataFrame) -> DataFrame:
 def predicts(inc: DataFrame, windows: tuple[int, ...] = (1, 2, 3), min_support: int = 5, min_conf: float = 0.2, min_lift: float = 1.5) -> DataFrame:
     """REL-8: item a in a unit, item b a few units later in the same group (JOI-12); never across groups."""
     units = numbered_units(inc)
-    here = inc.select("group_id", "unit_seq", "item").join(units, ["group_id", "unit_seq"])
+    here = K.frequent(inc, min_support).select("group_id", "unit_seq", "item").join(units, ["group_id", "unit_seq"])
     starts = here.select("group_id", F.col("item").alias("a"), F.explode(F.array(*map(F.lit, windows))).alias("w"), "rn").withColumn("rn", F.col("rn") + F.col("w"))
     followed = starts.join(units.select("group_id", "rn"), ["group_id", "rn"])
     base = followed.groupBy("w", "a").agg(F.count("*").alias("first"))

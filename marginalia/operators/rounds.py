@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -17,15 +18,31 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     kept = spark.sparkContext._jsc.sc().getCheckpointDir()
     if kept.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="marginalia-"))
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
     return kept.get().rstrip("/")
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _delete_all() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended already
+            return
+
+
 def written(df: DataFrame) -> DataFrame:
-    """The same rows, read back from the shared folder: a lost executor repeats no earlier round."""
+    """The same rows, read back from the shared folder: a lost executor repeats no earlier round.  The files go when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/marginalia/round-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

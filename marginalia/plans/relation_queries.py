@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import counts as K
 from ..operators import incidence as I
 from ..operators import relations as R
-from .base import baskets, brands, days, lines, query, rounded, sql, table
+from .base import baskets, brands, days, lines, query, rounded, sql, table, words
 
 NPMI = "CASE WHEN k >= n THEN 1.0::DOUBLE ELSE ln((k::DOUBLE / n) / ((ca::DOUBLE / n) * (cb::DOUBLE / n))) / -ln(k::DOUBLE / n) END"
 PMI = "ln((k::DOUBLE / n) / ((ca::DOUBLE / n) * (cb::DOUBLE / n)))"
@@ -19,10 +19,10 @@ def _co(where: str = "") -> str:
   ((k >= 4)::INT + (k >= 6)::INT) / 2.0::DOUBLE AS stability FROM pm WHERE k >= 5 {where}"""
 
 
-@query("associations", sql("lines", _co(f"AND {NPMI} >= 0.2")))
+@query("associations", sql("words", _co(f"AND {NPMI} >= 0.2")))
 def associations(spark, sf_dir):
-    """AGG-1, JOI-9, REL-1..4, REL-11, FIL-3 over the words of lines: the flagship."""
-    return rounded(R.associates(lines(spark, sf_dir)), "confidence", "pmi", "npmi")
+    """AGG-1, JOI-9, REL-1..4, REL-11 over all words of lines: the flagship."""
+    return rounded(R.associates(words(spark, sf_dir)), "confidence", "pmi", "npmi")
 
 
 @query("co_occurrence_brands", sql("brands", _co()))
@@ -37,22 +37,28 @@ def co_occurrence_suppliers(spark, sf_dir):
     return rounded(R.co_occurs(baskets(spark, sf_dir)), "confidence", "pmi", "npmi")
 
 
-@query("document_frequency", sql("lines", "SELECT item, c AS df FROM m"))
+@query("document_frequency", sql("words", "SELECT item, c AS df FROM m"))
 def document_frequency(spark, sf_dir):
     """AGG-1."""
-    return K.marginals(lines(spark, sf_dir)).withColumnRenamed("c", "df")
+    return K.marginals(words(spark, sf_dir)).withColumnRenamed("c", "df")
 
 
-@query("depends_on", sql("lines", "SELECT src, tgt, k, round(k::DOUBLE / c_tgt, 6) AS confidence, round((k::DOUBLE / c_tgt) / (c_src::DOUBLE / n), 6) AS lift, ((k >= 4)::INT + (k >= 6)::INT) / 2.0::DOUBLE AS stability FROM orn WHERE k >= 5 AND k::DOUBLE / c_tgt >= 0.3 AND (k::DOUBLE / c_tgt) / (c_src::DOUBLE / n) >= 2"))
+@query("common_words", sql("lines", "SELECT group_id, unit_seq, item, pos FROM inc"))
+def common_words(spark, sf_dir):
+    """FIL-3: the vocabulary cut, which graph, vector and null-model queries over lines start from."""
+    return lines(spark, sf_dir)
+
+
+@query("depends_on", sql("words", "SELECT src, tgt, k, round(k::DOUBLE / c_tgt, 6) AS confidence, round((k::DOUBLE / c_tgt) / (c_src::DOUBLE / n), 6) AS lift, ((k >= 4)::INT + (k >= 6)::INT) / 2.0::DOUBLE AS stability FROM orn WHERE k >= 5 AND k::DOUBLE / c_tgt >= 0.3 AND (k::DOUBLE / c_tgt) / (c_src::DOUBLE / n) >= 2"))
 def depends_on(spark, sf_dir):
     """REL-5."""
-    return rounded(R.depends_on(lines(spark, sf_dir)), "confidence", "lift")
+    return rounded(R.depends_on(words(spark, sf_dir)), "confidence", "lift")
 
 
-@query("requires", sql("lines", "SELECT src, tgt, k, round(k::DOUBLE / c_src, 6) AS confidence FROM orn WHERE k >= 5 AND k::DOUBLE / c_src >= 0.9"))
+@query("requires", sql("words", "SELECT src, tgt, k, round(k::DOUBLE / c_src, 6) AS confidence FROM orn WHERE k >= 5 AND k::DOUBLE / c_src >= 0.9"))
 def requires(spark, sf_dir):
     """REL-6."""
-    return rounded(R.requires(lines(spark, sf_dir)), "confidence")
+    return rounded(R.requires(words(spark, sf_dir)), "confidence")
 
 
 _PRE = """,
@@ -61,10 +67,10 @@ pre AS (SELECT CASE WHEN ab > ba THEN a ELSE b END AS src, CASE WHEN ab > ba THE
 _PRE_ROWS = "SELECT 'PRECEDES' AS relation, src, tgt, total, round(asymmetry, 6) AS asymmetry FROM pre UNION ALL SELECT 'FOLLOWS', tgt, src, total, round(asymmetry, 6) FROM pre"
 
 
-@query("precedes", sql("lines", _PRE_ROWS, _PRE[1:]))
+@query("precedes", sql("words", _PRE_ROWS, _PRE[1:]))
 def precedes(spark, sf_dir):
     """REL-7: PRECEDES and its mirror FOLLOWS."""
-    return rounded(R.precedes(lines(spark, sf_dir)), "asymmetry")
+    return rounded(R.precedes(words(spark, sf_dir)), "asymmetry")
 
 
 @query("precedes_suppliers", sql("baskets", _PRE_ROWS, _PRE[1:]))
@@ -212,24 +218,24 @@ ed AS MATERIALIZED (
   UNION ALL SELECT src, tgt, 'PRECEDES', asymmetry, total FROM pre)"""
 
 
-@query("typed_edges", sql("lines", "SELECT src, tgt, type, round(weight, 6) AS weight, support FROM ed", EDGES))
+@query("typed_edges", sql("words", "SELECT src, tgt, type, round(weight, 6) AS weight, support FROM ed", EDGES))
 def typed_edges(spark, sf_dir):
     """REL-16, SET-1, SET-6."""
-    return rounded(R.typed_edges(lines(spark, sf_dir)), "weight")
+    return rounded(R.typed_edges(words(spark, sf_dir)), "weight")
 
 
-@query("incident_relations", sql("lines", "SELECT item, type, count(*) AS n, count(DISTINCT other) AS partners, round(max(weight), 6) AS strongest FROM (SELECT src AS item, tgt AS other, type, weight FROM ed UNION ALL SELECT tgt, src, type, weight FROM ed) GROUP BY 1, 2", EDGES))
+@query("incident_relations", sql("words", "SELECT item, type, count(*) AS n, count(DISTINCT other) AS partners, round(max(weight), 6) AS strongest FROM (SELECT src AS item, tgt AS other, type, weight FROM ed UNION ALL SELECT tgt, src, type, weight FROM ed) GROUP BY 1, 2", EDGES))
 def incident_relations(spark, sf_dir):
     """REL-23: relations by participant."""
-    e = R.typed_edges(lines(spark, sf_dir))
+    e = R.typed_edges(words(spark, sf_dir))
     ends = e.select(F.col("src").alias("item"), F.col("tgt").alias("other"), "type", "weight").unionByName(e.select(F.col("tgt").alias("item"), F.col("src").alias("other"), "type", "weight"))
     return ends.groupBy("item", "type").agg(F.count("*").alias("n"), F.count_distinct("other").alias("partners"), F.round(F.max("weight"), 6).alias("strongest"))
 
 
-@query("causal_pairs", sql("lines", "SELECT src, tgt FROM pre SEMI JOIN (SELECT src AS s, tgt AS t FROM orn WHERE k >= 5 AND k::DOUBLE / c_tgt >= 0.3 AND (k::DOUBLE / c_tgt) / (c_src::DOUBLE / n) >= 2) d ON pre.src = d.s AND pre.tgt = d.t", _PRE[1:]))
+@query("causal_pairs", sql("words", "SELECT src, tgt FROM pre SEMI JOIN (SELECT src AS s, tgt AS t FROM orn WHERE k >= 5 AND k::DOUBLE / c_tgt >= 0.3 AND (k::DOUBLE / c_tgt) / (c_src::DOUBLE / n) >= 2) d ON pre.src = d.s AND pre.tgt = d.t", _PRE[1:]))
 def causal_pairs(spark, sf_dir):
     """JOI-20, REL-18: an order that is a dependency too."""
-    inc = lines(spark, sf_dir)
+    inc = words(spark, sf_dir)
     return R.precedes(inc).where("relation = 'PRECEDES'").select("src", "tgt").join(R.depends_on(inc).select("src", "tgt"), ["src", "tgt"], "left_semi")
 
 
@@ -258,12 +264,12 @@ def contradictions(spark, sf_dir):
     return R.contradictions(lines(spark, sf_dir))
 
 
-@query("marker_lift", sql("lines", "SELECT mk.item, mk.k, m.c, round((mk.k::DOUBLE / nm) / (m.c::DOUBLE / n), 6) AS lift FROM mk JOIN m USING (item), nn, (SELECT count(DISTINCT unit_seq) AS nm FROM md) WHERE m.c >= 5", """
+@query("marker_lift", sql("words", "SELECT mk.item, mk.k, m.c, round((mk.k::DOUBLE / nm) / (m.c::DOUBLE / n), 6) AS lift FROM mk JOIN m USING (item), nn, (SELECT count(DISTINCT unit_seq) AS nm FROM md) WHERE m.c >= 5", """
 md AS MATERIALIZED (SELECT i.* FROM inc i SEMI JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) l ON l.doc_id = i.group_id),
 mk AS (SELECT item, count(*) AS k FROM md GROUP BY item)"""))
 def marker_lift(spark, sf_dir):
     """AGG-30: words of lines in documents marked toxic."""
-    inc = lines(spark, sf_dir)
+    inc = words(spark, sf_dir)
     toxic = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("group_id"))
     return rounded(R.marker_lift(inc, inc.join(toxic, "group_id", "left_semi").select("unit_seq").distinct()), "lift")
 

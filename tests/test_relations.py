@@ -36,6 +36,11 @@ def test_pairs_and_orders(spark):
     assert got == brute_pairs()
 
 
+def test_pairs_of_a_support(spark):
+    got = {(r.a, r.b): (r.k, r.ab, r.ba) for r in K.pairs(inc(spark, UNITS), 2).collect()}
+    assert got == {p: v for p, v in brute_pairs().items() if v[0] >= 2}
+
+
 def test_marginals_sum_to_tokens(spark):
     i = inc(spark, UNITS)
     assert sum(r.c for r in K.marginals(i).collect()) == i.count()
