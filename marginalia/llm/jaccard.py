@@ -49,10 +49,10 @@ from .components import components, contract, least_of
 
 SIZE, PERCENT = 4, 85
 #: Grams that a signature should hold on average, and dealings of a set whose groups turn out weak.
-CONTENT, DEALS = 4.5, 6
-#: The fit of usual grams: one text in SAMPLED, some SAMPLE texts at most; USUAL of them must hold a gram. Which
-#: grams count as usual changes the number of candidates only, never a link.
-SAMPLED, SAMPLE, USUAL, USUAL_BITS = 16, 20_000, 6, 22
+CONTENT, DEALS = 4.5, 3
+#: The fit of usual grams: one text in SAMPLED, some SAMPLE texts at most; this share of them must hold a gram (but
+#: USUAL_LEAST texts). Which grams count as usual changes the number of candidates only, never a link.
+SAMPLED, SAMPLE, USUAL, USUAL_LEAST, USUAL_BITS = 16, 20_000, 0.002, 4, 22
 #: Grams of all classes of a block, and classes of a block, at most on average.
 BLOCK_GRAMS, BLOCK_CLASSES = 600_000, 768
 #: The same of blocks of bitmaps, by bytes.
@@ -238,9 +238,10 @@ def usual_grams(docs: DataFrame, n: int) -> np.ndarray:
         yield pa.record_batch([pa.array(g.astype(np.int64)), pa.array(count)], names=["g", "n"])
 
     texts = docs.where("text is not null").select("text")
-    share = max(SAMPLED, -(-docs.count() // SAMPLE))
+    size = docs.count()
+    share = max(SAMPLED, -(-size // SAMPLE))
     some = texts.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).distinct()
-    found = C.map_arrow(some.coalesce(8), run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= USUAL).orderBy(F.desc("n"), "g").limit(1 << (USUAL_BITS - 4)).select("g").toArrow()
+    found = C.map_arrow(some.coalesce(8), run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= max(USUAL_LEAST, USUAL * size / share)).orderBy(F.desc("n"), "g").limit(1 << (USUAL_BITS - 4)).select("g").toArrow()
     out = np.zeros(1 << USUAL_BITS, bool)
     out[found["g"].to_numpy() & (len(out) - 1)] = True
     return out
