@@ -338,6 +338,12 @@ def _positions(names: np.ndarray) -> np.ndarray:
     return np.concatenate([h >> np.uint64(64 - FILTER_BITS), (h & np.uint64((1 << FILTER_BITS) - 1))]).astype(np.int64)
 
 
+def _passes(names: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which names the filter lets pass: all that are in it, and few others."""
+    where = _positions(names).reshape(2, -1)
+    return ((bits[where >> 6] >> (where & 63).astype(np.uint64)) & np.uint64(1)).all(axis=0)
+
+
 def class_filter(names: DataFrame) -> np.ndarray:
     """Bits set for the classes in ``names``; of fixed size, so more classes only let more others pass."""
 
@@ -353,6 +359,17 @@ def class_filter(names: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def among(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``sets`` that a join with ``nodes`` can keep, and few others: no other payload is shuffled for it."""
+    shared = sets.sparkSession.sparkContext.broadcast(class_filter(nodes))  # of fixed size
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(_passes(b.column("node").to_numpy(), shared.value)))
+
+    return C.map_arrow(sets, run, sets.schema)
+
+
 def _packed(g: np.ndarray) -> bytes:
     """Sorted 48-bit hashes as their upper 16 bits, which compress well, and their lower 32 bits."""
     return (g >> np.uint64(32)).astype("<u2").tobytes() + g.astype("<u4").tobytes()
@@ -376,9 +393,7 @@ def described(docs: DataFrame, n: int, percent: int, wanted: np.ndarray) -> Data
             size = np.array([len(g) for g in sets])
             own = np.array([bands.of(int(x)) for x in size])
             nodes = np.stack([node_of(np.array(names), own + i) for i in (0, 1)], 1)
-            hit = np.zeros(nodes.shape, bool)
-            where = _positions(nodes.ravel()).reshape(2, -1)
-            hit.ravel()[:] = ((bits[where >> 6] >> (where & 63).astype(np.uint64)) & np.uint64(1)).all(axis=0)
+            hit = _passes(nodes.ravel(), bits).reshape(nodes.shape)
             of, maps, packed = [], [], []
             for g, c, b, ns, ok in zip(sets, names, own.tolist(), nodes, hit, strict=True):
                 if c < 0 or c in given or not ok.any():
@@ -515,7 +530,7 @@ def compared(sets: DataFrame, cluster: DataFrame, near, percent: int, block: int
         F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("task"),
         (F.col("block") > F.col("other")).cast("int").alias("side"),
     )
-    dealt = sets.join(tasks, "node").select("task", "side", "name", "n", "payload")
+    dealt = among(sets, cluster).join(tasks, "node").select("task", "side", "name", "n", "payload")
     along = dealt.repartition(C.shuffle_partitions(sets.sparkSession), "task").sortWithinPartitions("task", "side", "name")
     return C.map_arrow(along, lambda batches, fn=_compared(near, percent): contract(fn(batches)), "u long, v long")
 
@@ -546,7 +561,7 @@ def led(sets: DataFrame, cluster: DataFrame, percent: int) -> tuple[DataFrame, D
     ways = salted(cluster, many, "inner").where("node <> leader").select("node", "component", block.alias("block"), F.lit(0).alias("side"))
     leaders = many.where("salt = 0").select(F.col("leader").alias("node"), "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"))
     tasks = ways.unionByName(leaders).select("node", "component", F.xxhash64("component", "block").alias("task"), "side")
-    dealt = sets.join(tasks, "node").select("task", "side", "node", "component", "name", "n", "payload")
+    dealt = among(sets, ways.select("node").unionByName(leaders.select("node"))).join(tasks, "node").select("task", "side", "node", "component", "name", "n", "payload")
     along = dealt.repartition(C.shuffle_partitions(spark), "task").sortWithinPartitions("task", F.desc("side"), "node")
     seen = C.staged(spark, C.map_arrow(along, _led, "node long, component long, u long, v long, common long, both long").distinct(), "jaccard-led")
     links = F.col("common") * 100 >= percent * F.col("both")

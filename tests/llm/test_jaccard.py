@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.llm import common as C
 from marginalia.llm import components as G
@@ -123,6 +124,15 @@ def test_packed_grams_come_back():
     assert (J._unpacked(J._packed(g)) == g).all()
 
 
+def test_filtered_sets_are_all_that_a_join_keeps(spark):
+    sets = spark.range(20_000).select(F.xxhash64("id").alias("node"), F.col("id").cast("string").alias("payload"))
+    nodes = spark.range(0, 20_000, 100).select(F.xxhash64("id").alias("node"))
+    kept = J.among(sets, nodes)
+    assert kept.join(nodes, "node").count() == 200
+    assert kept.count() < 400
+    assert J.among(sets, nodes.limit(0)).count() == 0 and J.among(sets.limit(0), nodes).count() == 0
+
+
 def test_star_rounds_equal_one_task(spark):
     rnd = random.Random(7)
     e = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)] + [(5, 5), (None, 3)]
