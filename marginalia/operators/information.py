@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import counts as K
 from . import relations as R
+from .resample import order_key
 
 
 def budget(inc: DataFrame) -> DataFrame:
@@ -51,13 +52,16 @@ def recurrence(inc: DataFrame, distances: int = 20) -> DataFrame:
     return expected.join(hits, "d", "left").select("d", "pairs", (F.coalesce("hits", F.lit(0)) / F.col("expected")).alias("lift"))
 
 
-def masked_scores(train: DataFrame, test: DataFrame, smooth: float = 0.5) -> DataFrame:
-    """INF-1, INF-2, INF-3 (leave one out): (unit_seq, item, nll, base_nll, rank, base_rank).
+def masked_scores(train: DataFrame, test: DataFrame, smooth: float = 0.5, share: float | None = None, seed: int = 1) -> DataFrame:
+    """INF-1, INF-2, INF-3: (unit_seq, item, nll, base_nll, rank, base_rank, degree_rank, vocabulary).
 
-    An item's evidence is the sum of its training PPMI with the rest of its unit.  Its probability is the smoothed
+    Without ``share`` each item of a unit is masked in turn and all others are its context; with it, that share of
+    a unit's items (one at least, the first by hashed order) is masked at once and only the others are context.
+    An item's evidence is the sum of its training PPMI with its context.  Its probability is the smoothed
     frequency times 2 to the evidence, over Z = 1 - sum of P0 + sum of P0 2^ev of the items with evidence: only
     those are ever made.  Its rank counts the items of strictly larger score: those with evidence one by one, the
-    others by their place in the frequency order.
+    others by their place in the frequency order.  The rank by degree counts the items with more distinct partners
+    in training.  Vocabulary is the number of training items.
     """
     m = K.marginals(train)
     v = m.agg(F.count("*").alias("v"), F.sum("c").alias("t"))
@@ -66,7 +70,13 @@ def masked_scores(train: DataFrame, test: DataFrame, smooth: float = 0.5) -> Dat
     ppmi = R.ppmi_edges(train).select("item", "dim", "w")
     known = test.join(prior.select("item"), "item", "left_semi").select("unit_seq", "item")  # unseen items score under no model (FIL-4)
     long = known.withColumn("n", F.count("*").over(Window.partitionBy("unit_seq"))).where("n >= 2").drop("n")
-    context = long.join(long.select("unit_seq", F.col("item").alias("dim")), "unit_seq").where("item <> dim").select("unit_seq", F.col("item").alias("target"), "dim")
+    given = long
+    if share is not None:
+        numbered = known.withColumn("n", F.count("*").over(Window.partitionBy("unit_seq"))).where("n >= 2").withColumn("r", F.row_number().over(Window.partitionBy("unit_seq").orderBy(order_key(seed, F.col("unit_seq"), F.col("item")), "item")))
+        masked = F.col("r") <= F.greatest(F.lit(1.0), F.bround(share * F.col("n")))
+        long, given = numbered.where(masked).select("unit_seq", "item"), numbered.where(~masked).select("unit_seq", "item")
+        long = long.join(given, "unit_seq", "left_semi")  # a unit masked as a whole has no context
+    context = long.join(given.select("unit_seq", F.col("item").alias("dim")), "unit_seq").where("item <> dim").select("unit_seq", F.col("item").alias("target"), "dim")
     evidence = context.join(ppmi, "dim").groupBy("unit_seq", "target", "item").agg(F.sum("w").alias("ev"))
     scored = evidence.join(prior, "item").withColumn("s", F.col("p0") * F.pow(F.lit(2.0), F.col("ev")))
     z = scored.groupBy("unit_seq", "target").agg((1 - F.sum("p0") + F.sum("s")).alias("z"))
@@ -79,22 +89,30 @@ def masked_scores(train: DataFrame, test: DataFrame, smooth: float = 0.5) -> Dat
     curve = steps.withColumn("above", F.sum("c").over(Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)))
     ladder = curve.agg(F.array_sort(F.collect_list(F.struct("p", "above"))).alias("ladder"))
     place = head.join(F.broadcast(ladder)).select("unit_seq", "target", F.coalesce(F.try_element_at(F.filter("ladder", lambda x: x["p"] > F.col("os")), F.lit(1))["above"], F.lit(0)).alias("head"))
-    out = own.join(place, ["unit_seq", "target"]).join(ahead, ["unit_seq", "target"], "left")
+    partners = R.oriented(train, 1).groupBy("src").agg(F.count("*").alias("degree"))
+    degrees = prior.join(partners, prior["item"] == partners["src"], "left").select(F.col("item").alias("target"), F.rank().over(Window.orderBy(F.desc(F.coalesce("degree", F.lit(0))))).alias("degree_rank"))  # a vocabulary
+    out = own.join(place, ["unit_seq", "target"]).join(ahead, ["unit_seq", "target"], "left").join(degrees, "target").join(F.broadcast(v.select(F.col("v").alias("vocabulary"))))
     rank = 1 + F.coalesce("ahead", F.lit(0)) + F.col("head") - F.coalesce("moved", F.lit(0))
-    return out.select("unit_seq", F.col("target").alias("item"), (-F.log2(F.col("own_s") / F.coalesce("z", F.lit(1.0)))).alias("nll"), (-F.log2("q0")).alias("base_nll"), rank.cast("long").alias("rank"), F.col("prior_rank").cast("long").alias("base_rank"))
+    return out.select("unit_seq", F.col("target").alias("item"), (-F.log2(F.col("own_s") / F.coalesce("z", F.lit(1.0)))).alias("nll"), (-F.log2("q0")).alias("base_nll"), rank.cast("long").alias("rank"), F.col("prior_rank").cast("long").alias("base_rank"), F.col("degree_rank").cast("long").alias("degree_rank"), "vocabulary")
 
 
 def scoreboard(scores: DataFrame) -> DataFrame:
-    """AGG-26, INF-6: perplexities, reciprocal ranks, hits and the gain with its interval; one row."""
+    """AGG-26, INF-6: perplexities, reciprocal ranks, hits, rank shares and the gains with their intervals; one row."""
     gain = F.col("base_nll") - F.col("nll")
+    better = 1 / F.col("rank") - 1 / F.col("base_rank")
+    hits = [F.avg((F.col(r) <= k).cast("int")).alias(f"{p}hits{k}") for k in (1, 5, 10) for p, r in (("", "rank"), ("base_", "base_rank"), ("degree_", "degree_rank"))]
     a = scores.agg(
         F.count("*").alias("n"),
         F.avg("nll").alias("nll"),
         F.avg("base_nll").alias("base_nll"),
         F.avg(1 / F.col("rank")).alias("mrr"),
         F.avg(1 / F.col("base_rank")).alias("base_mrr"),
-        F.avg((F.col("rank") <= 10).cast("int")).alias("hits10"),
-        F.avg((F.col("base_rank") <= 10).cast("int")).alias("base_hits10"),
+        F.avg(1 / F.col("degree_rank")).alias("degree_mrr"),
+        *hits,
+        (F.avg("rank") / F.avg("vocabulary")).alias("rank_share"),
+        (F.avg("base_rank") / F.avg("vocabulary")).alias("base_rank_share"),
+        F.avg(better).alias("mrr_gain"),
+        (1.96 * F.stddev_samp(better) / F.sqrt(F.count("*"))).alias("mrr_half_width"),
         F.avg(gain).alias("gain"),
         (1.96 * F.stddev_samp(gain) / F.sqrt(F.count("*"))).alias("half_width"),
     )

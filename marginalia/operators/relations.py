@@ -214,16 +214,89 @@ def drift(inc: DataFrame, halves: DataFrame, min_support: int = 5) -> DataFrame:
     return out.where(F.col("support") >= min_support).select("item", F.coalesce(cos, F.lit(0.0)).alias("cos"), (F.coalesce(cos, F.lit(0.0)) >= 0.5).alias("stable"))
 
 
-def contradictions(inc: DataFrame, min_count: int = 30) -> DataFrame:
-    """REL-28: rule breaks between relations: need without company, need both ways, order both ways."""
-    req, exc, pre = requires(inc).select("src", "tgt"), excludes(inc, min_count), precedes(inc).where("relation = 'PRECEDES'").select("src", "tgt")
-    back = lambda d: d.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"))
-    shut = exc.select(F.col("a").alias("src"), F.col("b").alias("tgt"))
-    c1 = req.join(shut.unionByName(back(shut)), ["src", "tgt"], "left_semi").withColumn("rule", F.lit("needs_what_it_excludes"))
-    c2 = req.join(back(req), ["src", "tgt"], "left_semi").where("src < tgt").withColumn("rule", F.lit("needs_each_other"))
-    c3 = pre.join(back(pre), ["src", "tgt"], "left_semi").withColumn("rule", F.lit("precedes_both_ways"))
-    c4 = pre.where("src = tgt").withColumn("rule", F.lit("precedes_itself"))
-    return c1.unionByName(c2).unionByName(c3).unionByName(c4)
+def order_cycles(pre: DataFrame, longest: int = 4) -> DataFrame:
+    """(a, b, c, d, asymmetry): elementary cycles of two to ``longest`` (4 at most) order edges, each from its least item, with their weakest edge."""
+    e = pre.select("src", "tgt", "asymmetry").where("src <> tgt")
+    path = e.select(F.col("src").alias("a"), F.col("tgt").alias("b"), "asymmetry").where("a < b")
+    out = None
+    for at, after in zip("bcd"[: longest - 1], "cd_", strict=False):
+        step = e.select(F.col("src").alias(at), F.col("tgt").alias("__next"), F.col("asymmetry").alias("__asym"))
+        longer = path.join(step, at).withColumn("asymmetry", F.least("asymmetry", "__asym")).drop("__asym")
+        items = [x for x in "abcd" if x <= at]
+        closed = longer.where("__next = a").select(*items, *(F.lit(None).cast("string").alias(x) for x in "abcd" if x > at), "asymmetry")
+        out = closed if out is None else out.unionByName(closed)
+        if after != "_":
+            path = longer.where(F.col("__next") > F.col("a"))
+            for x in items[1:]:
+                path = path.where(F.col("__next") != F.col(x))
+            path = path.withColumnRenamed("__next", after)
+    return out
+
+
+def contradictions(req: DataFrame, dep: DataFrame, exc: DataFrame, pre: DataFrame, strict: float = 0.95) -> DataFrame:
+    """REL-28: (rule, genuine, a, b, c, d): rules C1 to C5 over need (src, tgt), dependency (src, tgt), exclusion
+    (a < b) and order (src, tgt, asymmetry).
+
+    C1: a needs b, which excludes it.  C2: a needs b and c, which exclude each other.  C3, C4: strict order both
+    ways, or in a circle of three or four.  C5: a and b depend on each other and exclude each other.  The same
+    patterns of mere tendencies (dependency for need, weaker order) are told apart: they are not genuine.
+    Relations counted from one incidence table can't break C1, C3 and C5; relations from elsewhere can.
+    """
+    shut = exc.select("a", "b")
+    back = shut.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    none = F.lit(None).cast("string")
+
+    def found(d: DataFrame, rule: str | Column, genuine: bool | Column) -> DataFrame:
+        have = [F.col(x) if x in d.columns else none.alias(x) for x in "abcd"]
+        return d.select((F.lit(rule) if isinstance(rule, str) else rule).alias("rule"), (F.lit(genuine) if isinstance(genuine, bool) else genuine).alias("genuine"), *have)
+
+    def forced(d: DataFrame) -> DataFrame:
+        x, y = d.select(F.col("src").alias("a"), F.col("tgt").alias("b")), d.select(F.col("src").alias("a"), F.col("tgt").alias("c"))
+        return x.join(y, "a").where("b < c").join(shut.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"], "left_semi")
+
+    need, lean = req.select("src", "tgt").distinct(), dep.select("src", "tgt").distinct()
+    edge = lambda d: d.select(F.col("src").alias("a"), F.col("tgt").alias("b"))
+    c5 = edge(lean).where("a < b").join(edge(lean).select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi").join(shut, ["a", "b"], "left_semi")
+    loops = order_cycles(pre)
+    firm = F.col("asymmetry") >= strict
+    named = F.when(~firm, "weak_order_cycle").when(F.col("c").isNull(), "C3_strict_order_both_ways").otherwise("C4_strict_order_cycle")
+    parts = [
+        found(edge(need).join(shut.unionByName(back), ["a", "b"], "left_semi"), "C1_needs_what_it_excludes", True),
+        found(forced(need), "C2_needs_exclusive_items", True),
+        found(forced(lean), "depends_on_exclusive_items", False),
+        found(loops, named, firm),
+        found(c5, "C5_exclusive_mutual_dependency", True),
+    ]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def identity_checks(active: DataFrame, anchors: DataFrame) -> DataFrame:
+    """REL-28, C6: (concept, anchor, units, held, share, verdict): how many of the units (concept, unit, item) that
+    activate a concept hold its anchor (concept, anchor): none is an inversion, a minority an instability."""
+    rows = active.join(anchors, "concept").groupBy("concept", "anchor", "unit").agg(F.bool_or(F.col("item") == F.col("anchor")).alias("hit"))
+    out = rows.groupBy("concept", "anchor").agg(F.count("*").alias("units"), F.count_if("hit").alias("held"))
+    verdict = F.when(F.col("held") == 0, "C6_identity_inversion").when(2 * F.col("held") < F.col("units"), "identity_instability").otherwise("consistent")
+    return out.select("concept", "anchor", "units", "held", (F.col("held") / F.col("units")).alias("share"), verdict.alias("verdict"))
+
+
+def concept_groups(inc: DataFrame, top: int = 10) -> DataFrame:
+    """REL-22: an item's ``top`` groups by units, by density and by lift: (item, by, r, group_id, units, density, share, lift).
+
+    Density is the share of the group's units that hold the item, share the group's part of the item's units, lift
+    the density over the item's rate in all units.  Equal values go by group.
+    """
+    size = inc.groupBy("group_id").agg(F.count_distinct("unit_seq").alias("size"))
+    rows = inc.groupBy("item", "group_id").agg(F.count("*").alias("units")).join(size, "group_id").join(K.marginals(inc), "item").join(F.broadcast(K.unit_count(inc)))
+    density = F.col("units") / F.col("size")
+    rows = rows.select("item", "group_id", "units", F.round(density, 6).alias("density"), F.round(F.col("units") / F.col("c"), 6).alias("share"), F.round(density / (F.col("c") / F.col("n")), 6).alias("lift"))
+    parts = []
+    for by in ("units", "density", "lift"):
+        w = Window.partitionBy("item").orderBy(F.desc(by), "group_id")
+        parts.append(rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).select("item", F.lit(by).alias("by"), "r", "group_id", "units", "density", "share", "lift"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def marker_lift(inc: DataFrame, marked: DataFrame, min_df: int = 5) -> DataFrame:

@@ -56,19 +56,30 @@ def mirror_likeness(spark, sf_dir):
     return rounded(N.mirror(brands(spark, sf_dir)), "mean_jaccard")
 
 
-_FOLD = """
+_TRAINED = """
 fu AS (SELECT unit_seq, (row_number() OVER (PARTITION BY group_id ORDER BY unit_seq) - 1) * 5 // count(*) OVER (PARTITION BY group_id) AS fold FROM (SELECT DISTINCT group_id, unit_seq FROM inc)),
 te AS MATERIALIZED (SELECT inc.* FROM inc JOIN fu USING (unit_seq) WHERE fold = 4), tn AS MATERIALIZED (SELECT inc.* FROM inc JOIN fu USING (unit_seq) WHERE fold < 4),
 tm AS MATERIALIZED (SELECT item, count(*) AS c FROM tn GROUP BY 1), tv AS (SELECT count(*) AS v, sum(c) AS t FROM tm), tc AS (SELECT count(DISTINCT unit_seq) AS n FROM tn),
 p0 AS MATERIALIZED (SELECT item, (c + 0.5::DOUBLE) / (t + 0.5::DOUBLE * v) AS p0 FROM tm, tv),
 tp AS (SELECT x.item AS a, y.item AS b, count(*) AS k FROM tn x JOIN tn y ON x.unit_seq = y.unit_seq AND x.item <> y.item GROUP BY 1, 2),
 tw AS MATERIALIZED (SELECT a, b, log2((k::DOUBLE / n) / ((x.c::DOUBLE / n) * (y.c::DOUBLE / n))) AS w FROM tp JOIN tm x ON x.item = a JOIN tm y ON y.item = b, tc WHERE log2((k::DOUBLE / n) / ((x.c::DOUBLE / n) * (y.c::DOUBLE / n))) > 0),
-kn AS MATERIALIZED (SELECT unit_seq, item FROM (SELECT te.unit_seq, te.item, count(*) OVER (PARTITION BY te.unit_seq) AS n FROM te SEMI JOIN p0 ON p0.item = te.item) WHERE n >= 2),
-ev AS (SELECT x.unit_seq, x.item AS target, tw.a AS item, sum(tw.w) AS ev FROM kn x JOIN kn y ON x.unit_seq = y.unit_seq AND x.item <> y.item JOIN tw ON tw.b = y.item GROUP BY 1, 2, 3),
+dg AS (SELECT p0.item, rank() OVER (ORDER BY count(tp.b) DESC) AS degree_rank FROM p0 LEFT JOIN tp ON tp.a = p0.item GROUP BY 1),
+al_ AS MATERIALIZED (SELECT * FROM (SELECT te.unit_seq, te.item, count(*) OVER (PARTITION BY te.unit_seq) AS n, row_number() OVER (PARTITION BY te.unit_seq ORDER BY md5('1|' || te.unit_seq || '|' || te.item), te.item) AS r FROM te SEMI JOIN p0 ON p0.item = te.item) WHERE n >= 2),
+"""
+_SCORED = """
+ev AS (SELECT x.unit_seq, x.item AS target, tw.a AS item, sum(tw.w) AS ev FROM kn x JOIN gv y ON x.unit_seq = y.unit_seq AND x.item <> y.item JOIN tw ON tw.b = y.item GROUP BY 1, 2, 3),
 al AS MATERIALIZED (SELECT x.unit_seq, x.item AS target, p0.item, p0.p0, p0.p0 * pow(2, coalesce(ev.ev, 0)) AS s FROM kn x, p0 LEFT JOIN ev ON ev.unit_seq = x.unit_seq AND ev.target = x.item AND ev.item = p0.item),
 ow AS (SELECT unit_seq, target, s AS own_s, p0 AS q0 FROM al WHERE item = target),
-sc AS MATERIALIZED (SELECT al.unit_seq, al.target AS item, -log2(any_value(own_s) / sum(al.s)) AS nll, -log2(any_value(q0)) AS base_nll, 1 + count(*) FILTER (round(al.s, 12) > round(own_s, 12)) AS rank, 1 + count(*) FILTER (round(al.p0, 12) > round(q0, 12)) AS base_rank
-  FROM al JOIN ow ON ow.unit_seq = al.unit_seq AND ow.target = al.target GROUP BY 1, 2)"""
+sc AS MATERIALIZED (SELECT al.unit_seq, al.target AS item, any_value(degree_rank) AS degree_rank, (SELECT v FROM tv) AS vocabulary, -log2(any_value(own_s) / sum(al.s)) AS nll, -log2(any_value(q0)) AS base_nll, 1 + count(*) FILTER (round(al.s, 12) > round(own_s, 12)) AS rank, 1 + count(*) FILTER (round(al.p0, 12) > round(q0, 12)) AS base_rank
+  FROM al JOIN ow ON ow.unit_seq = al.unit_seq AND ow.target = al.target JOIN dg ON dg.item = al.target GROUP BY 1, 2)"""
+
+
+def _fold(masked: str = "true", given: str = "true") -> str:
+    """Scores of the masked items (``kn``) from the given ones (``gv``)."""
+    return f"{_TRAINED}gv AS MATERIALIZED (SELECT unit_seq, item FROM al_ WHERE {given}), kn AS MATERIALIZED (SELECT unit_seq, item FROM al_ WHERE {masked} AND unit_seq IN (SELECT unit_seq FROM gv)),{_SCORED}"
+
+
+_FOLD = _fold()
 
 
 def _split(inc):
@@ -87,16 +98,42 @@ def _halves(spark, sf_dir):
 @query("masked_items", sql("brands", "SELECT unit_seq, item, round(nll, 6) AS nll, round(base_nll, 6) AS base_nll, rank, base_rank FROM sc", _FOLD))
 def masked_items(spark, sf_dir):
     """INF-1 to INF-3, WIN-16, FIL-4, FIL-5: every held-out item from the rest of its unit."""
-    return rounded(N.masked_scores(*_halves(spark, sf_dir)), "nll", "base_nll")
+    return rounded(N.masked_scores(*_halves(spark, sf_dir)).drop("degree_rank", "vocabulary"), "nll", "base_nll")
+
+
+_MEANS = {"nll": "nll", "base_nll": "base_nll", "mrr": "1.0::DOUBLE / rank", "base_mrr": "1.0::DOUBLE / base_rank", "degree_mrr": "1.0::DOUBLE / degree_rank", "gain": "base_nll - nll", "mrr_gain": "1.0::DOUBLE / rank - 1.0::DOUBLE / base_rank"}
+_MEANS |= {f"{p}hits{k}": f"({p}rank <= {k})::INT" for k in (1, 5, 10) for p in ("", "base_", "degree_")}
+_BOARD = f"""SELECT count(*) AS n, {", ".join(f"round(avg({e}), 6) AS {n}" for n, e in _MEANS.items())}, round(avg(rank) / any_value(vocabulary), 6) AS rank_share, round(avg(base_rank) / any_value(vocabulary), 6) AS base_rank_share,
+  round(1.96::DOUBLE * stddev_samp(base_nll - nll) / sqrt(count(*)), 6) AS half_width, round(1.96::DOUBLE * stddev_samp(1.0::DOUBLE / rank - 1.0::DOUBLE / base_rank) / sqrt(count(*)), 6) AS mrr_half_width, round(pow(2, avg(nll)), 4) AS perplexity, round(pow(2, avg(base_nll)), 4) AS base_perplexity,
+  CASE WHEN avg(base_nll - nll) - 1.96 * stddev_samp(base_nll - nll) / sqrt(count(*)) > 0 THEN 'YES' WHEN avg(base_nll - nll) + 1.96 * stddev_samp(base_nll - nll) / sqrt(count(*)) > 0 THEN 'PARTIAL' ELSE 'NO' END AS verdict FROM sc"""
+
 
+def _board(spark, sf_dir, share=None):
+    out = N.scoreboard(N.masked_scores(*_halves(spark, sf_dir), share=share))
+    return rounded(rounded(out, *_MEANS, "rank_share", "base_rank_share", "half_width", "mrr_half_width"), "perplexity", "base_perplexity", digits=4)
 
-@query("prediction_scoreboard", sql("brands", """SELECT count(*) AS n, round(avg(nll), 6) AS nll, round(avg(base_nll), 6) AS base_nll, round(avg(1.0::DOUBLE / rank), 6) AS mrr, round(avg(1.0::DOUBLE / base_rank), 6) AS base_mrr, round(avg((rank <= 10)::INT), 6) AS hits10, round(avg((base_rank <= 10)::INT), 6) AS base_hits10,
-  round(avg(base_nll - nll), 6) AS gain, round(1.96::DOUBLE * stddev_samp(base_nll - nll) / sqrt(count(*)), 6) AS half_width, round(pow(2, avg(nll)), 4) AS perplexity, round(pow(2, avg(base_nll)), 4) AS base_perplexity,
-  CASE WHEN avg(base_nll - nll) - 1.96 * stddev_samp(base_nll - nll) / sqrt(count(*)) > 0 THEN 'YES' WHEN avg(base_nll - nll) + 1.96 * stddev_samp(base_nll - nll) / sqrt(count(*)) > 0 THEN 'PARTIAL' ELSE 'NO' END AS verdict FROM sc""", _FOLD))
+
+@query("prediction_scoreboard", sql("brands", _BOARD, _FOLD))
 def prediction_scoreboard(spark, sf_dir):
     """AGG-26, INF-6."""
-    out = N.scoreboard(N.masked_scores(*_halves(spark, sf_dir)))
-    return rounded(rounded(out, "nll", "base_nll", "mrr", "base_mrr", "hits10", "base_hits10", "gain", "half_width"), "perplexity", "base_perplexity", digits=4)
+    return _board(spark, sf_dir)
+
+
+def _masked(share: float) -> str:
+    masked = f"r <= greatest(1, round_even({share} * n, 0))"
+    return _fold(masked, f"NOT ({masked})")
+
+
+@query("prediction_quarter_masked", sql("brands", _BOARD, _masked(0.25)))
+def prediction_quarter_masked(spark, sf_dir):
+    """INF-2, AGG-26: a quarter of each unit masked at once."""
+    return _board(spark, sf_dir, 0.25)
+
+
+@query("prediction_half_masked", sql("brands", _BOARD, _masked(0.5)))
+def prediction_half_masked(spark, sf_dir):
+    """INF-2, AGG-26: half of each unit masked at once."""
+    return _board(spark, sf_dir, 0.5)
 
 
 _FLOW = _UN + """,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import counts as K
@@ -254,14 +255,44 @@ def drift(spark, sf_dir):
     return rounded(R.drift(inc, halves), "cos")
 
 
-@query("contradictions", sql("lines", """SELECT src, tgt, 'needs_what_it_excludes' AS rule FROM rq SEMI JOIN (SELECT a, b FROM ex UNION ALL SELECT b, a FROM ex) e ON e.a = src AND e.b = tgt
-UNION ALL SELECT x.src, x.tgt, 'needs_each_other' FROM rq x JOIN rq y ON x.src = y.tgt AND x.tgt = y.src WHERE x.src < x.tgt
-UNION ALL SELECT x.src, x.tgt, 'precedes_both_ways' FROM pre x JOIN pre y ON x.src = y.tgt AND x.tgt = y.src
-UNION ALL SELECT src, tgt, 'precedes_itself' FROM pre WHERE src = tgt""", _PRE[1:] + f""",
-rq AS (SELECT src, tgt FROM orn WHERE k >= 5 AND k::DOUBLE / c_src >= 0.9), ex AS ({_EXC})"""))
+_STRICT = "CASE WHEN {0} < 0.95 THEN 'weak_order_cycle' ELSE '{1}' END AS rule, {0} >= 0.95 AS genuine"
+
+
+@query("contradictions", sql("lines", f"""SELECT 'C1_needs_what_it_excludes' AS rule, true AS genuine, src AS a, tgt AS b, NULL::VARCHAR AS c, NULL::VARCHAR AS d FROM rq SEMI JOIN ex ON ex.a = least(src, tgt) AND ex.b = greatest(src, tgt)
+UNION ALL SELECT 'C2_needs_exclusive_items', true, x.src, x.tgt, y.tgt, NULL FROM rq x JOIN rq y ON x.src = y.src AND x.tgt < y.tgt SEMI JOIN ex ON ex.a = x.tgt AND ex.b = y.tgt
+UNION ALL SELECT 'depends_on_exclusive_items', false, x.src, x.tgt, y.tgt, NULL FROM dp x JOIN dp y ON x.src = y.src AND x.tgt < y.tgt SEMI JOIN ex ON ex.a = x.tgt AND ex.b = y.tgt
+UNION ALL SELECT 'C5_exclusive_mutual_dependency', true, x.src, x.tgt, NULL, NULL FROM dp x JOIN dp y ON x.src = y.tgt AND x.tgt = y.src AND x.src < x.tgt SEMI JOIN ex ON ex.a = x.src AND ex.b = x.tgt
+UNION ALL SELECT {_STRICT.format("least(x.asymmetry, y.asymmetry)", "C3_strict_order_both_ways")}, x.src, x.tgt, NULL, NULL FROM oe x JOIN oe y ON x.src = y.tgt AND x.tgt = y.src WHERE x.src < x.tgt
+UNION ALL SELECT {_STRICT.format("least(x.asymmetry, y.asymmetry, z.asymmetry)", "C4_strict_order_cycle")}, x.src, y.src, z.src, NULL FROM oe x JOIN oe y ON y.src = x.tgt JOIN oe z ON z.src = y.tgt AND z.tgt = x.src WHERE x.src < y.src AND x.src < z.src
+UNION ALL SELECT {_STRICT.format("least(x.asymmetry, y.asymmetry, z.asymmetry, t.asymmetry)", "C4_strict_order_cycle")}, x.src, y.src, z.src, t.src FROM oe x JOIN oe y ON y.src = x.tgt JOIN oe z ON z.src = y.tgt JOIN oe t ON t.src = z.tgt AND t.tgt = x.src WHERE x.src < y.src AND x.src < z.src AND x.src < t.src AND y.src <> t.src""", _PRE[1:] + f""",
+oe AS MATERIALIZED (SELECT src, tgt, asymmetry FROM pre WHERE src <> tgt),
+dp AS MATERIALIZED (SELECT src, tgt FROM orn WHERE k >= 5 AND k::DOUBLE / c_tgt >= 0.3 AND (k::DOUBLE / c_tgt) / (c_src::DOUBLE / n) >= 2),
+rq AS MATERIALIZED (SELECT src, tgt FROM orn WHERE k >= 5 AND k::DOUBLE / c_src >= 0.9), ex AS MATERIALIZED ({_EXC})"""))
 def contradictions(spark, sf_dir):
-    """REL-28."""
-    return R.contradictions(lines(spark, sf_dir))
+    """REL-28, C1 to C5."""
+    inc = lines(spark, sf_dir)
+    return R.contradictions(R.requires(inc), R.depends_on(inc), R.excludes(inc), R.precedes(inc).where("relation = 'PRECEDES'"))
+
+
+@query("identity_checks", """WITH an AS (SELECT p_brand AS concept, p_type AS anchor FROM part GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_type) = 1),
+ac AS (SELECT concept, anchor, l_orderkey AS unit, bool_or(p_type = anchor) AS hit FROM lineitem JOIN part ON l_partkey = p_partkey JOIN an ON concept = p_brand GROUP BY 1, 2, 3),
+ct AS (SELECT concept, anchor, count(*) AS units, count(*) FILTER (hit) AS held FROM ac GROUP BY 1, 2)
+SELECT concept, anchor, units, held, round(held::DOUBLE / units, 6) AS share, CASE WHEN held = 0 THEN 'C6_identity_inversion' WHEN 2 * held < units THEN 'identity_instability' ELSE 'consistent' END AS verdict FROM ct""")
+def identity_checks(spark, sf_dir):
+    """REL-28, C6: brands by their commonest type in the catalogue, in the orders that hold the brand."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("concept"), F.col("p_type").alias("item"))
+    first = Window.partitionBy("concept").orderBy(F.desc("n"), "item")
+    anchors = part.groupBy("concept", "item").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(first)).where("r = 1").select("concept", F.col("item").alias("anchor"))
+    active = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("unit"), "l_partkey").join(part, F.col("l_partkey") == F.col("p_partkey")).select("concept", "unit", "item")
+    return rounded(R.identity_checks(active, anchors), "share")
+
+
+@query("concept_groups", sql("brands", "\nUNION ALL ".join(f"SELECT item, '{by}' AS by, r::INT AS r, group_id, units, density, share, lift FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY {by} DESC, group_id) AS r FROM cg) WHERE r <= 10" for by in ("units", "density", "lift")), """
+gs AS (SELECT group_id, count(DISTINCT unit_seq) AS size FROM inc GROUP BY 1), gi AS (SELECT item, group_id, count(*) AS units FROM inc GROUP BY 1, 2),
+cg AS MATERIALIZED (SELECT item, group_id, units, round(units::DOUBLE / size, 6) AS density, round(units::DOUBLE / c, 6) AS share, round((units::DOUBLE / size) / (c::DOUBLE / n), 6) AS lift FROM gi JOIN gs USING (group_id) JOIN m USING (item), nn)"""))
+def concept_groups(spark, sf_dir):
+    """REL-22: customers that mark a brand, in three orders."""
+    return R.concept_groups(brands(spark, sf_dir))
 
 
 @query("marker_lift", sql("words", "SELECT mk.item, mk.k, m.c, round((mk.k::DOUBLE / nm) / (m.c::DOUBLE / n), 6) AS lift FROM mk JOIN m USING (item), nn, (SELECT count(DISTINCT unit_seq) AS nm FROM md) WHERE m.c >= 5", """

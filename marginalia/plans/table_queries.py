@@ -80,6 +80,25 @@ def membership_strength(spark, sf_dir):
     return s.select("unit", "concept", F.round("s", 6).alias("strength"), "suppliers", F.round(F.col("s") / F.nullif(top, F.lit(0.0)), 6).alias("confidence"))
 
 
+@query("unit_signatures", """WITH w AS (SELECT p_brand AS concept, l_orderkey AS unit, round(sum(greatest(l_discount, l_tax)), 6) AS strength, count(DISTINCT l_suppkey) AS suppliers FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+r AS (SELECT *, max(strength) OVER (PARTITION BY concept) AS top, row_number() OVER (PARTITION BY concept ORDER BY strength DESC, suppliers DESC, unit) AS r FROM w)
+SELECT concept, r::INT AS r, CASE WHEN r <= 25 THEN 25 WHEN r <= 50 THEN 50 ELSE 100 END AS depth, unit, strength, suppliers, round(coalesce(strength / nullif(top, 0), 0), 6) AS confidence FROM r WHERE r <= 100""")
+def unit_signatures(spark, sf_dir):
+    """REL-21: the 25, 50 and 100 units that activate a concept most, relative to the strongest; ``depth`` is the least list that holds a unit."""
+    w = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    s = w.groupBy(F.col("p_brand").alias("concept"), F.col("l_orderkey").alias("unit")).agg(F.round(F.sum(F.greatest("l_discount", "l_tax")), 6).alias("strength"), F.count_distinct("l_suppkey").alias("suppliers"))
+    best = Window.partitionBy("concept").orderBy(F.desc("strength"), F.desc("suppliers"), "unit")
+    top = s.withColumn("r", F.row_number().over(best)).where("r <= 100").withColumn("top", F.max("strength").over(Window.partitionBy("concept")))
+    depth = F.when(F.col("r") <= 25, 25).when(F.col("r") <= 50, 50).otherwise(100)
+    return top.select("concept", "r", depth.alias("depth"), "unit", "strength", "suppliers", F.round(F.coalesce(F.col("strength") / F.nullif("top", F.lit(0.0)), F.lit(0.0)), 6).alias("confidence"))
+
+
+@query("page_numbers", "SELECT count(*) AS n, count(DISTINCT page_id) AS keys, min(page_id) AS least, max(page_id) AS most, count(*) = count(DISTINCT page_id) AND max(page_id) - min(page_id) + 1 = count(*) AS gapless FROM pages")
+def page_numbers(spark, sf_dir):
+    """SRC-6: page numbers are a column of the source, checked instead of read off the order of rows."""
+    return readers.key_report(table(spark, sf_dir, "pages"), "page_id")
+
+
 @query("group_signatures", sql("brands", """SELECT group_id, item, r::INT AS r, round(k::DOUBLE / units, 6) AS density, round(k::DOUBLE / tot, 6) AS share, round((k::DOUBLE / tot) / (c::DOUBLE / (SELECT sum(c) FROM m)), 6) AS lift FROM (
   SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY k DESC, item) AS r FROM gk) JOIN m USING (item) WHERE r <= 10""", """
 gk AS (SELECT i.group_id, i.item, count(*) AS k, any_value(u.units) AS units, any_value(u.tot) AS tot FROM inc i JOIN (SELECT group_id, count(DISTINCT unit_seq) AS units, count(*) AS tot FROM inc GROUP BY 1) u USING (group_id) GROUP BY 1, 2)"""))

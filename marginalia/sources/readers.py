@@ -49,6 +49,12 @@ def table(spark: SparkSession, path: str, columns: list[str], not_null: list[str
     return df
 
 
+def key_report(df: DataFrame, key: str) -> DataFrame:
+    """SRC-6: (n, keys, least, most, gapless): whether a number column counts its rows without gap or repeat; a null is a gap."""
+    a = df.agg(F.count("*").alias("n"), F.count_distinct(key).alias("keys"), F.min(key).alias("least"), F.max(key).alias("most"))
+    return a.withColumn("gapless", (F.col("n") == F.col("keys")) & (F.col("most") - F.col("least") + 1 == F.col("n")))
+
+
 def artifact(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """SRC-4: a JSON product of an earlier phase."""
     return spark.read.schema(schema).option("multiLine", True).json(path)

@@ -114,3 +114,99 @@ def test_flow_counts(spark):
 @pytest.mark.parametrize("f", [R.co_occurs, R.depends_on, R.requires, R.precedes, R.predicts, R.neighbours, R.similar, R.excludes, R.typed_edges, K.pairs, K.triples, L.flow])
 def test_empty_input(spark, f):
     assert f(spark.createDataFrame([], INC)).count() == 0
+
+
+def brute_cycles(edges, longest=4):
+    out = set()
+    for n in range(2, longest + 1):
+        for p in itertools.permutations(sorted({x for e in edges for x in e}), n):
+            if p[0] == min(p) and all((p[i], p[(i + 1) % n]) in edges for i in range(n)):
+                out.add((p + (None,) * (4 - n), min(edges[p[i], p[(i + 1) % n]] for i in range(n))))
+    return out
+
+
+def test_order_cycles_against_all_permutations(spark):
+    edges = {("a", "b"): 1.0, ("b", "c"): 0.97, ("c", "a"): 0.99, ("c", "d"): 0.5, ("d", "a"): 1.0, ("d", "b"): 0.4, ("b", "a"): 0.96, ("d", "c"): 0.8, ("e", "e"): 1.0, ("d", "e"): 1.0}
+    pre = spark.createDataFrame([(*k, v) for k, v in edges.items()], "src string, tgt string, asymmetry double")
+    got = [((r.a, r.b, r.c, r.d), r.asymmetry) for r in R.order_cycles(pre).collect()]
+    want = brute_cycles({k: v for k, v in edges.items() if k[0] != k[1]})
+    assert len(got) == len(want) and set(got) == want and len(want) >= 5
+
+
+def test_every_contradiction_rule_fires(spark):
+    edge = "src string, tgt string"
+    req = spark.createDataFrame([("a", "b"), ("a", "c"), ("d", "a"), ("d", "a")], edge)
+    dep = spark.createDataFrame([("b", "c"), ("c", "b"), ("e", "b"), ("e", "c"), ("e", "a")], edge)
+    exc = spark.createDataFrame([("b", "c"), ("a", "d")], "a string, b string")
+    pre = spark.createDataFrame([("a", "b", 0.96), ("b", "a", 0.97), ("c", "d", 1.0), ("d", "e", 1.0), ("e", "c", 0.95), ("a", "f", 1.0), ("f", "g", 0.5), ("g", "a", 1.0)], "src string, tgt string, asymmetry double")
+    got = sorted(tuple(r) for r in R.contradictions(req, dep, exc, pre).collect())
+    assert got == sorted([
+        ("C1_needs_what_it_excludes", True, "d", "a", None, None),
+        ("C2_needs_exclusive_items", True, "a", "b", "c", None),
+        ("depends_on_exclusive_items", False, "e", "b", "c", None),
+        ("C3_strict_order_both_ways", True, "a", "b", None, None),
+        ("C4_strict_order_cycle", True, "c", "d", "e", None),
+        ("weak_order_cycle", False, "a", "f", "g", None),
+        ("C5_exclusive_mutual_dependency", True, "b", "c", None, None),
+    ])
+    assert R.contradictions(req.limit(0), dep.limit(0), exc.limit(0), pre.limit(0)).count() == 0
+
+
+def test_identity_checks(spark):
+    active = spark.createDataFrame([("x", 1, "p"), ("x", 1, "q"), ("x", 2, "q"), ("x", 3, "q"), ("y", 1, "q"), ("z", 1, "p"), ("z", 2, None)], "concept string, unit long, item string")
+    anchors = spark.createDataFrame([("x", "p"), ("y", "p"), ("z", "p")], "concept string, anchor string")
+    got = {r.concept: (r.units, r.held, r.verdict) for r in R.identity_checks(active, anchors).collect()}
+    assert got == {"x": (3, 1, "identity_instability"), "y": (1, 0, "C6_identity_inversion"), "z": (2, 1, "consistent")}
+
+
+def test_concept_groups_in_three_orders(spark):
+    d = inc(spark, {1: "a", 2: "a", 3: "b", 4: "b", 5: "a", 6: "a", 7: "a"}, {1: 1, 2: 1, 3: 1, 4: 1, 5: 2, 6: 3, 7: 3})
+    got = {(r.item, r.by): [] for r in R.concept_groups(d).collect()}
+    for r in sorted(R.concept_groups(d).collect(), key=lambda r: r.r):
+        got[r.item, r.by].append((r.group_id, r.units, r.density, r.share, r.lift))
+    rows = {1: (1, 2, 0.5, 0.4, 0.7), 2: (2, 1, 1.0, 0.2, 1.4), 3: (3, 2, 1.0, 0.4, 1.4)}
+    assert got["a", "units"] == [rows[1], rows[3], rows[2]] and got["a", "density"] == got["a", "lift"] == [rows[2], rows[3], rows[1]]
+
+
+def brute_masked(train, test, share):
+    """Scores by the definition: every item of the vocabulary gets its own score."""
+    import hashlib
+
+    m = Counter(x for u in train.values() for x in set(u))
+    t, n = sum(m.values()), len(train)
+    p0 = {x: (c + 0.5) / (t + 0.5 * len(m)) for x, c in m.items()}
+    k = Counter(p for u in train.values() for p in itertools.permutations(sorted(set(u)), 2))
+    w = {p: max(0.0, math.log2((c / n) / ((m[p[0]] / n) * (m[p[1]] / n)))) for p, c in k.items()}
+    degree = Counter(a for a, _ in k)
+    out = {}
+    for unit, items in test.items():
+        known = sorted((x for x in set(items) if x in m), key=lambda x: (hashlib.md5(f"1|{unit}|{x}".encode()).hexdigest(), x))
+        if len(known) < 2:
+            continue
+        some = len(known) if share is None else max(1, round(share * len(known)))
+        for target in known[:some]:
+            context = [x for x in known if x != target] if share is None else known[some:]
+            s = {x: p0[x] * 2 ** sum(w.get((x, y), 0.0) for y in context) for x in m}
+            above = lambda f: 1 + sum(round(f[x], 12) > round(f[target], 12) for x in m)
+            out[unit, target] = (round(-math.log2(s[target] / sum(s.values())), 9), above(s), above(p0), above({x: degree[x] for x in m}), len(m))
+    return out
+
+
+@pytest.mark.parametrize("share", [None, 0.25, 0.5])
+def test_masked_scores_against_the_whole_vocabulary(spark, share):
+    from marginalia.operators import information as N
+
+    test = {11: "abcd", 12: "ab", 13: "dcz", 14: "a", 15: "zy", 16: "bcdez"}
+    train = UNITS | {9: "e", 10: "ce"}
+    got = {(r.unit_seq, r.item): (round(r.nll, 9), r["rank"], r.base_rank, r.degree_rank, r.vocabulary) for r in N.masked_scores(inc(spark, train), inc(spark, test), share=share).collect()}
+    assert got == brute_masked(train, test, share)
+
+
+def test_items_that_never_meet_score_as_their_frequency(spark):
+    from marginalia.operators import information as N
+
+    d = N.masked_scores(inc(spark, {1: "a", 2: "b", 3: "a", 4: "c"}), inc(spark, {5: "ab", 6: "bc"}))
+    rows = d.collect()
+    assert len(rows) == 4 and all(abs(r.nll - r.base_nll) < 1e-12 and r["rank"] == r.base_rank for r in rows)
+    board = N.scoreboard(d).first()
+    assert board.gain == 0 and board.mrr_gain == 0 and board.rank_share == board.base_rank_share and board.verdict == "NO"
