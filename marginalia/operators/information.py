@@ -120,6 +120,31 @@ def scoreboard(scores: DataFrame) -> DataFrame:
     return a.withColumn("perplexity", F.pow(F.lit(2.0), F.col("nll"))).withColumn("base_perplexity", F.pow(F.lit(2.0), F.col("base_nll"))).withColumn("verdict", verdict)
 
 
+def decision(board: DataFrame, nulls: DataFrame, regimes: DataFrame, min_gain: float, min_hits: float, min_regimes: int = 3) -> DataFrame:
+    """INF-6: one row of five criteria and a verdict, from the scoreboard of the main regime, the mean reciprocal
+    ranks (mrr) of the null models, and the scoreboards of all regimes.
+
+    c1: the gain and its interval are above 0, and the perplexity and reciprocal rank better than by frequency.
+    c2: the reciprocal rank is above the nulls' mean and their value of rank 97.5 % (of few nulls, the largest).
+    c3: it is above that by degree.  c4: gain and hits at 10 rise by the least effects asked for.  c5: so many
+    regimes gain in bits and in reciprocal rank.  Without nulls c2 is false.
+    """
+    order = nulls.agg(F.array_sort(F.collect_list("mrr")).alias("ms"))  # one value a null model
+    top = order.select("ms", F.when(F.size("ms") > 0, F.element_at("ms", F.least(F.size("ms"), 1 + F.floor(0.975 * F.size("ms")).cast("int")))).alias("null_top"), F.aggregate("ms", F.lit(0.0), lambda a, x: a + x).alias("null_sum"))
+    passing = regimes.agg(F.count_if((F.col("gain") > 0) & (F.col("mrr") > F.col("base_mrr"))).alias("regimes_passing"))
+    d = board.join(F.broadcast(top)).join(F.broadcast(passing))
+    c = F.col
+    rules = {
+        "c1": (c("gain") > 0) & (c("gain") - c("half_width") > 0) & (c("perplexity") < c("base_perplexity")) & (c("mrr") > c("base_mrr")),
+        "c2": F.coalesce((c("mrr") > c("null_top")) & (c("mrr") > c("null_sum") / F.nullif(F.size("ms"), F.lit(0))), F.lit(False)),
+        "c3": c("mrr") > c("degree_mrr"),
+        "c4": (c("gain") >= min_gain) & (c("hits10") - c("base_hits10") >= min_hits),
+        "c5": c("regimes_passing") >= min_regimes,
+    }
+    d = d.select("gain", "mrr", "base_mrr", "degree_mrr", "null_top", "regimes_passing", *(F.coalesce(x, F.lit(False)).alias(n) for n, x in rules.items()))
+    return d.withColumn("verdict", F.when(~c("c1"), "NON_PREDICTIVE").when(c("c2") & c("c3") & c("c4") & c("c5"), "GENUINE_STRUCTURE").otherwise("FREQUENCY_SHAPED"))
+
+
 def mirror(inc: DataFrame) -> DataFrame:
     """JOI-17, INF-15: (group_id, pairs, mean_jaccard): likeness of unit i and unit n - 1 - i of a group."""
     units = R.numbered_units(inc).withColumn("n", F.count("*").over(Window.partitionBy("group_id")))

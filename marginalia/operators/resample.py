@@ -48,6 +48,15 @@ def shuffled_in_unit(inc: DataFrame, seed: int = 1) -> DataFrame:
     return inc.select("group_id", "unit_seq", "item", F.row_number().over(w).cast("long").alias("pos"))
 
 
+def shuffled_units(inc: DataFrame, seed: int = 1) -> DataFrame:
+    """RES-7: each group's units keep their content and deal their places anew; after ``shuffled_in_unit``, the joint null."""
+    w = Window.partitionBy("group_id")
+    units = inc.select("group_id", "unit_seq").distinct()
+    places = units.select("group_id", F.col("unit_seq").alias("place"), F.row_number().over(w.orderBy("unit_seq")).alias("i"))
+    dealt = units.select("group_id", "unit_seq", F.row_number().over(w.orderBy(order_key(seed, F.col("unit_seq")), "unit_seq")).alias("i"))
+    return inc.join(dealt.join(places, ["group_id", "i"]).drop("i"), ["group_id", "unit_seq"]).select("group_id", F.col("place").alias("unit_seq"), "item", "pos")
+
+
 def shuffled_labels(rows: DataFrame, key: str, label: str, group: str, seed: int = 1) -> DataFrame:
     """RES-10: labels of each group dealt anew among its keys: numbers by key meet numbers by hash."""
     w = Window.partitionBy(group)
@@ -77,6 +86,32 @@ def noisy_edges(edges: DataFrame, share: float, reps: int, seed: int = 1) -> Dat
     return repetitions(edges, reps).where(draw(seed, F.col("rep"), F.col("src"), F.col("tgt")) >= limit)
 
 
+def rewired_edges(edges: DataFrame, share: float, reps: int, seed: int = 1, buckets: int = 16) -> DataFrame:
+    """RES-6: (rep, src, tgt): about ``share`` of all edges meet in twos and exchange their targets.
+
+    An exchange that would make a loop, an edge of the graph, or an edge that another exchange makes too is left
+    undone, so every node keeps its in- and out-degree and no edge is found twice.  Edges meet within ``buckets``
+    hashed parts of a repetition: raise it with the graph.
+    """
+    limit = int((1 << 32) * share)
+    own = edges.select("src", "tgt").distinct()
+    rows = repetitions(own, reps)
+    key = order_key(seed, F.col("rep"), F.col("src"), F.col("tgt"))
+    part = rows.where(draw(seed, F.col("rep"), F.col("src"), F.col("tgt")) < limit).withColumn("bucket", draw(seed, "bucket", F.col("rep"), F.col("src"), F.col("tgt")) % buckets)
+    at = part.withColumn("r", F.row_number().over(Window.partitionBy("rep", "bucket").orderBy(key, "src", "tgt")) - 1).withColumn("duo", F.floor(F.col("r") / 2))
+    end = lambda c, n: F.max(F.when(F.col("r") % 2 == n, F.col(c)))
+    duos = at.groupBy("rep", "bucket", "duo").agg(end("src", 0).alias("a"), end("tgt", 0).alias("b"), end("src", 1).alias("c"), end("tgt", 1).alias("d"))
+    duos = duos.where((F.col("a") != F.col("c")) & (F.col("b") != F.col("d")) & (F.col("a") != F.col("d")) & (F.col("c") != F.col("b")) & (F.col("a") != F.col("b")) & (F.col("c") != F.col("d")))
+    id_ = ["rep", "bucket", "duo"]
+    ends = lambda d, *of: d.select(*id_, F.explode(F.array(*(F.struct(F.col(x).alias("src"), F.col(y).alias("tgt")) for x, y in of))).alias("e")).select(*id_, "e.src", "e.tgt")
+    made = ends(duos, ("a", "d"), ("c", "b"))
+    twice = made.groupBy("rep", "src", "tgt").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    void = made.join(own, ["src", "tgt"], "left_semi").select(*id_).unionByName(made.join(twice, ["rep", "src", "tgt"], "left_semi").select(*id_)).distinct()
+    done = duos.join(void, id_, "left_anti")
+    gone = ends(done, ("a", "b"), ("c", "d")).select("rep", "src", "tgt")
+    return rows.select("rep", "src", "tgt").join(gone, ["rep", "src", "tgt"], "left_anti").unionByName(ends(done, ("a", "d"), ("c", "b")).select("rep", "src", "tgt"))
+
+
 def random_windows(units: DataFrame, key: str, group: str, share: float, samples: int, seed: int = 1) -> DataFrame:
     """RES-16: (sample, group, key): runs of a share of each group's units from hashed starts."""
     own = numbered(units.select(group, key), key, group).withColumn("size", F.greatest(F.lit(1), F.floor(share * F.col("n"))).cast("long"))

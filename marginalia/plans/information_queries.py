@@ -13,7 +13,8 @@ from ..operators import kernels
 from ..operators import relations as R
 from ..operators import resample as M
 from ..operators.rounds import written
-from .base import baskets, brands, days, query, rounded, sql, table
+from .base import baskets, brands, days, lines, query, rounded, sql, table
+from .relation_queries import _PRE
 
 
 @query("item_budget", sql("baskets", "SELECT round(log2(count(*)), 6) AS uniform, round(sum(-(c::DOUBLE / t) * log2(c::DOUBLE / t)), 6) AS frequency, count(*) AS items, round(1 - sum(-(c::DOUBLE / t) * log2(c::DOUBLE / t)) / log2(count(*)), 6) AS redundancy FROM m, (SELECT sum(c) AS t FROM m)"))
@@ -136,6 +137,20 @@ def prediction_half_masked(spark, sf_dir):
     return _board(spark, sf_dir, 0.5)
 
 
+#: The least gain in bits and in hits at 10 that count as an effect.
+MIN_GAIN, MIN_HITS = 0.05, 0.02
+
+
+@query("prediction_verdict")
+def prediction_verdict(spark, sf_dir):
+    """INF-5, INF-6: the five criteria over three masks and three token nulls."""
+    train, test = _halves(spark, sf_dir)
+    boards = [written(N.scoreboard(N.masked_scores(train, test, share=share))) for share in (None, 0.25, 0.5)]
+    nulls = [N.scoreboard(N.masked_scores(written(M.shuffled_tokens(train, seed=seed)), test)).select("mrr") for seed in (1, 2, 3)]
+    out = N.decision(boards[0], nulls[0].unionByName(nulls[1]).unionByName(nulls[2]), boards[0].unionByName(boards[1]).unionByName(boards[2]), MIN_GAIN, MIN_HITS)
+    return rounded(out, "gain", "mrr", "base_mrr", "degree_mrr", "null_top")
+
+
 _FLOW = _UN + """,
 wi AS (SELECT x.item AS src, y.item AS tgt, count(*) AS k FROM inc x JOIN inc y ON x.unit_seq = y.unit_seq AND x.item <> y.item AND x.pos < y.pos GROUP BY 1, 2),
 ac AS (SELECT x.item AS src, y.item AS tgt, count(*) AS k FROM at_ x JOIN at_ y ON x.group_id = y.group_id AND y.rn = x.rn + 1 AND x.item <> y.item GROUP BY 1, 2),
@@ -280,6 +295,42 @@ def edge_noise(spark, sf_dir):
     return M.noisy_edges(edges, 0.2, 10).groupBy("rep").agg(F.count("*").alias("edges"))
 
 
+@query("edge_rewiring", sql("lines", """SELECT rep, count(*) AS edges, count(*) FILTER (g.src IS NULL) AS moved FROM (
+  SELECT rep, src, tgt FROM rw WHERE (rep, src, tgt) NOT IN (SELECT (rep, a, b) FROM dn UNION ALL SELECT (rep, c, d) FROM dn) UNION ALL SELECT rep, a, d FROM dn UNION ALL SELECT rep, c, b FROM dn) f LEFT JOIN pe g USING (src, tgt) GROUP BY 1""", _PRE[1:] + """,
+pe AS MATERIALIZED (SELECT DISTINCT src, tgt FROM pre), rw AS MATERIALIZED (SELECT rep, src, tgt FROM pe, (SELECT unnest(range(0, 5))::INT AS rep)),
+ch AS (SELECT *, ('0x' || substr(md5('1|bucket|' || rep || '|' || src || '|' || tgt), 1, 8))::BIGINT % 16 AS bucket FROM rw WHERE ('0x' || substr(md5('1|' || rep || '|' || src || '|' || tgt), 1, 8))::BIGINT < 858993459),
+at2 AS (SELECT *, row_number() OVER (PARTITION BY rep, bucket ORDER BY md5('1|' || rep || '|' || src || '|' || tgt), src, tgt) - 1 AS r FROM ch),
+du AS MATERIALIZED (SELECT * FROM (SELECT rep, bucket, r // 2 AS duo, max(src) FILTER (r % 2 = 0) AS a, max(tgt) FILTER (r % 2 = 0) AS b, max(src) FILTER (r % 2 = 1) AS c, max(tgt) FILTER (r % 2 = 1) AS d FROM at2 GROUP BY 1, 2, 3)
+  WHERE a <> c AND b <> d AND a <> d AND c <> b AND a <> b AND c <> d),
+mk2 AS MATERIALIZED (SELECT rep, bucket, duo, a AS src, d AS tgt FROM du UNION ALL SELECT rep, bucket, duo, c, b FROM du),
+vo AS (SELECT rep, bucket, duo FROM mk2 SEMI JOIN pe USING (src, tgt) UNION SELECT rep, bucket, duo FROM (SELECT *, count(*) OVER (PARTITION BY rep, src, tgt) AS n FROM mk2) WHERE n > 1),
+dn AS MATERIALIZED (SELECT * FROM du ANTI JOIN vo USING (rep, bucket, duo))"""))
+def edge_rewiring(spark, sf_dir):
+    """RES-6: order edges of words with exchanged targets; degrees stay."""
+    edges = written(R.precedes(lines(spark, sf_dir)).where("relation = 'PRECEDES'").select("src", "tgt").distinct())
+    after = M.rewired_edges(edges, 0.2, 5)
+    return after.join(edges.withColumn("old", F.lit(1)), ["src", "tgt"], "left").groupBy("rep").agg(F.count("*").alias("edges"), F.count_if(F.col("old").isNull()).alias("moved"))
+
+
+@query("order_nulls", sql("brands", """SELECT sample, coalesce(recurring, 0) AS recurring, coalesce(ordered, 0) AS ordered FROM (SELECT DISTINCT sample FROM cell)
+  LEFT JOIN (SELECT x.sample, count(*) AS recurring FROM cell x JOIN cell y ON x.sample = y.sample AND x.group_id = y.group_id AND x.item = y.item AND y.rn = x.rn + 1 GROUP BY 1) USING (sample)
+  LEFT JOIN (SELECT sample, count(*) AS ordered FROM (SELECT x.sample, x.item AS a, y.item AS b, sum((x.pos < y.pos)::INT) AS ab, sum((x.pos > y.pos)::INT) AS ba FROM cell x JOIN cell y ON x.sample = y.sample AND x.group_id = y.group_id AND x.rn = y.rn AND x.item < y.item GROUP BY 1, 2, 3) WHERE ab + ba >= 10 AND abs((ab - ba)::DOUBLE / (ab + ba)) >= 0.1 GROUP BY 1) USING (sample)""", """
+un AS MATERIALIZED (SELECT group_id, unit_seq, row_number() OVER (PARTITION BY group_id ORDER BY unit_seq) AS i, row_number() OVER (PARTITION BY group_id ORDER BY md5('1|' || unit_seq), unit_seq) AS h FROM (SELECT DISTINCT group_id, unit_seq FROM inc)),
+wo AS (SELECT group_id, unit_seq, item, row_number() OVER (PARTITION BY unit_seq ORDER BY md5('1|' || unit_seq || '|' || item), item) AS pos FROM inc),
+cell AS MATERIALIZED (SELECT 'observed' AS sample, group_id, i AS rn, item, pos FROM inc JOIN un USING (group_id, unit_seq) UNION ALL SELECT 'items', group_id, i, item, pos FROM wo JOIN un USING (group_id, unit_seq)
+  UNION ALL SELECT 'units', group_id, h, item, pos FROM inc JOIN un USING (group_id, unit_seq) UNION ALL SELECT 'both', group_id, h, item, pos FROM wo JOIN un USING (group_id, unit_seq))"""))
+def order_nulls(spark, sf_dir):
+    """RES-7: items found again in the next unit, and pairs of a firm order, as observed and with the order of items, of units and of both dealt anew."""
+    inc = written(brands(spark, sf_dir))
+    parts = []
+    for name, d in (("observed", inc), ("items", M.shuffled_in_unit(inc)), ("units", M.shuffled_units(inc)), ("both", M.shuffled_units(M.shuffled_in_unit(inc)))):
+        here = d.join(R.numbered_units(d), ["group_id", "unit_seq"]).select("group_id", "item", "rn")
+        again = here.join(here.select("group_id", "item", (F.col("rn") - 1).alias("rn")), ["group_id", "item", "rn"]).agg(F.count("*").alias("recurring"))
+        firm = R.precedes(d, min_asym=0.1).where("relation = 'PRECEDES'").agg(F.count("*").alias("ordered"))
+        parts.append(again.join(firm).select(F.lit(name).alias("sample"), "recurring", "ordered"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @query("support_sweep", sql("baskets", "SELECT t AS threshold, count(*) FILTER (k >= t) AS pairs FROM pr, (SELECT unnest([1, 2, 5, 10, 20, 40])::INT AS t) GROUP BY 1"))
 def support_sweep(spark, sf_dir):
     """RES-17."""
