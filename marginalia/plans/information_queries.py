@@ -13,7 +13,7 @@ from ..operators import kernels
 from ..operators import relations as R
 from ..operators import resample as M
 from ..operators.rounds import written
-from .base import baskets, brands, days, lines, query, rounded, sql, table
+from .base import baskets, brands, days, query, rounded, sql, table, words
 from .relation_queries import _PRE
 
 
@@ -295,7 +295,7 @@ def edge_noise(spark, sf_dir):
     return M.noisy_edges(edges, 0.2, 10).groupBy("rep").agg(F.count("*").alias("edges"))
 
 
-@query("edge_rewiring", sql("lines", """SELECT rep, count(*) AS edges, count(*) FILTER (g.src IS NULL) AS moved FROM (
+@query("edge_rewiring", sql("words", """SELECT rep, count(*) AS edges, count(*) FILTER (g.src IS NULL) AS moved FROM (
   SELECT rep, src, tgt FROM rw WHERE (rep, src, tgt) NOT IN (SELECT (rep, a, b) FROM dn UNION ALL SELECT (rep, c, d) FROM dn) UNION ALL SELECT rep, a, d FROM dn UNION ALL SELECT rep, c, b FROM dn) f LEFT JOIN pe g USING (src, tgt) GROUP BY 1""", _PRE[1:] + """,
 pe AS MATERIALIZED (SELECT DISTINCT src, tgt FROM pre), rw AS MATERIALIZED (SELECT rep, src, tgt FROM pe, (SELECT unnest(range(0, 5))::INT AS rep)),
 ch AS (SELECT *, ('0x' || substr(md5('1|bucket|' || rep || '|' || src || '|' || tgt), 1, 8))::BIGINT % 16 AS bucket FROM rw WHERE ('0x' || substr(md5('1|' || rep || '|' || src || '|' || tgt), 1, 8))::BIGINT < 858993459),
@@ -307,7 +307,7 @@ vo AS (SELECT rep, bucket, duo FROM mk2 SEMI JOIN pe USING (src, tgt) UNION SELE
 dn AS MATERIALIZED (SELECT * FROM du ANTI JOIN vo USING (rep, bucket, duo))"""))
 def edge_rewiring(spark, sf_dir):
     """RES-6: order edges of words with exchanged targets; degrees stay."""
-    edges = written(R.precedes(lines(spark, sf_dir)).where("relation = 'PRECEDES'").select("src", "tgt").distinct())
+    edges = written(R.precedes(words(spark, sf_dir)).where("relation = 'PRECEDES'").select("src", "tgt").distinct())
     after = M.rewired_edges(edges, 0.2, 5)
     return after.join(edges.withColumn("old", F.lit(1)), ["src", "tgt"], "left").groupBy("rep").agg(F.count("*").alias("edges"), F.count_if(F.col("old").isNull()).alias("moved"))
 

@@ -324,12 +324,12 @@ def laws(spark, sf_dir):
     return rounded(R.laws(inc, kinds, kinds), "lift")
 
 
-@query("relation_snapshots", sql("lines", "SELECT half, count(*) AS edges, sum(k)::BIGINT AS support FROM hk WHERE k >= 5 GROUP BY half", """
+@query("relation_snapshots", sql("words", "SELECT half, count(*) AS edges, sum(k)::BIGINT AS support FROM hk WHERE k >= 5 GROUP BY half", """
 mid AS (SELECT quantile_disc(unit_seq, 0.5) AS q FROM (SELECT DISTINCT unit_seq FROM inc)),
 hk AS (SELECT (x.unit_seq > q)::INT AS half, x.item AS a, y.item AS b, count(*) AS k FROM inc x JOIN inc y ON x.unit_seq = y.unit_seq AND x.item < y.item, mid GROUP BY 1, 2, 3)"""))
 def relation_snapshots(spark, sf_dir):
     """GRA-27: relations of each half by a snapshot column."""
-    inc = lines(spark, sf_dir)
+    inc = words(spark, sf_dir)
     mid = inc.select("unit_seq").distinct().agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY unit_seq)").cast("long").alias("q"))
     rows = K.pair_rows(inc).join(F.broadcast(mid)).groupBy((F.col("unit_seq") > F.col("q")).cast("int").alias("half"), "a", "b").agg(F.count("*").alias("k"))
     return rows.where("k >= 5").groupBy("half").agg(F.count("*").alias("edges"), F.sum("k").alias("support"))
