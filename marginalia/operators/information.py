@@ -78,20 +78,22 @@ def masked_scores(train: DataFrame, test: DataFrame, smooth: float = 0.5, share:
         long = long.join(given, "unit_seq", "left_semi")  # a unit masked as a whole has no context
     context = long.join(given.select("unit_seq", F.col("item").alias("dim")), "unit_seq").where("item <> dim").select("unit_seq", F.col("item").alias("target"), "dim")
     evidence = context.join(ppmi, "dim").groupBy("unit_seq", "target", "item").agg(F.sum("w").alias("ev"))
-    scored = evidence.join(prior, "item").withColumn("s", F.col("p0") * F.pow(F.lit(2.0), F.col("ev")))
-    z = scored.groupBy("unit_seq", "target").agg((1 - F.sum("p0") + F.sum("s")).alias("z"))
-    own = long.withColumnRenamed("item", "target").join(prior.select(F.col("item").alias("target"), F.col("p0").alias("q0"), "prior_rank"), "target").join(z, ["unit_seq", "target"], "left")
-    own = own.join(scored.select("unit_seq", "target", F.col("item").alias("i2"), F.col("s").alias("own_s")).where("target = i2").drop("i2"), ["unit_seq", "target"], "left").withColumn("own_s", F.coalesce("own_s", "q0"))
-    ahead = scored.join(own.select("unit_seq", "target", "own_s"), ["unit_seq", "target"]).groupBy("unit_seq", "target").agg(F.count_if(F.round("s", 12) > F.round("own_s", 12)).alias("ahead"), F.count_if(F.round("p0", 12) > F.round("own_s", 12)).alias("moved"))
+    q0 = prior.select(F.col("item").alias("target"), F.col("p0").alias("q0"), "prior_rank")
+    scored = evidence.join(prior.select("item", "p0"), "item").withColumn("s", F.col("p0") * F.pow(F.lit(2.0), F.col("ev")))
+    # an own score and those it is compared with come from one pass: sums made twice may differ in their last bit, and a rank with them
+    one = Window.partitionBy("unit_seq", "target")
+    scored = scored.withColumn("own_s", F.max(F.when(F.col("target") == F.col("item"), F.col("s"))).over(one)).join(q0, "target").withColumn("own_s", F.coalesce("own_s", "q0"))
+    ahead = scored.groupBy("unit_seq", "target").agg((1 - F.sum("p0") + F.sum("s")).alias("z"), F.first("own_s").alias("own_s"), F.count_if(F.round("s", 12) > F.round("own_s", 12)).alias("ahead"), F.count_if(F.round("p0", 12) > F.round("own_s", 12)).alias("moved"))
+    own = long.withColumnRenamed("item", "target").join(q0, "target").join(ahead, ["unit_seq", "target"], "left").withColumn("own_s", F.coalesce("own_s", "q0"))
     # items without evidence keep their prior: those above the own score are the prior's head, less the ones that moved
-    head = own.select("unit_seq", "target", F.round("own_s", 12).alias("os"))
+    head = own.withColumn("os", F.round("own_s", 12))
     steps = prior.groupBy(F.round("p0", 12).alias("p")).agg(F.count("*").alias("c"))
     curve = steps.withColumn("above", F.sum("c").over(Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)))
     ladder = curve.agg(F.array_sort(F.collect_list(F.struct("p", "above"))).alias("ladder"))
-    place = head.join(F.broadcast(ladder)).select("unit_seq", "target", F.coalesce(F.try_element_at(F.filter("ladder", lambda x: x["p"] > F.col("os")), F.lit(1))["above"], F.lit(0)).alias("head"))
+    place = head.join(F.broadcast(ladder)).withColumn("head", F.coalesce(F.try_element_at(F.filter("ladder", lambda x: x["p"] > F.col("os")), F.lit(1))["above"], F.lit(0))).drop("ladder", "os")
     partners = R.oriented(train, 1).groupBy("src").agg(F.count("*").alias("degree"))
     degrees = prior.join(partners, prior["item"] == partners["src"], "left").select(F.col("item").alias("target"), F.rank().over(Window.orderBy(F.desc(F.coalesce("degree", F.lit(0))))).alias("degree_rank"))  # a vocabulary
-    out = own.join(place, ["unit_seq", "target"]).join(ahead, ["unit_seq", "target"], "left").join(degrees, "target").join(F.broadcast(v.select(F.col("v").alias("vocabulary"))))
+    out = place.join(degrees, "target").join(F.broadcast(v.select(F.col("v").alias("vocabulary"))))
     rank = 1 + F.coalesce("ahead", F.lit(0)) + F.col("head") - F.coalesce("moved", F.lit(0))
     return out.select("unit_seq", F.col("target").alias("item"), (-F.log2(F.col("own_s") / F.coalesce("z", F.lit(1.0)))).alias("nll"), (-F.log2("q0")).alias("base_nll"), rank.cast("long").alias("rank"), F.col("prior_rank").cast("long").alias("base_rank"), F.col("degree_rank").cast("long").alias("degree_rank"), "vocabulary")
 

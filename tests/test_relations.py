@@ -210,3 +210,11 @@ def test_items_that_never_meet_score_as_their_frequency(spark):
     assert len(rows) == 4 and all(abs(r.nll - r.base_nll) < 1e-12 and r["rank"] == r.base_rank for r in rows)
     board = N.scoreboard(d).first()
     assert board.gain == 0 and board.mrr_gain == 0 and board.rank_share == board.base_rank_share and board.verdict == "NO"
+
+
+def test_evidence_is_summed_once(spark):
+    """An own score and those it is compared with are of one pass, so that no last bit puts an item before itself."""
+    from marginalia.operators import information as N
+
+    d = N.masked_scores(inc(spark, UNITS), inc(spark, {11: "abcd", 12: "ab"}))
+    assert d._jdf.queryExecution().optimizedPlan().toString().count(" AS ev#") == 1
