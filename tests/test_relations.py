@@ -218,3 +218,37 @@ def test_evidence_is_summed_once(spark):
 
     d = N.masked_scores(inc(spark, UNITS), inc(spark, {11: "abcd", 12: "ab"}))
     assert d._jdf.queryExecution().optimizedPlan().toString().count(" AS ev#") == 1
+
+
+@pytest.mark.parametrize("piece,step,block", [(6_000_000, 500_000, 6_000_000), (50, 7, 30)])
+def test_numbered_pairs_against_all_pairs(spark, monkeypatch, piece, step, block):
+    """Counts and orders, ties and tags included, in one piece and in many."""
+    import random
+
+    from marginalia.operators import pairing
+
+    for name, x in (("PIECE", piece), ("STEP", step), ("BLOCK", block)):
+        monkeypatch.setattr(pairing, name, x)
+    g = random.Random(1)
+    rows = [(u % 7, u, w, g.randrange(4)) for u in range(60) for w in sorted({g.choice("abcdefghijklmnopqéß") + g.choice("xyz") * g.randrange(2) for _ in range(g.randrange(14))})]
+    units = {}
+    for _, u, w, p in rows:
+        units.setdefault(u, []).append((w, p))
+    want, c = {}, Counter(w for _, _, w, _ in rows)
+    for u, xs in units.items():
+        for (a, p), (b, q) in itertools.combinations(sorted(xs), 2):
+            k = want.setdefault((a, b, u % 2), [0, 0, 0])
+            k[0] += 1
+            k[1] += p < q
+            k[2] += p > q
+    d = spark.createDataFrame(rows, "group_id long, unit_seq long, item string, pos long")
+    got = {tuple(r) for r in K.numbered_pairs(d, 3, (d.unit_seq % 2).cast("int"), 2).collect()}
+    assert got == {(*p, *k, c[p[0]], c[p[1]]) for p, k in want.items() if k[0] >= 3} and got
+
+
+def test_pairs_travel_as_runs_and_words_by_line(spark):
+    d = spark.createDataFrame([(1, "a b c\nb c"), (1, "c a"), (2, None)], "doc_id long, text string")
+    words = I.line_words(d)
+    plan = words._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(group_id" not in plan
+    assert K.pairs(inc(spark, UNITS), 2)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(block") == 1
