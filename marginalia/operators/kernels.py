@@ -11,10 +11,12 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
+from . import pairing
+from .rounds import written
 
 LARGEST = 2_000_000
 
@@ -217,6 +219,64 @@ def curveball(units: list[set], trades: int, rng: np.random.Generator) -> list[s
     return out
 
 
+def all_trade(units: np.ndarray, items: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The units (0 up to n - 1) of rows (unit, item) after all units have met in twos and traded: a round of half as
+    many trades as units.  Every unit keeps its size and every item its frequency."""
+    n = int(units.max()) + 1 if len(units) else 0
+    at = rng.permutation(n)
+    place = np.empty(n, np.int64)
+    place[at] = np.arange(n)
+    duo, side = place[units] >> 1, place[units] & 1
+    order = np.lexsort((items, duo))
+    twin = (duo[order][1:] == duo[order][:-1]) & (items[order][1:] == items[order][:-1])  # an item that both hold stays
+    both = np.zeros(len(units), bool)
+    both[order[1:]] |= twin
+    both[order[:-1]] |= twin
+    free = np.flatnonzero(~both)
+    free = free[np.lexsort((rng.random(len(free)), duo[free]))]
+    d = duo[free]
+    quota = np.bincount(d, side[free] == 0, minlength=n // 2 + 1).astype(np.int64)
+    first = np.searchsorted(d, d)
+    out = units.copy()
+    out[free] = at[2 * d + (np.arange(len(d)) - first >= quota[d])]
+    return out
+
+
+def traded_pairs(inc: DataFrame, reps: int, rounds: int = 4, seed: int = 1, block: int = 1_000_000) -> DataFrame:
+    """(rep, a, b, k): pair counts of (unit_seq, item) after rounds in which all units trade in twos (RES-4).
+
+    Units meet within blocks of about ``block`` rows, dealt anew in each round, so a task holds one block at any size.
+    """
+    ship(inc.sparkSession)
+    known = written(inc.groupBy("item").agg(F.count("*").alias("c")).select("item", "c", (F.row_number().over(Window.orderBy("item")) - 1).cast("int").alias("id")))  # a vocabulary
+    size = known.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
+    v, blocks = size.v, 1 + size.n // block
+    rows = written(inc.join(known.select("item", "id"), "item").select("unit_seq", "id")).select(F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), "unit_seq", "id")
+
+    def dealt(r: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            rep, at = int(pdf["rep"].iloc[0]), int(pdf["block"].iloc[0])
+            pdf = pdf.sort_values(["unit_seq", "id"])
+            names, units = np.unique(pdf["unit_seq"].to_numpy(), return_inverse=True)
+            items = pdf["id"].to_numpy().astype(np.int64)
+            units = all_trade(units, items, np.random.default_rng([seed, rep, r, at]))
+            if r + 1 < rounds:
+                return pd.DataFrame({"rep": np.int32(rep), "unit_seq": names[units], "id": items.astype(np.int32)})
+            order = np.lexsort((items, units))
+            ids, none = items[order], np.zeros(len(items), np.int64)
+            found = [pairing.summed(np.sort(k)) for k in pairing.made(ids, none, none[: len(names)], np.bincount(units), v, 1)]
+            keys, ks = (np.concatenate([f[i] for f in found] or [none]) for i in (0, 1))
+            return pd.DataFrame({"rep": np.int32(rep), "x": (keys // 3 // v).astype(np.int32), "y": (keys // 3 % v).astype(np.int32), "k": ks})
+
+        return run
+
+    for r in range(rounds):
+        hashed = F.pmod(F.xxhash64(F.lit(seed), "rep", F.lit(r), "unit_seq"), F.lit(blocks)).cast("int")
+        rows = rows.withColumn("block", hashed).groupBy("rep", "block").applyInPandas(dealt(r), "rep int, unit_seq long, id int" if r + 1 < rounds else "rep int, x int, y int, k long")
+    end = lambda of, to: known.select(F.col("id").alias(of), F.col("item").alias(to))
+    return rows.groupBy("rep", "x", "y").agg(F.sum("k").alias("k")).join(end("x", "a"), "x").join(end("y", "b"), "y").select("rep", "a", "b", "k")
+
+
 def swap_edges(edges: list[tuple], swaps: int, rng: np.random.Generator) -> list[tuple]:
     """Directed edges after random swaps of targets: degrees stay, no loop and no edge twice."""
     out, have = list(edges), set(edges)

@@ -348,24 +348,15 @@ def generated_units(spark, sf_dir):
 
 @query("curveball_null")
 def curveball_null(spark, sf_dir):
-    """RES-4: pair counts under trades that keep unit sizes and frequencies, by customer segment of orders.  Sequential: a kernel a repetition."""
-    inc = days(spark, sf_dir).select("unit_seq", "item")
-
-    def one(pdf: pd.DataFrame, rng) -> pd.DataFrame:
-        units = [set(g) for _, g in pdf.groupby("unit_seq")["item"]]
-        traded = kernels.curveball(units, 2 * len(units), rng)
-        pairs: dict[tuple[str, str], int] = {}
-        for u in traded:
-            s = sorted(u)
-            for i, a in enumerate(s):
-                for b in s[i + 1 :]:
-                    pairs[a, b] = pairs.get((a, b), 0) + 1
-        return pd.DataFrame([(a, b, k) for (a, b), k in sorted(pairs.items())], columns=["a", "b", "k"])
-
-    null = kernels.repeated(inc, 10, one, "a string, b string, k long")
-    stats = null.groupBy("a", "b").agg(F.avg("k").alias("mean"), F.stddev_pop("k").alias("std"))
-    seen = K.pairs(days(spark, sf_dir)).select("a", "b", "k")
-    return seen.join(stats, ["a", "b"], "left").select("a", "b", "k", F.round("mean", 6).alias("mean"), F.round(S.z_score(F.col("k"), F.col("mean"), F.col("std")), 6).alias("z"))
+    """RES-4: pair counts of days under trades that keep unit sizes and frequencies; a pair that a repetition lacks counts as 0 there."""
+    inc, reps = days(spark, sf_dir), 10
+    null = kernels.traded_pairs(inc.select("unit_seq", "item"), reps)
+    lists = null.groupBy("a", "b").agg(F.collect_list(F.col("k").cast("double")).alias("ks"))  # one number a repetition
+    mean = F.aggregate("ks", F.lit(0.0), lambda x, k: x + k) / reps
+    spread = lambda m: F.aggregate("ks", (reps - F.size("ks")) * m * m, lambda x, k: x + (k - m) * (k - m))
+    stats = lists.withColumn("mean", mean).select("a", "b", "mean", F.sqrt(spread(F.col("mean")) / reps).alias("std"))
+    seen = K.pairs(inc).select("a", "b", "k")
+    return seen.join(stats, ["a", "b"], "left").fillna(0.0, ["mean", "std"]).select("a", "b", "k", F.round("mean", 6).alias("mean"), F.round(S.z_score(F.col("k"), F.col("mean"), F.col("std")), 6).alias("z"))
 
 
 @query("swap_null")

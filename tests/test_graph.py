@@ -196,3 +196,19 @@ def test_capped_graph_passes_over_taken_edges(spark):
     df = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.8), ("b", "c", 0.7), ("c", "d", 0.6)], "src string, tgt string, weight double")
     got = [(r.src, r.tgt) for r in N.capped_graph(df, 1).collect()]
     assert got == [("a", "b"), ("b", "c"), ("c", "a"), ("d", "c")]
+
+
+def test_trades_of_all_units_at_any_size(spark, monkeypatch):
+    """More rows than a sequential kernel takes, in many blocks: sizes and frequencies stay, pairs come near independence."""
+    monkeypatch.setattr(N, "LARGEST", 100)
+    rng = np.random.default_rng(1)
+    units = np.repeat(np.arange(301), 5)[rng.random(1505) < 0.6]
+    items = np.concatenate([rng.permutation(8)[:c] for c in np.bincount(units, minlength=301)])
+    units = np.unique(units, return_inverse=True)[1]
+    after = N.all_trade(units, items, rng)
+    assert len(set(zip(after, items, strict=True))) == len(units) and (np.bincount(after) == np.bincount(units)).all() and (after != units).any()
+    d = spark.createDataFrame([(int(u), "abcdefgh"[i]) for u, i in zip(units, items, strict=True)], "unit_seq long, item string")
+    got = N.traded_pairs(d, 3, block=200).collect()
+    want = sum(c * (c - 1) // 2 for c in np.bincount(units))
+    assert [sum(r.k for r in got if r.rep == i) for i in range(3)] == [want] * 3 and all(r.a < r.b for r in got)
+    assert len({tuple(sorted((r.a, r.b, r.k) for r in got if r.rep == i)) for i in range(3)}) > 1
