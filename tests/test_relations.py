@@ -252,3 +252,77 @@ def test_pairs_travel_as_runs_and_words_by_line(spark):
     plan = words._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(group_id" not in plan
     assert K.pairs(inc(spark, UNITS), 2)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(block") == 1
+
+
+def brute_profiles(rows, min_share=0.0):
+    """Units and groups of pairs, and products of group counts, by their definitions; null units and groups meet nothing."""
+    c, units = Counter(r[2] for r in rows), {r[1] for r in rows if r[1] is not None}
+    rows = [r for r in rows if c[r[2]] >= min_share * len(units)]
+    held, counts = {}, {}
+    for g, u, x in rows:
+        counts.setdefault(g, Counter())[x] += 1
+        if u is not None:
+            held.setdefault((g, u), set()).add(x)
+    out = {}
+    for g, n in counts.items():
+        for p in itertools.combinations(sorted(n), 2):
+            both = sum(h == g and {*p} <= xs for (h, _), xs in held.items())
+            if both or g is not None:
+                r = out.setdefault(p, [0, 0, 0])
+                r[0] += both
+                r[1] += g is not None and both > 0
+                r[2] += n[p[0]] * n[p[1]] if g is not None else 0
+    norm = lambda x: math.sqrt(sum(n[x] ** 2 for n in counts.values()))
+    return {p: (*r, c[p[0]], c[p[1]], round(norm(p[0]), 9), round(norm(p[1]), 9), len({u for _, u, _ in rows if u is not None})) for p, r in out.items()}
+
+
+@pytest.mark.parametrize("matrix,cells,share,sent", [(2_048, 1_000_000, 0.0, 1_000_000), (0, 40, 0.0, 3), (2_048, 40, 0.25, 3)])
+def test_profiles_against_all_pairs(spark, monkeypatch, matrix, cells, share, sent):
+    import random
+
+    from marginalia.operators import pairing
+
+    monkeypatch.setattr(pairing, "MATRIX", matrix)
+    monkeypatch.setattr(pairing, "CELLS", cells)
+    monkeypatch.setattr(K, "SENT", sent)
+    g = random.Random(2)
+    group = lambda u: None if u % 11 == 0 else u % 5
+    rows = [(group(u), None if u % 7 == 0 and u < 8 else u, x) for u in range(1, 50) for x in sorted({g.choice("abcdefghé") for _ in range(g.randrange(6))})]
+    d = spark.createDataFrame([(*r, 1) for r in rows], INC)
+    got = {(r.a, r.b): (r.k, r.span, r.dot, r.ca, r.cb, round(r.na, 9), round(r.nb, 9), r.n) for r in K.profiles(d, share).collect()}
+    assert got == brute_profiles(rows, share) and got
+
+
+def test_together_in_pieces(monkeypatch):
+    import numpy as np
+
+    from marginalia.operators import pairing
+
+    known, sizes, at = np.array([True, False, True, True]), np.array([3, 2, 0, 4]), np.array([0, 2, 4, 1, 2, 0, 1, 2, 4])
+    x = np.zeros((4, 5))
+    x[np.repeat(np.arange(4), sizes), at] = 1
+    want = (x * known[:, None]).T @ x
+    for within in (1, 7, 10, 1_000):
+        monkeypatch.setattr(pairing, "WITHIN", within)
+        parts = list(pairing.together(known, sizes, at, 5))
+        assert [i for i, _, _ in parts] == [0, *(j for _, j, _ in parts[:-1])] and parts[-1][1] == 5
+        assert all((out == want[i:j, i:]).all() for i, j, out in parts)
+
+
+def test_spans_count_pairs_within_groups(spark):
+    """The pairs of a group are summed where its units are: no join by unit makes rows of them, and none travels."""
+    rows = [(u % 3, u, x, 1) for u in range(12) for x in ("ab" if u % 2 else "abc")]
+    d = R.spans(spark.createDataFrame(rows, INC), wide=3, narrow=1)
+    assert {(r.a, r.b): (r.k, r.span, r.kind) for r in d.collect()} == {("a", "b"): (12, 3, "global"), ("a", "c"): (6, 3, "global"), ("b", "c"): (6, 3, "global")}
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "unit_seq" not in plan and "group_id" not in plan  # only sums are read
+
+
+def test_items_of_lines_are_their_words(spark):
+    """Repeated and null numbers, null and empty texts; the text is dealt once and no word travels."""
+    d = spark.createDataFrame([(1, "a Bcd éF\n\nbcd, bcd x"), (1, "zz bcd\nno"), (2, None), (3, ""), (4, "12 ß"), (None, "null words\nof none"), (None, "null")], "doc_id long, text string")
+    items = I.line_items(d)
+    assert items._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = {(r.group_id, r.unit_seq, r.item) for r in I.line_words(d).collect()}
+    got = [(r.group_id, r.unit_seq, x) for r in items.collect() for x in r["items"]]
+    assert len(got) == len(set(got)) and set(got) == want and len({r[:2] for r in got}) == items.count()
