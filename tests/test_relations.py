@@ -326,3 +326,38 @@ def test_items_of_lines_are_their_words(spark):
     want = {(r.group_id, r.unit_seq, r.item) for r in I.line_words(d).collect()}
     got = [(r.group_id, r.unit_seq, x) for r in items.collect() for x in r["items"]]
     assert len(got) == len(set(got)) and set(got) == want and len({r[:2] for r in got}) == items.count()
+
+
+def brute_similar(rows, share, least):
+    """Both cosines by their definitions, of whole vectors."""
+    m, n, units, groups = Counter(x for _, _, x, _ in rows), len({u for _, u, _, _ in rows}), {}, {}
+    for g, u, x, _ in rows:
+        units.setdefault(u, set()).add(x)
+        groups.setdefault(x, Counter())[g] += 1
+    k = Counter(p for xs in units.values() for p in itertools.permutations(sorted(xs), 2))
+    vec = {}
+    for (a, b), c in k.items():
+        if (w := math.log2((c / n) / ((m[a] / n) * (m[b] / n)))) > 0:
+            vec.setdefault(a, {})[b] = w
+    cos = lambda x, y: sum(x[d] * y[d] for d in x if d in y) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+    out = {}
+    for a, b in itertools.combinations(sorted(vec), 2):
+        if vec[a].keys() & vec[b].keys():
+            c, g = cos(vec[a], vec[b]), cos(groups[a], groups[b])
+            if share * c + (1 - share) * g >= least:
+                out[a, b] = (round(c, 9), round(g, 9))
+    return out
+
+
+def test_similar_against_whole_vectors(spark):
+    """Pairs that no group holds together are there, with nothing from groups; profiles are summed by group, not joined by pair."""
+    import random
+
+    g = random.Random(3)
+    rows = [(u // 5, u, x, 1) for u in range(60) for x in sorted({g.choice("abcdefgh" if u < 40 else "ghijk") for _ in range(g.randrange(1, 6))})]
+    rows += [(20 + u // 2, 60 + u, x, 1) for u, xs in enumerate(["xq", "xq", "yq", "yq"]) for x in xs]
+    d = R.similar(spark.createDataFrame(rows, INC), share=0.7, least=0.05)
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    got = {(r.a, r.b): (round(r.cos_ppmi, 9), round(r.cos_groups, 9)) for r in d.collect()}
+    assert got == brute_similar(rows, 0.7, 0.05) and any(y == 0 for _, y in got.values()) and any(y > 0 for _, y in got.values())
+    assert "unit_seq" not in plan and "group_id" not in plan
